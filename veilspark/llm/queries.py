@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veilspark.llm import exact_dedup, fingerprint, lm_score, mixing, near_dedup, packing, token_count, url_filter
+from veilspark.llm import exact_dedup, fingerprint, lm_score, mixing, near_dedup, packing, token_count, toxicity, url_filter
 from veilspark.llm.common import documents
 
 
@@ -43,8 +43,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_mix_to_targets, op4_token_counts, op5_document_fingerprints, op6_best_fit_packing, op7_url_filter, op8_lm_scoring, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_mix_to_targets, op4_token_counts, op5_document_fingerprints, op6_best_fit_packing, op7_url_filter, op8_lm_scoring, op9_toxicity, op10_exact_dedup)}
