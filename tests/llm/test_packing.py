@@ -74,3 +74,9 @@ def test_knapsack_against_all_multisets():
     most = max(a * 0.31 + b * 0.52 + c * 0.85 for a in range(8) for b in range(5) for c in range(3) if 3 * a + 5 * b + 8 * c <= 21)
     config = packing.best_configuration(lengths, worth, 21)
     assert abs(sum(dict(zip((3, 5, 8), worth))[x] * k for x, k in config) - most) < 1e-9
+
+
+def test_other_letters_and_signs(spark):
+    """Parts of words by the tokenizer's model against the whole tokenizer."""
+    texts = ["Éte ÑANDÚ ß straße Ünïcödé ÿ Ÿ µ ª º", "a1b22c333 x.y,z;w! (a)[b]{c}<d> ~`^_|@#$%&*+=-/ \\ \"q\"", "don't CAN'T it's 'quoted' o'", "ÀÖØöøÿ×÷", "<|startoftext|> a<|endoftext|>b <|end", "e\u0301 A\u030a \u212b \u1e9b\u0323", "1234 ² ½ Ⅷ ٣ 五", "ab\xa0cd \u2003 ef\x1cgh", "word" * 90 + " " + "9" * 300]
+    check(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"), list(enumerate(texts)), 4096)

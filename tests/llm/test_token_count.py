@@ -36,3 +36,9 @@ def test_batches_and_full_cache(monkeypatch):
 
 def test_empty(empty):
     assert token_count.token_counts(empty, PATH).count() == 0
+
+
+def test_other_letters_and_signs(spark):
+    """Parts of words by the tokenizer's model against the whole tokenizer."""
+    texts = ["Éte ÑANDÚ ß straße Ünïcödé ÿ Ÿ µ ª º", "a1b22c333 x.y,z;w! (a)[b]{c}<d> ~`^_|@#$%&*+=-/ \\ \"q\"", "don't CAN'T it's 'quoted' o'", "ÀÖØöøÿ×÷", "<|startoftext|> a<|endoftext|>b <|end", "e\u0301 A\u030a \u212b \u1e9b\u0323", "1234 ² ½ Ⅷ ٣ 五", "ab\xa0cd \u2003 ef\x1cgh", "word" * 90 + " " + "9" * 300]
+    check(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"), texts)

@@ -45,15 +45,45 @@ def tokenizer(path: str):
     return found
 
 
+def byte_characters() -> list[str]:
+    """The character by which a byte-level BPE writes each byte: printable ones as they are, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+BYTE_CHARACTERS = byte_characters()
+# pre-tokens whose parts are certain: printable ASCII but the apostrophe, and Latin letters; after at most one space
+SIMPLE = re.compile(r" ?[!-&(-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+")
+
+
 class PieceCounts(dict):
-    """Pieces of each pre-token, counted once while it is remembered."""
+    """Pieces of each pre-token, counted once while it is remembered.
+
+    A simple pre-token is the sum of its parts (letters, digits, signs), which the tokenizer's model merges each on its
+    own; any other goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = tokenizer(path).encode
+        self.encode, self.merge, self.parts = tokenizer(path).encode, tokenizer(path).model.tokenize, {}
+
+    def part(self, text: str) -> int:
+        found = self.parts.get(text)
+        if found is None:
+            found = len(self.merge("".join(BYTE_CHARACTERS[b] for b in text.encode())))
+            if len(self.parts) >= CACHED:
+                self.parts.clear()
+            if len(text) <= LONG_PRETOKEN:
+                self.parts[text] = found
+        return found
 
     def __missing__(self, pretoken: str) -> int:
-        found = len(self.encode(pretoken, add_special_tokens=False).ids)
+        if SIMPLE.fullmatch(pretoken):
+            found = sum(map(self.part, PARTS.findall(pretoken)))
+        else:
+            found = len(self.encode(pretoken, add_special_tokens=False).ids)
         if len(pretoken) <= LONG_PRETOKEN:
             if len(self) >= CACHED:
                 self.clear()
@@ -61,6 +91,12 @@ class PieceCounts(dict):
         return found
 
 
+@lru_cache(maxsize=2)
+def remembered(path: str) -> PieceCounts:
+    """Kept by the worker from task to task."""
+    return PieceCounts(path)
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = chars = 0
     for i, text in enumerate(texts):
@@ -93,7 +129,7 @@ def count_batch(texts: list[str], counts: PieceCounts, added: re.Pattern | None)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    counts = PieceCounts(path)
+    counts = remembered(path)
     strings = [re.escape(x.content) for x in tokenizer(path).get_added_tokens_decoder().values()]
     added = re.compile("|".join(strings)) if strings else None
     for batch in batches:
