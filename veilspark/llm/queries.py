@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veilspark.llm import exact_dedup, fingerprint, lm_score, mixing, near_dedup, packing, token_count, toxicity, url_filter
+from veilspark.llm import exact_dedup, fingerprint, license_scan, lm_score, mixing, near_dedup, packing, token_count, toxicity, url_filter
 from veilspark.llm.common import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4)
 
@@ -51,4 +55,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_mix_to_targets, op4_token_counts, op5_document_fingerprints, op6_best_fit_packing, op7_url_filter, op8_lm_scoring, op9_toxicity, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_mix_to_targets, op4_token_counts, op5_document_fingerprints, op6_best_fit_packing, op7_url_filter, op8_lm_scoring, op9_toxicity, op10_exact_dedup)}
