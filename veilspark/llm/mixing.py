@@ -33,7 +33,7 @@ def topic_of(text: Column) -> Column:
     """A document's topic by its form: what most of its marks are."""
     n = F.char_length(text)
     holds = lambda marks: n - F.char_length(F.translate(text, marks, ""))
-    return F.when(n == 0, "empty").when(holds("|") * 50 > n, "table").when(holds("{}<>=;") * 25 > n, "markup").when(holds("0123456789") * 12 > n, "figures").when(holds("#*%&$!~^_") * 20 > n, "noise").when(n < 300, "short").when(n < 3000, "prose").otherwise("long")
+    return F.when(n == 0, "empty").when((n - F.char_length(F.replace(text, F.lit("|"), F.lit("")))) * 50 > n, "table").when(holds("0123456789") * 12 > n, "figures").when(holds("#*%&$!~^_") * 20 > n, "noise").when(n < 300, "short").when(n < 3000, "prose").otherwise("long")
 
 
 def described(docs: DataFrame, *, id_col: str, text_col: str, topic: Column | None = None) -> DataFrame:
@@ -100,27 +100,30 @@ def probabilities(cells: DataFrame, share: float) -> DataFrame:
     return cells.withColumn("probability", F.when(F.col("rate").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("rate") * factor))).drop("rate")
 
 
-def _mixed(docs: DataFrame, work: Scratch, *, id_col: str, text_col: str, wanted: dict[str, dict[str, float]], share: float, topic: Column | None) -> tuple[DataFrame, DataFrame]:
-    rows = described(docs, id_col=id_col, text_col=text_col, topic=topic)
-    keys = [f"_{d}" for d in DIMENSIONS]
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("bigint")
-    cells = work.put(rows.withColumn("_tokens", tokens).groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")), "cells")
-    return rows.withColumn("_tokens", tokens), work.put(probabilities(raked(cells, wanted, work), share), "cells-out")
+def _tokens(text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("bigint")
+
+
+def _cells(rows: DataFrame, wanted: dict[str, dict[str, float]] | None, share: float, work: Scratch) -> DataFrame:
+    cells = work.put(rows.groupBy(*(f"_{d}" for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")), "cells")
+    return work.put(probabilities(raked(cells, wanted or {}, work), share), "cells-out")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wanted: dict[str, dict[str, float]] | None = None, share: float = SHARE, topic: Column | None = None) -> DataFrame:
     """One row per document: id, source, lang, topic, n_tokens, weight (its raked tokens), probability and sampled."""
-    rows, cells = _mixed(docs, Scratch(docs.sparkSession, "mixing"), id_col=id_col, text_col=text_col, wanted=wanted or {}, share=share, topic=topic)
+    work = Scratch(docs.sparkSession, "mixing")
     keys = [f"_{d}" for d in DIMENSIONS]
-    rows = rows.select(F.col(id_col).alias(id_col), "source", "lang", *keys, "_tokens", "_u")
+    rows = described(docs, id_col=id_col, text_col=text_col, topic=topic).withColumn("_tokens", _tokens(text_col))
+    rows = work.put(rows.select(F.col(id_col).alias("_id"), F.col("source").alias("_s"), F.col("lang").alias("_l"), *keys, "_tokens", "_u"), "rows")  # the texts are read once
+    cells = _cells(rows, wanted, share, work)
     weight = F.when(F.col("tokens") > 0, F.col("_tokens") * F.col("weight") / F.col("tokens")).otherwise(0.0)
     joined = rows.join(cells.select(*keys, "tokens", "weight", "probability"), keys)
-    return joined.select(id_col, "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), weight.alias("weight"), "probability", (F.col("_u") < F.col("probability")).alias("sampled"))
+    return joined.select(F.col("_id").alias(id_col), F.col("_s").alias("source"), F.col("_l").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), weight.alias("weight"), "probability", (F.col("_u") < F.col("probability")).alias("sampled"))
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wanted: dict[str, dict[str, float]] | None = None, share: float = SHARE, topic: Column | None = None) -> DataFrame:
     """The sampled documents, with their columns."""
-    rows, cells = _mixed(docs, Scratch(docs.sparkSession, "mixing"), id_col=id_col, text_col=text_col, wanted=wanted or {}, share=share, topic=topic)
     keys = [f"_{d}" for d in DIMENSIONS]
-    probable = cells.select(*keys, F.col("probability").alias("_probability"))
-    return rows.join(probable, keys).where("_u < _probability").select(*docs.columns)
+    rows = described(docs, id_col=id_col, text_col=text_col, topic=topic)
+    cells = _cells(rows.withColumn("_tokens", _tokens(text_col)), wanted, share, Scratch(docs.sparkSession, "mixing"))
+    return rows.join(cells.select(*keys, F.col("probability").alias("_probability")), keys).where("_u < _probability").select(*docs.columns)
