@@ -19,6 +19,7 @@ is packed under null; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import Scratch
-from veilspark.llm.token_count import tokenizer
+from veilspark.llm.token_count import BYTE_CHARACTERS, tokenizer
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,18 +45,38 @@ ROWS_A_GROUP = 100_000
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
+# words whose parts are certain: printable ASCII but the apostrophe and what could open an added token, and Latin letters
+SIMPLE = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
 class WordIds(dict):
     """The ids of a run of characters other than space and line feed, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and none of its tokens crosses it, so a text's ids are its words' ids in a row.
+    The tokenizer drops white space and none of its tokens crosses it, so a text's ids are its words' ids in a row. A
+    simple word is its parts (letters, single digits, signs) in a row, which the tokenizer's model merges each on its
+    own after lower-casing; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = tokenizer(path).encode
+        self.encode, self.merge, self.parts = tokenizer(path).encode, tokenizer(path).model.tokenize, {}
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            found = np.array([x.id for x in self.merge("".join(BYTE_CHARACTERS[b] for b in text.encode()))], "<u4").tobytes()
+            if len(self.parts) >= CACHED:
+                self.parts.clear()
+            if len(text) <= LONG_WORD:
+                self.parts[text] = found
+        return found
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if SIMPLE.fullmatch(word):
+            found = b"".join(map(self.part, PARTS.findall(word.lower())))
+        else:
+            found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONG_WORD:
             if len(self) >= CACHED:
                 self.clear()
@@ -63,12 +84,18 @@ class WordIds(dict):
         return found
 
 
+@lru_cache(maxsize=2)
+def remembered(path: str) -> WordIds:
+    """Kept by the worker from task to task."""
+    return WordIds(path)
+
+
 def token_bytes(text: str, words: WordIds) -> bytes:
     return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    words, end, size = WordIds(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+    words, end, size = remembered(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             row, piece, start, length, crc = [], [], [], [], []
