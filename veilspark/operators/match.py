@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.text import normalized, target_words
 from veilspark.sources.layout import CHAR_WIDTH, KEY
+from veilspark.sources.tables import stored
 
 HIT = [*KEY, "entity"]
 MOST_SPAN = 100  # points between the first and last word of a sequence with gaps
@@ -149,12 +150,12 @@ def across_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -
 
 def find_occurrences(line_table: DataFrame, word_table: DataFrame, literal_table: DataFrame) -> DataFrame:
     """All ways together: entity's occurrences with box, line, partial flag, text and the way that found them; equal boxes once."""
-    words, literals = flat_words(word_table), prepared(literal_table)
-    found = exact(words, literals)
-    found = found.unionByName(gapped(words, literals, found))
-    found = found.unionByName(respaced(words, line_table, literals, found))
-    found = found.unionByName(inside_words(words, literals))
-    found = found.unionByName(inside_lines(line_table, literals, found))
+    words, literals = stored(flat_words(word_table)), stored(prepared(literal_table))
+    found = stored(exact(words, literals))
+    found = stored(found.unionByName(gapped(words, literals, found)))
+    found = stored(found.unionByName(respaced(words, line_table, literals, found)))
+    found = stored(found.unionByName(inside_words(words, literals)))
+    found = stored(found.unionByName(inside_lines(line_table, literals, found)))
     found = found.unionByName(across_lines(line_table, literals, found))
     first = Window.partitionBy(*HIT, "left", "top", "right", "bottom").orderBy("strategy", "at", "full_text")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*OUT)
