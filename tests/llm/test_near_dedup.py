@@ -45,8 +45,12 @@ def test_whole_table(spark, small, width):
     check(spark, [(r.doc_id, r.text) for r in small], width)
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("long_list,block", [(64, 1024), (2, 7)])
+def test_large_group_of_near_copies(spark, monkeypatch, long_list, block):
     """Chains of edits: many members are too far from any leader, but linked through others."""
+    monkeypatch.setattr(n, "LONG_LIST", long_list)
+    monkeypatch.setattr(n, "BLOCK", block)
+    monkeypatch.setattr(n, "STAR_ROUNDS", 2 if block > 7 else 0)
     rng = random.Random(5)
     words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows, text = [], words

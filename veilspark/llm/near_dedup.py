@@ -9,9 +9,10 @@ pairs share one of the rarest (64 - MATCHES + 1) of either, so only these are me
 looked at only when the collisions of a candidate are counted. Values of a single set end the search for most sets
 at once, and a passage that half the corpus shares is in the skipped lists.
 
-A posting list is never expanded into all its pairs. In each round every list is compared with one leader; sets that
-turn out linked fall into one component, and later rounds and the last step only look at pairs whose components still
-differ. No list is cut: the last step compares what is left.
+A posting list is never expanded into all its pairs. In each of STAR_ROUNDS rounds every list is compared with one
+leader of its own; sets that turn out linked fall into one component. The last step looks at the pairs whose components still
+differ, in all lists, and retains those with enough collisions, each from one list; longer lists are compared block by
+block, and only verified links leave a block. No list is cut.
 
 Defined cases: a null or blank text has an empty set (n_shingles 0) and no links; rows with a null id have no links,
 component_id null and stay; equal sets are one node whatever their texts; rows that repeat an id are one document.
@@ -34,8 +35,10 @@ COORDINATES = 64
 MATCHES = 38
 WIDTH = 5
 SIMILARITY = 0.8
-STAR_ROUNDS = 3
-PAIRS_A_NODE = 4  # more star rounds follow while the open pairs are more than this many for each node
+STAR_ROUNDS = 2
+ROWS_A_FILE = 250_000
+LONG_LIST = 64  # lists of more nodes are compared by blocks
+BLOCK = 1024
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
@@ -73,71 +76,132 @@ def classes(docs: DataFrame, *, id_col: str, text_col: str, width: int, coordina
     return rows.mapInArrow(lambda it: _signed(it, width, coordinates, False), f"id {id_type}, n_shingles bigint, set_key binary, sig array<bigint>")
 
 
-def _prefixes(nodes: DataFrame, work: Scratch, coordinates: int, matches: int) -> DataFrame:
-    """(key, node): the postings that take part in merging."""
-    posted = nodes.select("node", F.explode("sig").alias("key"))
+def _prefixes(nodes: DataFrame, work: Scratch, matches: int) -> DataFrame:
+    """The postings that take part in merging: key, coordinate c, node, n, mask (the coordinates in the node's prefix) and brief (32 bits of each coordinate)."""
+    posted = nodes.select("node", F.posexplode("sig").alias("c", "key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    lists = posted.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))  # at most `coordinates` keys a node
-    lists = lists.where(F.size("keys") >= matches)
-    kept = lists.select("node", F.explode(F.expr(f"slice(keys, 1, size(keys) - {matches - 1})")).alias("k"))
-    return work.put(kept.select(F.col("k.key").alias("key"), "node"), "postings")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with enough collisions whose full sets are similar enough; a is the side that many pairs share."""
-    side = lambda p: sets.select(F.col("node").alias(p), F.col("n").alias(f"n_{p}"), F.col("sig").alias(f"sig_{p}"), F.col("shingles").alias(f"set_{p}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    both = both.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-    both = both.where(F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)") >= matches)
-    both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    lists = posted.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key", "c"))).alias("keys"))  # at most a key for each coordinate
+    lists = lists.where(F.size("keys") >= matches).select("node", F.expr(f"slice(keys, 1, size(keys) - {matches - 1})").alias("keys"))
+    lists = work.put(lists.select("node", F.expr("transform(keys, k -> named_struct('key', k.key, 'c', k.c))").alias("keys")), "prefixes")
+    postings = lists.select("node", F.explode("keys").alias("k")).select(F.col("k.key").alias("key"), F.col("k.c").alias("c"), "node")
+    longer = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    mask = F.expr("aggregate(keys, 0L, (m, k) -> m | shiftleft(1L, k.c))")
+    briefs = lists.select("node", mask.alias("mask")).join(nodes.select("node", "n", F.expr("transform(sig, x -> cast(x & 2147483647L as int))").alias("brief")), "node")
+    return work.put(postings.join(longer, "key").join(briefs, "node"), "postings")
+
+
+def _close(percent: int, matches: int) -> str:
+    """SQL: sizes allow the similarity, and enough coordinates collide."""
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and aggregate(zip_with(brief_a, brief_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {matches}"
+
+
+def _with_leaders(current: DataFrame, round_: int, matches: int, percent: int) -> DataFrame:
+    """Pairs of a list's leader and each of its nodes in another component. A list's leader depends on the list, so a node meets as many leaders as it has lists."""
+    turn = F.xxhash64("node", "key", F.lit(round_)) if round_ else F.xxhash64("node", "key")
+    lead = current.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "label", "n", "brief")).alias("lead"))
+    lead = lead.select(F.col("key"), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("node", "label", "n", "brief")))
+    rows = current.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "brief")))
+    pairs = rows.join(lead, "key").where(f"label_a != label_b and {_close(percent, matches)}")
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _open_pairs(rows: DataFrame, matches: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that share one of the shorter lists and are close.
+
+    The join itself counts the collisions, and a pair comes from one list only: that of the least coordinate that both
+    prefixes hold and that collides.
+    """
+    side = lambda p: rows.select("key", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "c", "n", "mask", "brief")))
+    earlier = "exists(sequence(0, c_a), i -> i < c_a and brief_a[i] = brief_b[i] and (shiftrightunsigned(mask_a & mask_b, i) & 1L) = 1L)"
+    fits = F.expr(f"node_a < node_b and label_a != label_b and {_close(percent, matches)} and not {earlier}")
+    a, b = side("a"), side("b")
+    return a.join(b, (a["key"] == b["key"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _linked_in_block(table: pa.Table, matches: int, percent: int) -> pa.Table:
+    """The links between two blocks of one list (or inside one block): the same pairs as in _open_pairs, verified on the spot.
+
+    Pairs whose components have met in this block are passed over; only links leave.
+    """
+    node, label, n, first = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
+    bits = ((table.column("mask").to_numpy()[:, None] >> np.arange(64)) & 1).astype(bool)
+    brief = np.array(table.column("brief").to_pylist(), np.int32)
+    sets = [np.array(x, np.int64) for x in table.column("shingles").to_pylist()]
+    c = table.column("c")[0].as_py()
+    inside = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    top = {x: x for x in label.tolist()}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    right = np.arange(len(node)) if inside else np.flatnonzero(first == 1)
+    for a in range(len(node)) if inside else np.flatnonzero(first == 0):
+        b = right[right > a] if inside else right
+        b = b[(label[b] != label[a]) & (node[b] != node[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a]))]
+        same = brief[b] == brief[a]
+        b = b[(same.sum(axis=1) >= matches) & ~(same[:, :c] & bits[b, :c] & bits[a, :c]).any(axis=1)]
+        for k in b.tolist():
+            x, y = root(int(label[a])), root(int(label[k]))
+            if x != y:
+                common = len(np.intersect1d(sets[a], sets[k], assume_unique=True))
+                if 100 * common >= percent * (len(sets[a]) + len(sets[k]) - common):
+                    top[max(x, y)] = min(x, y)
+                    out.append((int(node[a]), int(node[k])))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+
+def _open_links(rows: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links in the longer lists: each is dealt into blocks of about BLOCK nodes, and pairs of blocks are compared in tasks of their own."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    rows = rows.withColumn("side", (F.col("mine") > F.col("other")).cast("int")).join(sets.select("node", "shingles"), "node")
+    return rows.select("key", "i", "j", "side", "node", "label", "c", "n", "mask", "brief", "shingles").groupBy("key", "i", "j").applyInArrow(lambda t: _linked_in_block(t, matches, percent), "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    side = lambda p: sets.select(F.col("node").alias(p), F.col("n").alias(f"n_{p}"), F.col("shingles").alias(f"set_{p}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return both.where(F.expr(f"100L * common >= {percent}L * (n_a + n_b - common)")).select("a", "b")
 
 
 def links(docs: DataFrame, nodes: DataFrame, work: Scratch, *, id_col: str, text_col: str, width: int, coordinates: int, matches: int, percent: int) -> DataFrame:
     """(node, label) for the nodes that have links: the least node that similar sets lead to."""
-    postings = _prefixes(nodes, work, coordinates, matches)
-    lists = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    postings = work.put(postings.join(lists.select("key"), "key"), "merged")
+    postings = _prefixes(nodes, work, matches)
     wanted = work.put(postings.select("node").distinct(), "wanted")
     n_wanted = wanted.count()
+    nothing = nodes.select("node", F.col("node").alias("label")).limit(0)
+    if not n_wanted:
+        return nothing
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(broadcast_if_small(wanted, n_wanted, 16), "node", "left_semi")
     sets = texts.mapInArrow(lambda it: _signed(it, width, coordinates, True), "node bigint, n bigint, sig array<bigint>, shingles array<bigint>")
     # an id that carries several texts stands for the set it was posted with
-    sets = work.put(sets.join(nodes.select("node", F.col("sig").alias("own")), "node").where("sig = own").drop("own").dropDuplicates(["node"]), "sets")
-    found = None
-    tested = None
-    label = None
-    last = False
-    r = 0
-    while n_wanted:
-        current = postings if label is None else postings.join(label, "node", "left")
-        current = current.select("key", "node", (F.col("node") if label is None else F.coalesce("label", "node")).alias("label"))
-        if r >= STAR_ROUNDS:
-            sizes = current.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.expr("(sum(m) * sum(m) - sum(m * m)) / 2").alias("open"))
-            last = (sizes.agg(F.sum("open")).first()[0] or 0) <= PAIRS_A_NODE * n_wanted or r >= 4 * STAR_ROUNDS
-        if last:
-            one = current.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-            two = current.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            mixed = current.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-            pairs = one.join(mixed, "key").join(two, "key").where("a < b and la != lb").select("a", "b").distinct()
+    sets = work.put(sets.join(nodes.select("node", F.col("sig").alias("own")), "node").where("sig = own").drop("own", "sig").dropDuplicates(["node"]), "sets")
+    files = n_wanted // ROWS_A_FILE + 1
+    found = tested = label = None
+    for r in range(STAR_ROUNDS + 1):
+        current = postings.withColumn("label", F.col("node")) if label is None else postings.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if r < STAR_ROUNDS:
+            pairs = _with_leaders(current, r, matches, percent)
         else:
-            # a different leader each round: the node with the least hash of (node, round)
-            lead = current.groupBy("key").agg(F.min(F.struct((F.xxhash64("node", F.lit(r)) if r else F.col("node")).alias("turn"), "node", "label")).alias("lead"))
-            pairs = current.join(lead, "key").where("label != lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+            lists = current.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
+            current = work.put(current.join(lists, "key"), "open")
+            pairs = _open_pairs(current.where(F.col("m") <= LONG_LIST), matches, percent)
         if tested is not None:
-            # a pair may have been tested from its other end
-            pairs = pairs.join(tested, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
-        pairs = work.put(pairs, f"pairs-{r}")
-        new = work.put(_verified(pairs, sets, matches, percent), f"links-{r}")
-        done = pairs.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-        tested = done if tested is None else tested.unionByName(done)
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = work.put(pairs.coalesce(4 * files) if r < STAR_ROUNDS else pairs, f"pairs-{r}")
+        new = _verified(pairs, sets, percent)
+        if r == STAR_ROUNDS:
+            new = new.unionByName(_open_links(current.where(F.col("m") > LONG_LIST), sets, matches, percent))
+        new = work.put(new.coalesce(4 * files) if r < STAR_ROUNDS else new, f"links-{r}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
-            label = components(found, work, f"components-{r}")
-        if last:
-            break
-        r += 1
-    return label if label is not None else nodes.select("node", F.col("node").alias("label")).limit(0)
+            label = components(found, work, f"components-{r}", files)
+    return nothing if label is None else label
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -147,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = work.put(classes(docs, id_col=id_col, text_col=text_col, width=width, coordinates=coordinates), "signatures")
     named = rows.where("set_key is not null and id is not null")
     reps = work.put(named.groupBy("set_key").agg(F.min("id").alias("node")), "classes")
-    nodes = named.join(reps, "set_key").where("id = node").select("node", "sig").dropDuplicates(["node"])
+    nodes = named.join(reps, "set_key").where("id = node").select("node", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["node"])
     nodes = work.put(nodes, "nodes")
     label = links(docs, nodes, work, id_col=id_col, text_col=text_col, width=width, coordinates=coordinates, matches=matches, percent=percent)
     where_to = reps.join(label, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
