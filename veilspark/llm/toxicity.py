@@ -49,11 +49,13 @@ LONGEST = 48  # longer tokens are decoded between their signs
 STANDS_FOR = {"0": {"o": 0.9}, "1": {"i": 0.5, "l": 0.4}, "2": {"z": 0.6}, "3": {"e": 0.9}, "4": {"a": 0.9}, "5": {"s": 0.9}, "6": {"g": 0.5, "b": 0.3}, "7": {"t": 0.9}, "8": {"b": 0.8}, "9": {"g": 0.8}, "@": {"a": 0.9}, "$": {"s": 0.9}, "!": {"i": 0.6, "l": 0.1}, "|": {"l": 0.4, "i": 0.4}, "+": {"t": 0.6}, "(": {"c": 0.6}, "<": {"c": 0.5}, "€": {"e": 0.9}, "£": {"l": 0.7}}
 WILD = "*"  # may stand for any letter
 WILD_SHARE = 0.5
+MOST_WILD = 2  # more of them in one token are separators
 KEPT_TWICE = 0.1  # how likely a longer run of a letter meant two of them
 
 SET_APART = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-INNER = re.compile(r"[a-z].*[^a-z].*[a-z]|^[^a-z\s]+[a-z]|[a-z][^a-z\s]+$|^[^a-z\s]*[a-z][^a-z\s]*$", re.S)
+SIGN_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+HIDDEN = re.compile(r"[^\W\d_].*[\d\W_]|[\d\W_].*[^\W\d_]", re.S)
 RUN = re.compile(r"(.)\1+", re.S)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOL = np.full(256, 27, np.uint8)
@@ -108,7 +110,7 @@ class CharacterModel:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of one character, what it may have meant and the log of how likely."""
     out = []
-    wild = token.count(WILD) <= 3
+    wild = token.count(WILD) <= MOST_WILD
     for run in re.finditer(r"(.)\1*", token, re.S):
         c, n = run.group(1), len(run.group())
         if c in LETTERS:
@@ -195,8 +197,12 @@ class Scorer(dict):
             return found
         if len(token) > LONGEST:
             return next((x for x in map(self.word, filter(None, re.split(r"[\W_]+", token))) if x), 0) if re.search(r"[\W_]", token) else 0
-        if INNER.search(token) or RUN.sub(r"\1", inner) in self.runs:
-            for form in filter(None, dict.fromkeys((token, inner))):
+        body = SIGN_EDGES.sub("", token)
+        at = token.find(body)
+        if at > 0 and token[at - 1] in "@$":
+            body = token[at - 1] + body
+        if HIDDEN.search(body) or RUN.sub(r"\1", inner) in self.runs:
+            for form in filter(None, dict.fromkeys((body, inner))):
                 if found := self.lexicon.match(decode(form, self.model)):
                     return found
         return 0
