@@ -51,12 +51,12 @@ def _by_line(runs: DataFrame, words: DataFrame, strategy: str) -> DataFrame:
 
 def exact(words: DataFrame, literals: DataFrame) -> DataFrame:
     """Way 1: runs of words equal to the literal's, leftmost ones that don't overlap, also across lines."""
-    widest = literals.agg(F.max("n")).first()[0] or 1  # words of the longest literal
-    window = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.currentRow, Window.currentRow + widest - 1)
-    seen = words.withColumn("ahead", F.collect_list("norm").over(window))
-    hit = seen.join(literals.where("n > 0"), (seen["client_id"] == literals["client_id"]) & (seen["norm"] == literals["first"])).drop(literals["client_id"])
-    short = hit.where("slice(ahead, 1, n) = targets")
-    starts = short.groupBy(*HIT, "n").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
+    hit = words.select(*KEY, "pos", "norm").join(literals.where("n > 0").select("client_id", F.col("first").alias("norm"), "entity", "targets", "n"), ["client_id", "norm"])
+    # the words after the first one are looked up by their places: few rows, so the words themselves aren't gathered
+    rest = hit.where("n > 1").select(*HIT, "n", F.col("pos").alias("start"), F.posexplode("targets").alias("j", "norm")).where("j > 0").withColumn("pos", F.col("start") + F.col("j"))
+    whole = rest.join(words.select(*KEY, "pos", "norm"), [*KEY, "pos", "norm"]).groupBy(*HIT, "n", "start").count().where("count = n - 1")
+    first = hit.where("n = 1").select(*HIT, "n", F.col("pos").alias("start")).unionByName(whole.select(*HIT, "n", "start"))
+    starts = first.groupBy(*HIT, "n").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     runs = starts.select(*HIT, "n", F.explode(not_overlapping("starts", "n")).alias("run"))
     return _by_line(runs.select(*HIT, "run", F.explode(F.sequence("run", F.col("run") + F.col("n") - 1)).alias("pos")), words, "1")
 
