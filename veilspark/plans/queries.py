@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns, text
-from veilspark.operators import crm, detect, match, redact, spatial, tokens
+from veilspark.operators import crm, detect, match, redact, review, spatial, tokens
 from veilspark.plans.cases import CASES, MATCH_DOCS, table
 from veilspark.sources import layout
+from veilspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -416,3 +417,118 @@ def pii_by_client_rollup(spark, sf_dir):
     docs = documents(spark, sf_dir)
     rows = detect.detect(docs, patterns.ALL).join(docs.select("doc_id", F.col("source").alias("client_id")), "doc_id")
     return rows.rollup("client_id", "category").agg(F.count("*").alias("n_spans"), F.count_distinct("value").alias("n_values"))
+
+
+@query
+def selection_text(spark, sf_dir):
+    return review.selection_text(table(spark, "picked"))
+
+
+@query
+def selection_toggled(spark, sf_dir):
+    sets = spark.sql("SELECT * FROM (VALUES (1, array('a', 'b'), array('b')), (2, array('a'), array('a', 'c')), (3, array('x'), array('x'))) AS t(id, s, k)")
+    return sets.select("id", F.array_join(F.array_sort(review.toggled(F.col("s"), F.col("k"))), ",").alias("keys"))
+
+
+@query
+def selection_boxes(spark, sf_dir):
+    return review.selection_boxes(table(spark, "line_words"), table(spark, "box_lines"))
+
+
+@query
+def review_actions(spark, sf_dir):
+    return review.apply_actions(table(spark, "decided").drop("shown"), table(spark, "actions"))
+
+
+@query
+def review_effective(spark, sf_dir):
+    return review.effective(table(spark, "seen_recs").drop("n_occ"), table(spark, "decided"))
+
+
+@query
+def review_visible(spark, sf_dir):
+    return review.visible(table(spark, "seen_recs"), table(spark, "manual"), table(spark, "decided"))
+
+
+@query
+def review_set_token(spark, sf_dir):
+    return review.set_token(table(spark, "decided"), "Same", "NAME_2").select("entity", "token")
+
+
+@query
+def virtual_words(spark, sf_dir):
+    return review.virtual_words(table(spark, "box_lines"), table(spark, "line_words"))
+
+
+@query
+def words_stretched(spark, sf_dir):
+    rows = review.stretched(table(spark, "line_words"), table(spark, "box_lines").withColumn("rotation", F.lit(0)))
+    return rows.select("page", "line_id", "word_index", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+@query
+def overlay_boxes(spark, sf_dir):
+    return review.overlay(table(spark, "derived"), True)
+
+
+@query
+def entity_preview(spark, sf_dir):
+    return review.preview(client_literals(spark, sf_dir))
+
+
+@query
+def numbers_or_default(spark, sf_dir):
+    return table(spark, "numbers").select("id", text.number_or(F.col("raw"), -1.0).alias("value"))
+
+
+@query
+def lines_zero_advance(spark, sf_dir):
+    return table(spark, "glyphs").select("id", text.zero_advance(F.col("w"), F.col("content")).alias("dropped"))
+
+
+@query
+def font_ratio(spark, sf_dir):
+    spans = spark.sql("SELECT * FROM (VALUES (1, 0, 'first line', 9.0D), (1, 1, 'second line of all', 10.0D), (1, 2, 'right', 8.0D), (2, 3, 'page two', 10.0D)) AS t(page, ord, text, size)")
+    return spatial.font_ratio(table(spark, "box_lines"), spans).select("page", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def token_conflicts(spark, sf_dir):
+    rows = table(spark, "values").select("entity", "token").unionByName(spark.sql("SELECT 'Bob' AS entity, 'NAME_8' AS token")).withColumn("doc", F.lit(1))
+    return tokens.token_conflicts(rows, ["doc"])
+
+
+@query
+def token_inherited(spark, sf_dir):
+    rows = tokens.with_explicit(table(spark, "values"), ["doc"], ["ord"])
+    return tokens.inherit(rows, spark.sql("SELECT 1 AS doc, 'Mr Bob' AS variant, 'Bob' AS alias_of UNION ALL SELECT 2, 'Ms Ann', 'Ann' UNION ALL SELECT 2, 'x', 'Bob'"), ["doc"])
+
+
+@query
+def regions_absorbed(spark, sf_dir):
+    rows = table(spark, "merge_sets")
+    return crm.absorb(rows.where("kind = 'U'"), rows.where("kind = 'R'").drop("kind"))
+
+
+@query
+def status_latched(spark, sf_dir):
+    return table(spark, "status").select("id", crm.latched(F.coalesce("persisted", F.lit("idle")), F.lit("analyzed")).alias("status"))
+
+
+@query
+def documents_without_review(spark, sf_dir):
+    docs = documents(spark, sf_dir).select(F.col("source").alias("client_id"), "doc_id")
+    return ingest.new_documents(docs, detect.detect(documents(spark, sf_dir), patterns.ALL).select("doc_id").join(docs, "doc_id"))
+
+
+@query
+def occurrences_deduped(spark, sf_dir):
+    boxes = table(spark, "boxes").withColumn("entity", F.lit("E"))
+    again = boxes.withColumn("ord", F.col("ord") + 10).where("page = 1")
+    return detect.dedupe_occurrences(boxes.unionByName(again), ["entity"]).select("page", "ord")
+
+
+@query
+def layout_slim(spark, sf_dir):
+    rows = layout.slim_layout(lines(spark, sf_dir))
+    return rows.select("doc_id", "page", F.get_json_object("line", "$.id").cast("int").alias("line_id"), F.get_json_object("line", "$.content").alias("content"), F.get_json_object("line", "$.is_ghost").isNull().alias("no_ghost_key"))
