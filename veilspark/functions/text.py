@@ -29,14 +29,19 @@ def scan(text: Column, pattern: str | Column) -> Column:
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     parts = F.split(F.regexp_replace(F.translate(text, MARK, " "), pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        end = s["at"] + F.char_length(x)
-        found = F.array(F.struct(s["at"].alias("start"), end.alias("end"), x.alias("value")))
-        return F.struct((s["i"] + 1).alias("i"), end.alias("at"), F.when(s["i"] % 2 == 1, F.concat(s["out"], found)).otherwise(s["out"]).alias("out"))
+    def spans(p: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            value = F.element_at(p, k * 2)
+            start = s["at"] + F.char_length(F.element_at(p, k * 2 - 1))
+            end = start + F.char_length(value)
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
 
-    return F.aggregate(parts, begin, step, lambda s: s["out"])
+        n = F.floor((F.size(p) - 1) / 2).cast("int")
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), begin, step, lambda s: s["out"])).otherwise(F.array().cast(SPANS))
+
+    return F.element_at(F.transform(F.array(parts), spans), 1)  # the parts are worked out once
 
 
 CATEGORY_NAMES = {"EMAIL_ADDRESS": "EMAIL", "SG_PHONE": "PHONE_NUMBER"}  # fixed values
