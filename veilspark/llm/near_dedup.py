@@ -192,11 +192,11 @@ def links(docs: DataFrame, nodes: DataFrame, work: Scratch, *, id_col: str, text
             pairs = _open_pairs(current.where(F.col("m") <= LONG_LIST), matches, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.put(pairs.coalesce(4 * files) if r < STAR_ROUNDS else pairs, f"pairs-{r}")
+        pairs = work.put(pairs.coalesce(64 * files) if r < STAR_ROUNDS else pairs, f"pairs-{r}")
         new = _verified(pairs, sets, percent)
         if r == STAR_ROUNDS:
             new = new.unionByName(_open_links(current.where(F.col("m") > LONG_LIST), sets, matches, percent))
-        new = work.put(new.coalesce(4 * files) if r < STAR_ROUNDS else new, f"links-{r}")
+        new = work.put(new.coalesce(64 * files) if r < STAR_ROUNDS else new, f"links-{r}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
