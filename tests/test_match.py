@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from veilspark.operators import match
 from veilspark.plans.cases import MATCH_DOCS, TABLES
 from veilspark.plans.queries import QUERIES
@@ -104,7 +106,9 @@ def plain_occurrences(entity, text):
     return {f[:3] for f in found}
 
 
-def test_all_ways(spark):
+@pytest.mark.parametrize("listed", [500, 3])
+def test_all_ways(spark, monkeypatch, listed):
+    monkeypatch.setattr(match, "MOST_LISTED", listed)
     found = {}
     for r in QUERIES["match_cases"](spark, "").collect():
         found.setdefault((r.entity, r.doc_id), set()).add((r.line_id, r.left, r.right))

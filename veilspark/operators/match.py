@@ -17,6 +17,7 @@ from veilspark.sources.layout import CHAR_WIDTH, KEY
 from veilspark.sources.tables import stored
 
 HIT = [*KEY, "entity"]
+MOST_LISTED = 500  # literals of a client that its lines are held against one by one
 MOST_SPAN = 100  # points between the first and last word of a sequence with gaps
 OUT = [*HIT, "strategy", "line_id", "left", "top", "right", "bottom", "partial", "full_text"]
 
@@ -87,13 +88,15 @@ def respaced(words: DataFrame, line_table: DataFrame, literals: DataFrame, found
 
     A start is found by an equi-join on the first four letters of what follows it in the line.
     """
-    kept = words.where("norm != ''")
-    widest = literals.agg(F.max(F.char_length("joined"))).first()[0] or 1  # a word has a letter at least
-    window = Window.partitionBy(*KEY, "line_id").orderBy("pos")
-    kept = kept.withColumn("ahead", F.collect_list(F.struct("norm", "pos")).over(window.rowsBetween(Window.currentRow, Window.currentRow + widest)))
-    kept = kept.withColumn("head", F.substring(F.array_join(F.transform(F.slice("ahead", 1, 4), lambda x: x["norm"]), ""), 1, 4))
+    line = Window.partitionBy(*KEY, "line_id").orderBy("pos")
+    kept = words.where("norm != ''").withColumn("k", F.row_number().over(line))
+    kept = kept.withColumn("head", F.substring(F.concat("norm", *(F.coalesce(F.lead("norm", i).over(line), F.lit("")) for i in (1, 2, 3))), 1, 4))
     wanted = literals.where("char_length(joined) >= 4").withColumn("head", F.substring("joined", 1, 4)).select("client_id", "entity", "joined", "n", "head")
     rows = kept.join(wanted, ["client_id", "head"]).join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
+    # a word has a letter at least, so as many words as the literal has letters are enough; they are looked up by place
+    places = rows.select(*KEY, "line_id", "entity", F.col("k").alias("start"), F.explode(F.sequence("k", F.col("k") + F.char_length("joined"))).alias("k"))
+    ahead = places.join(kept.select(*KEY, "line_id", "k", "norm", "pos"), [*KEY, "line_id", "k"]).groupBy(*KEY, "line_id", "entity", F.col("start").alias("k"))
+    rows = rows.join(ahead.agg(F.array_sort(F.collect_list(F.struct("k", "norm", "pos"))).alias("ahead")), [*KEY, "line_id", "entity", "k"])
     fold = "aggregate(ahead, named_struct('acc', '', 'k', 0, 'end', -1), (s, x) -> if(s.end >= 0 or char_length(s.acc) >= char_length(joined), s, named_struct('acc', concat(s.acc, x.norm), 'k', s.k + 1, 'end', if(concat(s.acc, x.norm) = joined, x.pos, -1))))"
     rows = rows.withColumn("f", F.expr(fold))
     whole = rows.where("f.end >= 0 and not (f.k = 1 and n = 1)")
@@ -121,16 +124,24 @@ def inside_words(words: DataFrame, literals: DataFrame) -> DataFrame:
 def inside_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
     """Way 3: the literal anywhere in a line's content, letters around it or not; in lines not hit yet. The box is the line's.
 
-    A place of the literal is found through its first four letters: every four letters in a row of a line are a key.
-    Literals of fewer letters are joined by client alone.
+    A client's literals stand in one list that its lines are held against in a single pass. Where a client has more than
+    MOST_LISTED, places are found by keys instead: the first four letters of a literal and every four letters in a row
+    of a line; literals of fewer letters are joined by client alone.
     """
     line = line_table.select(*KEY, "line_id", "content", "left", "top", "right", "bottom", F.lower("content").alias("low"))
     wanted = literals.select("client_id", "entity", F.lower("entity").alias("needle"))
-    long, short = wanted.where("char_length(needle) >= 4").withColumn("gram", F.substring("needle", 1, 4)), wanted.where("char_length(needle) < 4")
-    grams = line.where("char_length(low) >= 4").withColumn("gram", F.explode(F.expr("array_distinct(transform(sequence(1, char_length(low) - 3), i -> substring(low, i, 4)))"))).select(*KEY, "line_id", "gram")
-    keys = grams.join(long, ["client_id", "gram"]).select(*KEY, "line_id", "entity", "needle").distinct()
-    rows = keys.join(line, [*KEY, "line_id"]).unionByName(line.join(short, "client_id").select(*KEY, "line_id", "entity", "needle", "content", "left", "top", "right", "bottom", "low"))
-    rows = rows.where(F.contains("low", "needle")).join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
+    many = wanted.groupBy("client_id").agg((F.count("*") > MOST_LISTED).alias("many"))
+    wanted = wanted.join(many, "client_id")
+    lists = wanted.where("not many").groupBy("client_id").agg(F.collect_list(F.struct("entity", "needle")).alias("lits"))
+    rows = line.join(lists, "client_id").withColumn("l", F.explode(F.filter("lits", lambda x: F.contains(F.col("low"), x["needle"])))).select(*line.columns, F.col("l.entity").alias("entity"), F.col("l.needle").alias("needle"))
+    if not many.where("many").isEmpty():
+        keyed = wanted.where("many").drop("many")
+        long, short = keyed.where("char_length(needle) >= 4").withColumn("gram", F.substring("needle", 1, 4)), keyed.where("char_length(needle) < 4")
+        grams = line.where("char_length(low) >= 4").join(many.where("many").select("client_id"), "client_id").withColumn("gram", F.explode(F.expr("array_distinct(transform(sequence(1, char_length(low) - 3), i -> substring(low, i, 4)))"))).select(*KEY, "line_id", "gram")
+        keys = grams.join(long, ["client_id", "gram"]).select(*KEY, "line_id", "entity", "needle").distinct()
+        more = keys.join(line, [*KEY, "line_id"]).select(*rows.columns).unionByName(line.join(short, "client_id").select(*rows.columns))
+        rows = rows.unionByName(more.where(F.contains("low", "needle")))
+    rows = rows.join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
     return rows.select(*HIT, F.lit("3").alias("strategy"), "line_id", "left", "top", "right", "bottom", F.lit(True).alias("partial"), F.col("content").alias("full_text"), F.lit(0).alias("at"))
 
 
