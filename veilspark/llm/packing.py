@@ -38,7 +38,7 @@ END_ID = 1
 ROUNDS = 250  # of multiplicative weights
 STEP = 0.5  # share of a configuration's scarcest length that a round covers
 RATE = 2.0  # how fast a weight falls with coverage
-CACHED = 400_000  # distinct words whose ids a worker remembers; emptied when full
+CACHED = 250_000  # distinct words whose ids a worker remembers; emptied when full
 LONG_WORD = 256
 ROWS_A_GROUP = 100_000
 

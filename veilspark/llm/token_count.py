@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OVER_LIMIT = 512
-CACHED = 400_000  # distinct pre-tokens that a worker remembers; emptied when full
+CACHED = 250_000  # distinct pre-tokens that a worker remembers; emptied when full
 LONG_PRETOKEN = 256  # longer ones aren't remembered
 BATCH_CHARS = 4_000_000  # texts of about this many characters share a dictionary
 

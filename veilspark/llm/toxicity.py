@@ -42,7 +42,7 @@ RIDGE = 0.02
 ORDER = 3
 SYMBOLS = 28  # 0: anything but a letter; 1-26: a-z; 27: other letters' bytes
 LEXICON_SHARE = 0.5  # of the lexicon in the character model
-CACHED = 400_000  # distinct tokens whose word a worker remembers; emptied when full
+CACHED = 200_000  # distinct tokens whose word a worker remembers; emptied when full
 LONGEST = 48  # longer tokens are decoded between their signs
 
 # Letters that a sign may stand for, and how likely (the rest of the probability: the sign is a mere separator).
