@@ -227,8 +227,8 @@ class Scorer(dict):
 def _character_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            total += character_counts([x or "" for x in batch.column(0).slice(at, 500).to_pylist()])
+        for at in range(0, batch.num_rows, 100):
+            total += character_counts([x or "" for x in batch.column(0).slice(at, 100).to_pylist()])
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["i", "n"])
 
@@ -293,10 +293,12 @@ def one_of_each(families: list[tuple[int, ...]]) -> set[tuple[int, ...]]:
     return kept
 
 
-def weigh(rows: list[tuple[list[int], int]], chosen: list[int]) -> tuple[list[float], float]:
-    """Weights of the chosen words and the base, by ridge logistic regression; equal rows are folded first."""
+def weigh(rows: list[tuple[list[int], int, int]], chosen: list[int]) -> tuple[list[float], float]:
+    """Weights of the chosen words and the base, by ridge logistic regression, from rows (words, toxic, how many)."""
     at = {w: k for k, w in enumerate(chosen)}
-    kinds = Counter((tuple(sorted(at[w] for w in words if w in at)), toxic) for words, toxic in rows)
+    kinds: Counter = Counter()
+    for words, toxic, n in rows:
+        kinds[tuple(sorted(at[w] for w in words if w in at)), toxic] += n
     x = np.zeros((len(kinds), len(chosen) + 1))
     x[:, -1] = 1
     y, n = np.zeros(len(kinds)), np.zeros(len(kinds))
@@ -323,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = broadcast_if_small(known, min(n, most_labelled), 24)
     rows = docs.join(known, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), F.col("_toxic").alias("toxic"))
     drawn = Scratch(docs.sparkSession, "toxicity").put(rows.mapInArrow(_sample_rows, "family array<bigint>, words array<string>, toxic int"), "sample")
-    kept = one_of_each([tuple(r["family"]) for r in drawn.select("family").collect()])  # at most about most_labelled rows
+    kept = one_of_each([tuple(x) for x in drawn.select("family").toArrow().column(0).to_pylist()])  # at most about most_labelled rows
     one = drawn.dropDuplicates(["family"])
     counts = one.mapInArrow(lambda it: _feature_rows(it, kept), "word string, toxic bigint, n bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("n > 1")
     labelled = one.mapInArrow(lambda it: _matched_rows(it, kept, []), "words array<int>, toxic int")
@@ -335,7 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     likely = counts.where((F.col("toxic") > 1) & (ratio > 2)).withColumn("gain", gain).where(F.col("gain") >= math.log(max(tried, 1) / CHANCE))
     best = likely.orderBy(F.col("gain").desc(), F.char_length("word").desc(), "word").limit(MOST_CANDIDATES).collect()
     words = most_telling([r["word"] for r in best])
-    sampled = [(list(r["words"]), r["toxic"]) for r in one.mapInArrow(lambda it: _matched_rows(it, kept, words), "words array<int>, toxic int").collect()]
+    matched = one.mapInArrow(lambda it: _matched_rows(it, kept, words), "words array<int>, toxic int").groupBy("words", "toxic").agg(F.count("*").alias("n"))
+    sampled = [(list(r["words"]), r["toxic"], r["n"]) for r in matched.collect()]  # equal rows once
     corpus = np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
     grams = docs.select(F.col(text_col).alias("text")).mapInArrow(_character_rows, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS ** (ORDER + 1) rows
     corpus[grams.column("i").to_numpy()] = grams.column("n").to_numpy()
