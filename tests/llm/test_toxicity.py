@@ -91,3 +91,24 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert {r.score for r in t.toxicity(odd, none).collect()} == {0.0}
     assert t.drop_toxic(odd, none).count() == len(odd_rows) and t.drop_toxic(odd, none).columns == odd.columns
     assert t.toxicity(empty, labels).count() == 0
+
+
+def restored(corpus, forms):
+    """The forms whose token doesn't give the lexicon entry that starts like the word."""
+    scorer = t.Scorer(*corpus[2])
+    stems = {i: s for s, i in scorer.stems.items()}
+    return {form: stems.get(scorer[form]) for form, word in forms.items() if not word.startswith(stems.get(scorer[form], "-"))}
+
+
+def test_signs_at_the_ends_are_letters(corpus):
+    forms = {"!diot": "idiot", "|oser": "loser", "+rash": "trash", "(lown": "clown", "<lown": "clown", "idio+": "idiot", "worthle$$": "worthless", "!d1ot": "idiot", "|0ser": "loser", "$cum": "scum", '"!diot",': "idiot", "!!idiot!!": "idiot"}
+    assert restored(corpus, forms) == {}
+
+
+def test_tokens_left_undecoded_could_not_match(corpus):
+    """The tree of the lexicon says no only where decoding finds nothing."""
+    scorer, rng = t.Scorer(*corpus[2]), random.Random(5)
+    for _ in range(3000):
+        word = rng.choice([*scorer.stems, "there", "stop", "closed"])
+        token = "".join(rng.choice("!|+(<01357@$.*-" + word) if rng.random() < 0.3 else c for c in word)
+        assert scorer.tree.reached(token) or not scorer.lexicon.match(t.decode(token, scorer.model)), token

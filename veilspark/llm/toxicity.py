@@ -8,7 +8,8 @@ regression weighs them. The character model counts runs of ORDER + 1 letters in
 
 Scoring. A token that hides letters (digits or signs among letters, a repeated letter, letters set apart) becomes a
 lattice: every sign offers the letters it may stand for, or nothing, every run of a letter one copy or two. The Viterbi
-path is the likeliest under the channel and the character model, which mixes the corpus with the lexicon. Restored
+path is the likeliest under the channel and the character model, which mixes the corpus with the lexicon. Only tokens
+with a path that the lexicon holds are decoded: of no other could the result match. Restored
 words that are in the lexicon add their weight, once a document, however often they occur.
 
 Defined cases: a null or blank text has no words and the base score; a null id counts as '' in the fold; without
@@ -107,24 +108,22 @@ class CharacterModel:
         self.log = np.log((1 - share) * parts[0] + share * parts[1]).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each run of one character, what it may have meant and the log of how likely."""
-    out = []
     wild = token.count(WILD) <= MOST_WILD
     for run in re.finditer(r"(.)\1*", token, re.S):
         c, n = run.group(1), len(run.group())
         if c in LETTERS:
-            out.append([(c, 0.0)] if n == 1 else [(c, math.log(1 - KEPT_TWICE)), (c * 2, math.log(KEPT_TWICE if n > 2 else 0.5))])
+            yield [(c, 0.0)] if n == 1 else [(c, math.log(1 - KEPT_TWICE)), (c * 2, math.log(KEPT_TWICE if n > 2 else 0.5))]
         elif c == WILD and wild:
-            out += [[("", math.log(1 - WILD_SHARE)), *((x, math.log(WILD_SHARE / 26)) for x in LETTERS)]] * n
+            yield from [[("", math.log(1 - WILD_SHARE)), *((x, math.log(WILD_SHARE / 26)) for x in LETTERS)]] * n
         elif c in STANDS_FOR:
             options = STANDS_FOR[c]
-            out.append([("", math.log(max(1e-3, 1 - sum(options.values())))), *((x, math.log(p)) for x, p in options.items())])
+            yield [("", math.log(max(1e-3, 1 - sum(options.values())))), *((x, math.log(p)) for x, p in options.items())]
         elif c.isalpha():
-            out.append([(folded(c) or "", 0.0)])
+            yield [(folded(c) or "", 0.0)]
         else:
-            out.append([("", 0.0)])
-    return out
+            yield [("", 0.0)]
 
 
 def folded(text: str) -> str:
@@ -169,6 +168,41 @@ class Lexicon:
         return found
 
 
+class Tree:
+    """The lexicon by letters: nodes lead to nodes; which of them end a word or a beginning."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.next: list[dict[str, int]] = [{}]
+        self.words = {self.node(w): i for w, i in lexicon.words.items()}
+        self.beginnings = {self.node(w): i for w, i in lexicon.beginnings.items()}
+
+    def node(self, word: str) -> int:
+        at = 0
+        for c in word:
+            if c not in self.next[at]:
+                self.next[at][c] = len(self.next)
+                self.next.append({})
+            at = self.next[at][c]
+        return at
+
+    def step(self, node: int | None, letters: str) -> int | None:
+        for c in letters:
+            if node is not None:
+                node = self.next[node].get(c)
+        return node
+
+    def reached(self, token: str) -> bool:
+        """Whether any path of the token's lattice is a lexicon word or starts with a beginning; if none is, no decoding can match."""
+        nodes = {0}
+        for options in lattice(token):
+            nodes = {to for x, _ in options for at in nodes if (to := self.step(at, x)) is not None}
+            if not nodes:
+                return False
+            if not nodes.isdisjoint(self.beginnings):
+                return True
+        return not nodes.isdisjoint(self.words)
+
+
 class Scorer(dict):
     """token -> its lexicon word's number and 1, or 0; with the rule that adds a document's words up."""
 
@@ -179,6 +213,7 @@ class Scorer(dict):
         self.stems = {s: i + 1 for i, s in enumerate(stems)}
         self.runs = {RUN.sub(r"\1", s) for s in stems}
         self.model = CharacterModel(corpus, stems)
+        self.tree = Tree(self.lexicon)
 
     def __missing__(self, token: str) -> int:
         found = self.word(token)
@@ -197,12 +232,8 @@ class Scorer(dict):
             return found
         if len(token) > LONGEST:
             return next((x for x in map(self.word, filter(None, re.split(r"[\W_]+", token))) if x), 0) if re.search(r"[\W_]", token) else 0
-        body = SIGN_EDGES.sub("", token)
-        at = token.find(body)
-        if at > 0 and token[at - 1] in "@$":
-            body = token[at - 1] + body
-        if HIDDEN.search(body) or RUN.sub(r"\1", inner) in self.runs:
-            for form in filter(None, dict.fromkeys((body, inner))):
+        if (HIDDEN.search(token) or RUN.sub(r"\1", inner) in self.runs) and self.tree.reached(token):
+            for form in filter(None, dict.fromkeys((token, SIGN_EDGES.sub("", token), inner))):  # signs at the ends may be letters or not
                 if found := self.lexicon.match(decode(form, self.model)):
                     return found
         return 0
