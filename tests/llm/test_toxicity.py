@@ -112,3 +112,10 @@ def test_tokens_left_undecoded_could_not_match(corpus):
         word = rng.choice([*scorer.stems, "there", "stop", "closed"])
         token = "".join(rng.choice("!|+(<01357@$.*-" + word) if rng.random() < 0.3 else c for c in word)
         assert scorer.tree.reached(token) or not scorer.lexicon.match(t.decode(token, scorer.model)), token
+
+
+def test_masked_words_are_restored(corpus):
+    forms = {"s***id": "stupid", "m***n": "moron", "d*sg*st*ng": "disgusting", "*diot": "idiot", "idio*": "idiot", "scu*": "scum", "s****d": "stupid", "**idio**": "idiot", "*di*t": "idiot", "w*r*h*e*s": "worthless", "$t***d!": "stupid", "s*t*u*p*i*d": "stupid"}
+    assert restored(corpus, forms) == {}
+    scorer = t.Scorer(*corpus[2])
+    assert not any(scorer[x] for x in ("los.***", "los***", "that***", "***", "s***", "a" + "*" * 5000 + "b", "*" * 5000, "*." * 3000))

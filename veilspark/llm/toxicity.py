@@ -50,7 +50,7 @@ LONGEST = 48  # longer tokens are decoded between their signs
 STANDS_FOR = {"0": {"o": 0.9}, "1": {"i": 0.5, "l": 0.4}, "2": {"z": 0.6}, "3": {"e": 0.9}, "4": {"a": 0.9}, "5": {"s": 0.9}, "6": {"g": 0.5, "b": 0.3}, "7": {"t": 0.9}, "8": {"b": 0.8}, "9": {"g": 0.8}, "@": {"a": 0.9}, "$": {"s": 0.9}, "!": {"i": 0.6, "l": 0.1}, "|": {"l": 0.4, "i": 0.4}, "+": {"t": 0.6}, "(": {"c": 0.6}, "<": {"c": 0.5}, "€": {"e": 0.9}, "£": {"l": 0.7}}
 WILD = "*"  # may stand for any letter
 WILD_SHARE = 0.5
-MOST_WILD = 2  # more of them in one token are separators
+MOST_WILD = 2  # more of them in one token are separators for the lattice, and letters for Tree.masked
 KEPT_TWICE = 0.1  # how likely a longer run of a letter meant two of them
 
 SET_APART = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
@@ -202,6 +202,44 @@ class Tree:
                 return True
         return not nodes.isdisjoint(self.words)
 
+    def masked(self, token: str) -> int:
+        """The entry that fits a token's length and fixed letters, each wild sign being one letter, or 0.
+
+        At least two letters have to be fixed. Wild signs at the ends may be decoration too, and are where another sign
+        parts them from the letters. Read as letters they count where the token ends with the entry, all of them are
+        read and fewer letters of the entry are masked than fixed, or where only one is masked. Of several entries the
+        one with the most fixed letters counts, then the more telling.
+        """
+        solid = [i for i, c in enumerate(token) if c.isalnum() or c in STANDS_FOR and c != "!"]
+        if not solid:
+            return 0
+        first, last = solid[0], solid[-1]
+        states = {(0, 0, 0, False, False)}  # node, fixed letters, masked ones; whether any wild sign at an end was read, was passed over
+        best = (0, 0)
+        for run in re.finditer(r"\*|([^*])\1*", token, re.S):
+            at = run.start()
+            if run.group() != WILD:
+                options = [x for x, _ in next(lattice(run.group()))]
+                states = {(to, fixed + len(x), *rest) for node, fixed, *rest in states for x in options if (to := self.step(node, x)) is not None}
+            else:
+                inside = first < at < last
+                read = {(to, fixed, hidden + 1, edge or not inside, passed) for node, fixed, hidden, edge, passed in states for to in self.next[node].values()}
+                if inside:
+                    states = read
+                else:
+                    touches = set(token[at:first] or token[last + 1 : at]) <= {WILD}
+                    states = {(*state[:4], True) for state in states} | (read if touches else set())
+            if not states:
+                break
+            best = max([best, *(self.rank(state, self.beginnings, run.end() == len(token)) for state in states)])
+        return -max([best, *(self.rank(state, self.words, True) for state in states)])[1]
+
+    @staticmethod
+    def rank(state: tuple[int, int, int, bool, bool], ends: dict[int, int], whole: bool) -> tuple[int, int]:
+        node, fixed, hidden, edge, passed = state
+        fits = not edge or hidden <= 1 or whole and not passed and fixed > hidden
+        return (fixed, -ends[node]) if node in ends and fixed >= 2 and fits else (0, 0)
+
 
 class Scorer(dict):
     """token -> its lexicon word's number and 1, or 0; with the rule that adds a document's words up."""
@@ -236,7 +274,7 @@ class Scorer(dict):
             for form in filter(None, dict.fromkeys((token, SIGN_EDGES.sub("", token), inner))):  # signs at the ends may be letters or not
                 if found := self.lexicon.match(decode(form, self.model)):
                     return found
-        return 0
+        return self.tree.masked(token) if WILD in token else 0
 
     def apart(self, run: str) -> Iterator[int]:
         """Lexicon words in letters that were set apart."""
