@@ -119,3 +119,10 @@ def test_masked_words_are_restored(corpus):
     assert restored(corpus, forms) == {}
     scorer = t.Scorer(*corpus[2])
     assert not any(scorer[x] for x in ("los.***", "los***", "that***", "***", "s***", "a" + "*" * 5000 + "b", "*" * 5000, "*." * 3000))
+
+
+def test_stretched_and_long_words_are_restored(corpus):
+    forms = {"losers": "loser", "looosers": "loser", "stuuupidly": "stupid", "iiidiots": "idiot", "i" * 60 + "diot": "idiot", "st" + "u" * 200 + "pid!!": "stupid", "x-" * 30 + "s.t.u.p.i.d": "stupid", "s" + "." * 60 + "tupid": "stupid", "ab-cd-" * 9 + "l0000sers": "loser", "ab-cd-" * 9 + "m***n/q": "moron", "d.i.s.g.u.s.t.i.n.g" + "-x" * 30: "disgusting", "iiidiot" + "xyz" * 20: "idiot"}
+    assert restored(corpus, forms) == {}
+    scorer = t.Scorer(*corpus[2])
+    assert not any(scorer[x] for x in ("loosely", "https://example.com/" + "a-b-c/" * 20, "0123456789abcdef" * 8, "!." * 3000, "ab" * 3000, "s." * 3000, "*." * 3000 + "a", "stop" * 500))

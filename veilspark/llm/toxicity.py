@@ -6,7 +6,7 @@ and beginnings of words (written with * at the end), whose share of toxic docume
 chance (a likelihood ratio test over all tried); of related ones only the most telling stays, and a ridge logistic
 regression weighs them. The character model counts runs of ORDER + 1 letters in all documents.
 
-Scoring. A token that hides letters (digits or signs among letters, a repeated letter, letters set apart) becomes a
+Scoring. A token that may hide letters (digits, signs or a repeated letter in it, letters set apart) becomes a
 lattice: every sign offers the letters it may stand for, or nothing, every run of a letter one copy or two. The Viterbi
 path is the likeliest under the channel and the character model, which mixes the corpus with the lexicon. Only tokens
 with a path that the lexicon holds are decoded: of no other could the result match. Restored
@@ -44,7 +44,7 @@ ORDER = 3
 SYMBOLS = 28  # 0: anything but a letter; 1-26: a-z; 27: other letters' bytes
 LEXICON_SHARE = 0.5  # of the lexicon in the character model
 CACHED = 200_000  # distinct tokens whose word a worker remembers; emptied when full
-LONGEST = 48  # longer tokens are decoded between their signs
+LONGEST = 48  # longer tokens, runs shortened, are decoded in pieces from where a word may start
 
 # Letters that a sign may stand for, and how likely (the rest of the probability: the sign is a mere separator).
 STANDS_FOR = {"0": {"o": 0.9}, "1": {"i": 0.5, "l": 0.4}, "2": {"z": 0.6}, "3": {"e": 0.9}, "4": {"a": 0.9}, "5": {"s": 0.9}, "6": {"g": 0.5, "b": 0.3}, "7": {"t": 0.9}, "8": {"b": 0.8}, "9": {"g": 0.8}, "@": {"a": 0.9}, "$": {"s": 0.9}, "!": {"i": 0.6, "l": 0.1}, "|": {"l": 0.4, "i": 0.4}, "+": {"t": 0.6}, "(": {"c": 0.6}, "<": {"c": 0.5}, "€": {"e": 0.9}, "£": {"l": 0.7}}
@@ -56,8 +56,8 @@ KEPT_TWICE = 0.1  # how likely a longer run of a letter meant two of them
 SET_APART = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 SIGN_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-HIDDEN = re.compile(r"[^\W\d_].*[\d\W_]|[\d\W_].*[^\W\d_]", re.S)
-RUN = re.compile(r"(.)\1+", re.S)
+HIDDEN = re.compile(r"[^a-z]|(.)\1", re.S)
+STRETCHED = re.compile(r"([^*])\1{3,}", re.S)  # the lattice tells no more than three of a character, but for wild signs
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOL = np.full(256, 27, np.uint8)
 SYMBOL[:128] = 0
@@ -202,6 +202,32 @@ class Tree:
                 return True
         return not nodes.isdisjoint(self.words)
 
+    def pieces(self, token: str) -> Iterator[str]:
+        """Of a long token, what follows those starts (its own, and behind any sign) from which a path reaches an entry."""
+        wild = token.count(WILD) <= MOST_WILD
+        nodes: dict[int, int] = {}  # node -> the last start that leads there
+        seen = set()
+        for run in re.finditer(r"\*|([^*])\1*", token, re.S):
+            at, end = run.span()
+            if not at or not token[at - 1].isalnum():
+                nodes[0] = at
+            options = [x for x, _ in next(lattice(run.group()))] if wild or run.group() != WILD else [""]
+            new: dict[int, int] = {}
+            for node, start in nodes.items():
+                for x in options:
+                    if (to := self.step(node, x)) is not None and new.get(to, -1) < start:
+                        new[to] = start
+            nodes = new
+            for node, start in nodes.items():
+                if (node, start) in seen:
+                    continue
+                if node in self.beginnings:
+                    seen.add((node, start))
+                    yield token[start : max(end, start + LONGEST)]
+                elif node in self.words and not token[end : end + 1].isalnum():
+                    seen.add((node, start))
+                    yield token[start:end]
+
     def masked(self, token: str) -> int:
         """The entry that fits a token's length and fixed letters, each wild sign being one letter, or 0.
 
@@ -249,7 +275,6 @@ class Scorer(dict):
         self.lexicon, self.weights, self.base = Lexicon(features), weights, base
         stems = [f.rstrip("*") for f in features]
         self.stems = {s: i + 1 for i, s in enumerate(stems)}
-        self.runs = {RUN.sub(r"\1", s) for s in stems}
         self.model = CharacterModel(corpus, stems)
         self.tree = Tree(self.lexicon)
 
@@ -268,14 +293,27 @@ class Scorer(dict):
             return found
         if not token.isascii() and (found := self.lexicon.match(folded(token))):
             return found
+        if not HIDDEN.search(token):
+            return 0
+        token = STRETCHED.sub(r"\1\1\1", token)
         if len(token) > LONGEST:
-            return next((x for x in map(self.word, filter(None, re.split(r"[\W_]+", token))) if x), 0) if re.search(r"[\W_]", token) else 0
-        if (HIDDEN.search(token) or RUN.sub(r"\1", inner) in self.runs) and self.tree.reached(token):
-            for form in filter(None, dict.fromkeys((token, SIGN_EDGES.sub("", token), inner))):  # signs at the ends may be letters or not
+            return self.within(token)
+        if self.tree.reached(token):
+            for form in filter(None, dict.fromkeys((token, SIGN_EDGES.sub("", token), core(token)))):  # signs at the ends may be letters or not
                 if found := self.lexicon.match(decode(form, self.model)):
                     return found
         return self.tree.masked(token) if WILD in token else 0
 
+    def within(self, token: str) -> int:
+        """The first lexicon word in a long token: between its signs, masked by wild signs, or set apart by signs."""
+        for part in filter(None, re.split(r"[\W_]+", token)):
+            if part != token and (found := self.word(part)):
+                return found
+        for part in re.split(r"(?:[^\w*]|_)+", token):
+            if WILD in part and (found := self.tree.masked(part)):
+                return found
+        return next(filter(None, (self.lexicon.match(decode(x, self.model)) for x in self.tree.pieces(token))), 0)
+
     def apart(self, run: str) -> Iterator[int]:
         """Lexicon words in letters that were set apart."""
         letters = "".join(run.split())
