@@ -56,3 +56,35 @@ def test_odd_rows(odd, odd_rows, empty):
     assert len(found) == len(odd_rows) and all(0 <= r.probability <= 1 for r in found)
     assert mixing.sample(odd).columns == odd.columns
     assert mixing.mix(empty).count() == 0 and mixing.sample(empty).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9])
+def test_bounded_marginals_are_as_near_as_own_tokens_allow(spark, small, share):
+    """Values short of tokens are kept whole, the others keep their proportions, in every marginal."""
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang, r.source) for r in small], "doc_id bigint, text string, lang string, source string")
+    mixed = mixing.mix(docs, share=share, bounded=True).cache()
+    rows = mixed.collect()
+    assert all(0 <= r.probability <= 1 for r in rows)
+    total = sum(r.n_tokens for r in rows)
+    assert sum(r.probability * r.n_tokens for r in rows) == pytest.approx(share * total, rel=1e-6)
+    for d in DIMENSIONS:
+        own, expected = {}, {}
+        for r in rows:
+            own[r[d]] = own.get(r[d], 0) + r.n_tokens
+            expected[r[d]] = expected.get(r[d], 0) + r.n_tokens * r.probability
+        goal = {v: n ** mixing.TEMPER[d] for v, n in own.items()}
+        low, high = 0.0, float(total)
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(min(own[v], middle * goal[v]) for v in own) < share * total else (low, middle)
+        nearest = {v: min(own[v], high * goal[v]) for v in own}
+        assert max(abs(expected[v] - nearest[v]) for v in own) < 0.002 * share * total, d
+    told = {(r.dimension, r.value): r for r in mixing.marginals(mixed).collect()}
+    assert told["lang", "es"].expected == pytest.approx(sum(r.n_tokens * r.probability for r in rows if r.lang == "es") / (share * total), rel=1e-6)
+    assert told["lang", "es"].own < told["lang", "es"].wanted
+
+
+def test_bounded_odd_rows(odd, odd_rows, empty):
+    found = mixing.mix(odd, bounded=True).collect()
+    assert len(found) == len(odd_rows) and all(0 <= r.probability <= 1 for r in found)
+    assert mixing.mix(empty, bounded=True).count() == 0 and mixing.sample(empty, bounded=True).count() == 0

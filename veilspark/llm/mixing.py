@@ -6,6 +6,11 @@ token times a factor, at most 1; the factor is chosen so that the expected token
 A document is sampled when a hash of it, as a number from 0 to 1, lies below its probability, so the sample is the same
 in any run and on any partitioning.
 
+A probability of 1 cuts a cell's weight off, so where the share is large the sample misses the targets by more than it
+has to. `bounded` rakes the probabilities themselves under that bound: each scaling looks for the factor with which the
+expected tokens, cells cut off at their own tokens, come to the goal. A value whose goal exceeds its own tokens is kept
+whole, and the others' goals rise in proportion until the share is met. marginals() tells what was wanted and reached.
+
 Without given targets a marginal's shares are tempered: in proportion to tokens ** TEMPER. Values that the targets don't
 name keep their own share of tokens, and all shares are scaled to 1.
 
@@ -16,7 +21,7 @@ alike; a null id is drawn by its text alone; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import Scratch
@@ -25,6 +30,8 @@ TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 SHARE = 0.8  # expected tokens of the sample, as a share of the corpus
 SWEEPS = 12
 TOLERANCE = 1e-3
+BOUNDED_SWEEPS = 12
+BOUNDED_TOLERANCE = 1e-4  # of the sample's tokens
 SEED = 20240229
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -100,30 +107,84 @@ def probabilities(cells: DataFrame, share: float) -> DataFrame:
     return cells.withColumn("probability", F.when(F.col("rate").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("rate") * factor))).drop("rate")
 
 
+def factor_to(goal: Column, most: Column, weight: Column, group: list[Column | str]) -> Column:
+    """The factor f of a group with which the sum of least(most, f * weight) over its rows comes to goal, or cuts all rows off.
+
+    That sum is the least of the lines that cut off the first k rows by weight / most; each line meets the goal no later
+    than the sum does, so the factor is the greatest of theirs.
+    """
+    order = Window.partitionBy(*group).orderBy(F.try_divide(weight, most).desc_nulls_last())
+    cut = F.coalesce(F.sum(most).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return F.try_divide(goal - cut, F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing)))
+
+
+def within_own(wanted: DataFrame, own: DataFrame, dimension: str, share: float, total: float) -> DataFrame:
+    """wanted, scaled so that no value has more than its own tokens and all have share * total, where their own tokens reach."""
+    one = wanted.join(own, f"_{dimension}").withColumn("line", factor_to(F.lit(share * total), F.col("own"), F.col("wanted"), [F.lit(1)]))
+    return one.withColumn("f", F.max("line").over(Window.partitionBy(F.lit(1)))).select(f"_{dimension}", F.least("own", F.col("wanted") * F.col("f")).alias("wanted"))
+
+
+def bounded_probabilities(cells: DataFrame, wanted: dict[str, dict[str, float]], share: float, work: Scratch) -> DataFrame:
+    """cells with `probability`: raked so that the expected tokens meet every marginal as far as the cells' own tokens allow."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.withColumn("probability", F.lit(1.0))
+    goals = {}
+    for d in DIMENSIONS:
+        own = cells.groupBy(f"_{d}").agg(F.sum("tokens").cast("double").alias("own"))
+        goals[d] = work.put(within_own(targets(cells, d, wanted.get(d), total), own, d, share, total), f"goals-{d}")
+    most, open_ = F.col("tokens").cast("double"), F.col("open")
+    current = cells.withColumn("open", F.col("weight") * share)
+    for sweep in range(1, BOUNDED_SWEEPS + 1):
+        for d in DIMENSIONS:
+            group = Window.partitionBy(f"_{d}")
+            current = current.join(goals[d], f"_{d}", "left").withColumns({"line": factor_to(F.coalesce("wanted", F.lit(0.0)), most, open_, [f"_{d}"]), f"has_{d}": F.sum(F.least(most, open_)).over(group) - F.coalesce("wanted", F.lit(0.0))})
+            current = current.withColumn("open", open_ * F.coalesce(F.max("line").over(group), F.lit(0.0))).drop("wanted", "line")
+        current = work.put(current, f"bounded-{sweep}")
+        # what this sweep found before each scaling, tokens off the goal, in parts of the sample's tokens
+        off = current.agg(F.greatest(*(F.max(F.abs(f"has_{d}")) for d in DIMENSIONS))).first()[0] / (share * total)
+        current = current.drop(*(f"has_{d}" for d in DIMENSIONS))
+        if off < BOUNDED_TOLERANCE:
+            break
+    total_line = current.withColumn("line", factor_to(F.lit(share * total), most, open_, [F.lit(1)]))
+    factor = total_line.agg(F.max("line")).first()[0] or 0.0
+    return current.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), open_ * factor / F.col("tokens"))).otherwise(1.0)).drop("open")
+
+
+def marginals(mixed: DataFrame) -> DataFrame:
+    """Of what mix() gives: dimension, value, and its share of tokens: own, wanted (by weight), expected and in the sample."""
+    parts = {"own": F.col("n_tokens"), "wanted": F.col("weight"), "expected": F.col("n_tokens") * F.col("probability"), "in_sample": F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)}
+    pairs = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in zip(DIMENSIONS, ("source", "lang", "topic"), strict=True)))).alias("at")
+    sums = mixed.select(pairs, *(x.cast("double").alias(k) for k, x in parts.items())).groupBy("at.dimension", "at.value").agg(*(F.sum(k).alias(k) for k in parts))
+    whole = Window.partitionBy("dimension")
+    return sums.select("dimension", "value", *(F.try_divide(F.col(k), F.sum(k).over(whole)).alias(k) for k in parts))
+
+
 def _tokens(text_col: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("bigint")
 
 
-def _cells(rows: DataFrame, wanted: dict[str, dict[str, float]] | None, share: float, work: Scratch) -> DataFrame:
+def _cells(rows: DataFrame, wanted: dict[str, dict[str, float]] | None, share: float, bounded: bool, work: Scratch) -> DataFrame:
     cells = work.put(rows.groupBy(*(f"_{d}" for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")), "cells")
-    return work.put(probabilities(raked(cells, wanted or {}, work), share), "cells-out")
+    weighed = raked(cells, wanted or {}, work)
+    return work.put(bounded_probabilities(weighed, wanted or {}, share, work) if bounded else probabilities(weighed, share), "cells-out")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wanted: dict[str, dict[str, float]] | None = None, share: float = SHARE, topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wanted: dict[str, dict[str, float]] | None = None, share: float = SHARE, topic: Column | None = None, bounded: bool = False) -> DataFrame:
     """One row per document: id, source, lang, topic, n_tokens, weight (its raked tokens), probability and sampled."""
     work = Scratch(docs.sparkSession, "mixing")
     keys = [f"_{d}" for d in DIMENSIONS]
     rows = described(docs, id_col=id_col, text_col=text_col, topic=topic).withColumn("_tokens", _tokens(text_col))
     rows = work.put(rows.select(F.col(id_col).alias("_id"), F.col("source").alias("_s"), F.col("lang").alias("_l"), *keys, "_tokens", "_u"), "rows")  # the texts are read once
-    cells = _cells(rows, wanted, share, work)
+    cells = _cells(rows, wanted, share, bounded, work)
     weight = F.when(F.col("tokens") > 0, F.col("_tokens") * F.col("weight") / F.col("tokens")).otherwise(0.0)
     joined = rows.join(cells.select(*keys, "tokens", "weight", "probability"), keys)
     return joined.select(F.col("_id").alias(id_col), F.col("_s").alias("source"), F.col("_l").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), weight.alias("weight"), "probability", (F.col("_u") < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wanted: dict[str, dict[str, float]] | None = None, share: float = SHARE, topic: Column | None = None) -> DataFrame:
+def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wanted: dict[str, dict[str, float]] | None = None, share: float = SHARE, topic: Column | None = None, bounded: bool = False) -> DataFrame:
     """The sampled documents, with their columns."""
     keys = [f"_{d}" for d in DIMENSIONS]
     rows = described(docs, id_col=id_col, text_col=text_col, topic=topic)
-    cells = _cells(rows.withColumn("_tokens", _tokens(text_col)), wanted, share, Scratch(docs.sparkSession, "mixing"))
+    cells = _cells(rows.withColumn("_tokens", _tokens(text_col)), wanted, share, bounded, Scratch(docs.sparkSession, "mixing"))
     return rows.join(cells.select(*keys, F.col("probability").alias("_probability")), keys).where("_u < _probability").select(*docs.columns)

@@ -21,7 +21,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir), bounded=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
