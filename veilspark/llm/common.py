@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +43,9 @@ class Scratch:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
-    def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Writes df and returns it as read back: a cut of the lineage that outlives executors."""
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.path}/{name}")
+    def put(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Writes df, in so many files at most, and returns it as read back: a cut of the lineage that outlives executors."""
+        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def local(self, name: str) -> str:
@@ -61,6 +63,44 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 16
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+_kept: dict = {}  # in a Python worker: what the operator at work keeps from task to task, under one key
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """What make() gives, kept by the Python worker from task to task until another key is asked for: one thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Returns what Python, Arrow and the C library hold without using it to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def worker_task(f: Callable) -> Callable:
+    """For a function over an iterator of batches that a Python worker runs: workers live on from stage to stage, so a
+    task begins without what other operators have kept there, and leaves no memory behind but what its own keeps."""
+
+    @functools.wraps(f)
+    def run(*args, **options) -> Iterator:
+        if _kept and next(iter(_kept))[0] != f.__module__:
+            _kept.clear()
+        give_back()
+        try:
+            yield from f(*args, **options)
+        finally:
+            give_back()
+
+    return run
+
+
 class WordHashes(dict):
     """Hashes of words (bytes), worked out once a word while the cache lasts."""
 
