@@ -2,18 +2,21 @@
 
 Workers tokenize whole texts, cut only what is longer than a sequence, and write (id, piece, start, length, crc32).
 The histogram of lengths has at most `capacity` rows, so it goes to the driver whatever the size of the corpus. There,
-the program "cover every length's count by configurations of a sequence" is solved approximately by multiplicative
-weights: a weight for each length falls as it gets covered, and the configuration that is worth most under the weights
-comes from a knapsack dynamic program over 1..capacity. The solution is scaled to what there is, rounded down, and the
-rest is placed by best fit in decreasing length, also into the gaps of the rounded configurations. Plain best fit over
-the whole histogram is kept as a bound: whichever plan has fewer sequences is used.
+the program "cover every length's count by configurations of a sequence" is solved by multiplicative weights: a weight
+for each length falls as it gets covered, and the configuration that is worth most under the weights comes from a
+bounded knapsack dynamic program over 1..capacity. A round uses it a whole number of times, so rounding leaves nothing
+over but the lengths that can't fill a sequence any more (REST of the pieces at least); these are placed by best fit in
+decreasing length, also into the gaps of the configurations. The dual of the program gives a lower bound on the number
+of sequences; plain best fit is kept as a bound from above.
 
 A plan is a list of configurations with how often each is used, so its size depends on the number of lengths, not of
 documents. Pieces get their place by their rank among pieces of their length; ranks are counted in salted groups, so a
 length that a third of all pieces has is spread over many tasks.
 
 Defined cases: a null text counts as empty and is the single end id; rows that repeat an id are packed each; a null id
-is packed under null; an empty table gives an empty result.
+is packed under null; very long texts are cut into as many pieces as they need; pieces of equal length are placed in
+order of (id, piece, crc32), rows that tie in all three in any order; an empty table gives an empty result; other
+columns may have any names, they are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch
+from veilspark.llm.common import Scratch, kept_in_worker, worker_task
 from veilspark.llm.token_count import BYTE_CHARACTERS, tokenizer
 
 CAPACITY = 4096
 END_ID = 1
-ROUNDS = 250  # of multiplicative weights
-STEP = 0.5  # share of a configuration's scarcest length that a round covers
-RATE = 2.0  # how fast a weight falls with coverage
-CACHED = 400_000  # distinct words whose ids a worker remembers; emptied when full
+BLOCK = 48  # lengths that a round prices, more where these can't fill a sequence
+RATE = 0.005  # how fast a weight falls with coverage: differences of worth that outweigh as much room in a sequence
+SLACK = 0.001  # share of a sequence that a configuration may leave open
+REST = 0.04  # share of pieces that is left to best fit
+TRIES = 3
+CACHED_BYTES = 96 << 20  # of distinct words and their ids that a worker remembers, and half as much of parts; emptied when full
+ENTRY = 180  # bytes of an entry besides its characters and ids
 LONG_WORD = 256
 ROWS_A_GROUP = 100_000
 
@@ -60,14 +66,16 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode, self.merge, self.parts = tokenizer(path).encode, tokenizer(path).model.tokenize, {}
+        self.encode, self.merge, self.parts, self.held, self.parts_held = tokenizer(path).encode, tokenizer(path).model.tokenize, {}, 0, 0
 
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
             found = np.array([x.id for x in self.merge("".join(BYTE_CHARACTERS[b] for b in text.encode()))], "<u4").tobytes()
-            if len(self.parts) >= CACHED:
+            self.parts_held += ENTRY + 2 * len(text) + len(found)
+            if self.parts_held > CACHED_BYTES // 2:
                 self.parts.clear()
+                self.parts_held = 0
             if len(text) <= LONG_WORD:
                 self.parts[text] = found
         return found
@@ -78,22 +86,24 @@ class WordIds(dict):
         else:
             found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONG_WORD:
-            if len(self) >= CACHED:
+            self.held += ENTRY + 2 * len(word) + len(found)
+            if self.held > CACHED_BYTES:
                 self.clear()
+                self.held = 0
             self[word] = found
         return found
 
 
-@lru_cache(maxsize=2)
 def remembered(path: str) -> WordIds:
-    """Kept by the worker from task to task."""
-    return WordIds(path)
+    """Kept by the worker from task to task of this operator."""
+    return kept_in_worker((__name__, path), lambda: WordIds(path))
 
 
 def token_bytes(text: str, words: WordIds) -> bytes:
     return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@worker_task
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     words, end, size = remembered(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in batches:
@@ -140,25 +150,70 @@ def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) ->
     return tuple(sorted(times.items(), reverse=True))
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
-    """How often to use each configuration: multiplicative weights on the covering program, scaled so that no length is used more than it occurs."""
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """No plan has fewer sequences: with a worth for each length, all pieces are worth so many best configurations (the dual of the program)."""
     lengths = np.array(sorted(histogram))
-    there = np.array([histogram[x] for x in lengths.tolist()], float)
-    covered = np.zeros(len(lengths))
-    at = {x: i for i, x in enumerate(lengths.tolist())}
-    used: dict[Config, float] = defaultdict(float)
-    for _ in range(rounds):
-        worth = lengths / capacity * np.exp(-RATE * covered)
-        config = best_configuration(lengths, worth, capacity)
-        rows = [(at[x], k) for x, k in config]
-        share = STEP * min(there[i] / k for i, k in rows)
-        used[config] += share
-        for i, k in rows:
-            covered[i] += share * k / there[i]
-        if covered.min() >= 1:
-            break
-    over = max(1.0, float(covered.max()))
-    return {c: x / over for c, x in used.items()}
+    best = sum(x * k for x, k in best_configuration(lengths, lengths / capacity, capacity))
+    return max(-(-sum(x * n for x, n in histogram.items()) // best), sum(n for x, n in histogram.items() if 2 * x > capacity))
+
+
+def priced(lengths: np.ndarray, most: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration (place of a length: times) of the greatest worth that holds each length at most `most` times: a bounded knapsack by dynamic programming over capacities."""
+    items = []  # (place, times): times are powers of two and a rest, so that every number up to most can be made
+    for i, m in enumerate(most.tolist()):
+        times = 1
+        while m > 0:
+            items.append((i, min(times, m)))
+            m -= times
+            times *= 2
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for row, (i, times) in zip(took, items, strict=True):
+        size = times * int(lengths[i])
+        with_it = best[: capacity + 1 - size] + times * worth[i]
+        np.greater(with_it, best[size:] + 1e-12, out=row[size:])
+        np.copyto(best[size:], with_it, where=row[size:])
+    found: dict[int, int] = defaultdict(int)
+    c = int(best.argmax())
+    for row, (i, times) in zip(took[::-1], reversed(items), strict=True):
+        if row[c]:
+            found[i] += times
+            c -= times * int(lengths[i])
+    return found
+
+
+def program(histogram: dict[int, int], capacity: int, *, rest: float = REST, seed: int = 1) -> tuple[dict[Config, int], dict[int, int]]:
+    """(configurations and how often each is used, what is left): multiplicative weights on the covering program, rounded as it goes.
+
+    A length's worth is its share of a sequence times a weight that falls with the share of its pieces that are covered
+    and rises a little with its size, as large pieces are hard to place late. A round draws a block of lengths that
+    aren't covered yet, prices the best configuration among them, and uses it as often as its scarcest length allows,
+    a whole number of times. If the best fills less than 1 - SLACK of a sequence, the block grows and the weights come
+    closer to the bare shares; the program ends where all open lengths together can't fill one, or a share of `rest`
+    of the pieces is left.
+    """
+    draw = np.random.default_rng(seed)
+    lengths = np.array(sorted(histogram, reverse=True))
+    there = np.array([histogram[x] for x in lengths.tolist()])
+    left, used = there.copy(), defaultdict(int)
+    size, heat = BLOCK, RATE
+    while left.sum() > rest * there.sum():
+        open_ = np.flatnonzero(left)
+        share = left[open_] / there[open_]
+        block = open_ if len(open_) <= size else np.sort(draw.choice(open_, size, replace=False, p=share / share.sum()))
+        part = lengths[block] / capacity
+        worth = part * np.exp(heat * (left[block] / there[block] - 1)) * part**heat
+        times = {int(block[i]): k for i, k in priced(lengths[block], np.minimum(left[block], capacity // lengths[block]), worth, capacity).items()}
+        if sum(int(lengths[i]) * k for i, k in times.items()) < capacity * (1 - SLACK):
+            if len(open_) <= size and heat < RATE / 16:
+                break
+            size, heat = min(2 * size, len(lengths)), heat / 2
+            continue
+        n = min(int(left[i]) // k for i, k in times.items())
+        for i, k in times.items():
+            left[i] -= n * k
+        used[tuple((int(lengths[i]), k) for i, k in sorted(times.items()))] += n
+        size, heat = max(BLOCK, size // 2), RATE
+    return used, {int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}
 
 
 def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[Config, int]] = ()) -> list[tuple[Config, int]]:
@@ -198,20 +253,29 @@ def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[Config,
     return [(config, n) for rows in groups.values() for config, n in rows]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
-    """Configurations and how often each is used, over all pieces: the rounded program or plain best fit, whichever has fewer sequences."""
+def planned(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Config, int]], float]:
+    """Configurations and how often each is used, over all pieces, and the share of pieces that the program has placed.
+
+    Best fit places what the program leaves, also into its gaps. The program is run anew with other draws, up to TRIES
+    times, while its plan has more sequences than the lower bound and than plain best fit; at last the plan with the
+    fewest sequences is used, plain best fit (share 0) only where it has fewer than all others.
+    """
     if not histogram:
-        return []
+        return [], 0.0
     plain = best_fit(histogram, capacity)
-    rounded, left = [], dict(histogram)
-    for config, x in fractional(histogram, capacity).items():
-        n = min(int(x + 1e-9), *(left[length] // k for length, k in config))
-        if n > 0:
-            rounded.append((config, n))
-            for length, k in config:
-                left[length] -= n * k
-    rounded = best_fit({x: n for x, n in left.items() if n}, capacity, rounded)
-    return min(rounded, plain, key=lambda p: sum(n for _, n in p))
+    count = lambda configs: sum(n for _, n in configs)
+    enough = max(lower_bound(histogram, capacity), count(plain))
+    found = []
+    for seed in range(1, TRIES + 1):
+        used, left = program(histogram, capacity, seed=seed)
+        found.append((best_fit(left, capacity, list(used.items())), 1 - sum(left.values()) / sum(histogram.values())))
+        if count(found[-1][0]) <= enough:
+            break
+    return min([*found, (plain, 0.0)], key=lambda x: count(x[0]))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
+    return planned(histogram, capacity)[0]
 
 
 def slots(configs: list[tuple[Config, int]]) -> np.ndarray:
@@ -229,6 +293,7 @@ def slots(configs: list[tuple[Config, int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+@worker_task
 def _placed(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     length, first, sequence, offset = table.value.T
     keys = (length << 44) + first
