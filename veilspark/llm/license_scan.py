@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import ODD, WordHashes, mix, shingle_hashes
+from veilspark.llm.common import ODD, WordHashes, mix, shingle_hashes, worker_task
 
 WIDTH = 5
 BANDS = 64
@@ -153,6 +153,7 @@ def matches(shingles: np.ndarray, owner: np.ndarray, templates: Templates, conta
     return out
 
 
+@worker_task
 def _scanned(batches: Iterator[pa.RecordBatch], listed: dict[str, list[str]], bands: int, containment: float) -> Iterator[pa.RecordBatch]:
     templates, hashes = Templates(listed, bands), WordHashes()
 

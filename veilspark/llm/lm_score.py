@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, WordHashes, ascii_words, mix
+from veilspark.llm.common import Scratch, WordHashes, ascii_words, mix, worker_task
 
 END = b" end"  # no word holds a space
 BYTES_A_SHARD = 12 << 20  # of text
@@ -135,6 +135,7 @@ def folded(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.
         yield added_up(keys, counts)
 
 
+@worker_task
 def _words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
 
@@ -223,6 +224,7 @@ def pair_keys(ids: np.ndarray, end_id: int) -> np.ndarray:
     return (np.concatenate([np.array([end_id], np.uint64), ids[:-1]]) << np.uint64(32)) | ids
 
 
+@worker_task
 def _pairs(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     ids = WordIds(layout)
     end_id = int(ids.of([[END]])[0])
@@ -366,6 +368,7 @@ class Model:
         return counts[inverse], base[inverse], np.log10(p)[key_inverse]
 
 
+@worker_task
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = Model(shared.value)
     for texts, rows in pieces_of(batches):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import ODD, Scratch, WordHashes, ascii_words, broadcast_if_small, mix, shingle_hashes
+from veilspark.llm.common import ODD, Scratch, WordHashes, ascii_words, broadcast_if_small, mix, shingle_hashes, worker_task
 from veilspark.llm.graph import components
 
 COORDINATES = 64
@@ -39,6 +39,8 @@ STAR_ROUNDS = 2
 ROWS_A_FILE = 250_000
 LONG_LIST = 64  # lists of more nodes are compared by blocks
 BLOCK = 1024
+SLICE = 250  # documents that a worker has in hand
+ROWS_A_TASK = 20_000  # of a stored table that is cheap to make
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
@@ -51,22 +53,23 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     return mix(out ^ a)
 
 
+@worker_task
 def _signed(batches: Iterator[pa.RecordBatch], width: int, coordinates: int, whole: bool) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, len(texts), 1000):
-            part = texts.slice(at, 1000)
+        for at in range(0, len(texts), SLICE):
+            part = texts.slice(at, SLICE)
             sets = [np.unique(shingle_hashes(ascii_words(x.as_py()), hashes, width)) for x in part]
             signs = [signature(s, coordinates).view(np.int64) if len(s) else None for s in sets]
             sizes = pa.array([len(s) for s in sets], pa.int64())
             listed = lambda rows: pa.array(rows, pa.list_(pa.int64()))
             if whole:
-                columns = [ids.slice(at, 1000), sizes, listed(signs), listed([s.view(np.int64) for s in sets])]
+                columns = [ids.slice(at, SLICE), sizes, listed(signs), listed([s.view(np.int64) for s in sets])]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sig", "shingles"])
             else:
                 keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), sizes, keys, listed(signs)], ["id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, SLICE), sizes, keys, listed(signs)], ["id", "n_shingles", "set_key", "sig"])
 
 
 def classes(docs: DataFrame, *, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
@@ -76,18 +79,18 @@ def classes(docs: DataFrame, *, id_col: str, text_col: str, width: int, coordina
     return rows.mapInArrow(lambda it: _signed(it, width, coordinates, False), f"id {id_type}, n_shingles bigint, set_key binary, sig array<bigint>")
 
 
-def _prefixes(nodes: DataFrame, work: Scratch, matches: int) -> DataFrame:
+def _prefixes(nodes: DataFrame, work: Scratch, matches: int, files: int) -> DataFrame:
     """The postings that take part in merging: key, coordinate c, node, n, mask (the coordinates in the node's prefix) and brief (32 bits of each coordinate)."""
     posted = nodes.select("node", F.posexplode("sig").alias("c", "key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     lists = posted.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key", "c"))).alias("keys"))  # at most a key for each coordinate
     lists = lists.where(F.size("keys") >= matches).select("node", F.expr(f"slice(keys, 1, size(keys) - {matches - 1})").alias("keys"))
-    lists = work.put(lists.select("node", F.expr("transform(keys, k -> named_struct('key', k.key, 'c', k.c))").alias("keys")), "prefixes")
+    lists = work.put(lists.select("node", F.expr("transform(keys, k -> named_struct('key', k.key, 'c', k.c))").alias("keys")), "prefixes", files)
     postings = lists.select("node", F.explode("keys").alias("k")).select(F.col("k.key").alias("key"), F.col("k.c").alias("c"), "node")
     longer = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     mask = F.expr("aggregate(keys, 0L, (m, k) -> m | shiftleft(1L, k.c))")
     briefs = lists.select("node", mask.alias("mask")).join(nodes.select("node", "n", F.expr("transform(sig, x -> cast(x & 2147483647L as int))").alias("brief")), "node")
-    return work.put(postings.join(longer, "key").join(briefs, "node"), "postings")
+    return work.put(postings.join(longer, "key").join(briefs, "node"), "postings", 4 * files)
 
 
 def _close(percent: int, matches: int) -> str:
@@ -170,8 +173,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, work: Scratch, *, id_col: str, text_col: str, width: int, coordinates: int, matches: int, percent: int) -> DataFrame:
     """(node, label) for the nodes that have links: the least node that similar sets lead to."""
-    postings = _prefixes(nodes, work, matches)
-    wanted = work.put(postings.select("node").distinct(), "wanted")
+    few = docs.count() // ROWS_A_TASK + 2
+    postings = _prefixes(nodes, work, matches, few)
+    wanted = work.put(postings.select("node").distinct(), "wanted", few)
     n_wanted = wanted.count()
     nothing = nodes.select("node", F.col("node").alias("label")).limit(0)
     if not n_wanted:
@@ -179,7 +183,7 @@ def links(docs: DataFrame, nodes: DataFrame, work: Scratch, *, id_col: str, text
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(broadcast_if_small(wanted, n_wanted, 16), "node", "left_semi")
     sets = texts.mapInArrow(lambda it: _signed(it, width, coordinates, True), "node bigint, n bigint, sig array<bigint>, shingles array<bigint>")
     # an id that carries several texts stands for the set it was posted with
-    sets = work.put(sets.join(nodes.select("node", F.col("sig").alias("own")), "node").where("sig = own").drop("own", "sig").dropDuplicates(["node"]), "sets")
+    sets = work.put(sets.join(nodes.select("node", F.col("sig").alias("own")), "node").where("sig = own").drop("own", "sig").dropDuplicates(["node"]), "sets", 2 * few)
     files = n_wanted // ROWS_A_FILE + 1
     found = tested = label = None
     for r in range(STAR_ROUNDS + 1):
@@ -188,15 +192,15 @@ def links(docs: DataFrame, nodes: DataFrame, work: Scratch, *, id_col: str, text
             pairs = _with_leaders(current, r, matches, percent)
         else:
             lists = current.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
-            current = work.put(current.join(lists, "key"), "open")
+            current = work.put(current.join(lists, "key"), "open", 2 * few)
             pairs = _open_pairs(current.where(F.col("m") <= LONG_LIST), matches, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.put(pairs.coalesce(64 * files) if r < STAR_ROUNDS else pairs, f"pairs-{r}")
+        pairs = work.put(pairs, f"pairs-{r}", min(4 * few, 64 * files) if r < STAR_ROUNDS else None)
         new = _verified(pairs, sets, percent)
         if r == STAR_ROUNDS:
             new = new.unionByName(_open_links(current.where(F.col("m") > LONG_LIST), sets, matches, percent))
-        new = work.put(new.coalesce(64 * files) if r < STAR_ROUNDS else new, f"links-{r}")
+        new = work.put(new, f"links-{r}", min(4 * few, 64 * files) if r < STAR_ROUNDS else None)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
@@ -208,11 +212,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per document: id, n_shingles, component_id (the least id that links lead to), kept (id = component_id)."""
     work = Scratch(docs.sparkSession, "near-dedup")
     percent = round(similarity * 100)
+    few = docs.count() // ROWS_A_TASK + 2
     rows = work.put(classes(docs, id_col=id_col, text_col=text_col, width=width, coordinates=coordinates), "signatures")
     named = rows.where("set_key is not null and id is not null")
-    reps = work.put(named.groupBy("set_key").agg(F.min("id").alias("node")), "classes")
+    reps = work.put(named.groupBy("set_key").agg(F.min("id").alias("node")), "classes", few)
     nodes = named.join(reps, "set_key").where("id = node").select("node", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["node"])
-    nodes = work.put(nodes, "nodes")
+    nodes = work.put(nodes, "nodes", few)
     label = links(docs, nodes, work, id_col=id_col, text_col=text_col, width=width, coordinates=coordinates, matches=matches, percent=percent)
     where_to = reps.join(label, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     out = rows.select("id", "n_shingles", "set_key").join(where_to, "set_key", "left")
@@ -223,5 +228,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay, with their columns: one of each component, every one without links."""
     work = Scratch(docs.sparkSession, "near-dedup-kept")
-    gone = work.put(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    gone = work.put(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone", docs.count() // ROWS_A_TASK + 2)
     return docs.join(broadcast_if_small(gone, gone.count(), 16), F.col(id_col) == F.col("_gone"), "left_anti")

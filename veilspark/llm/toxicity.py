@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, WordHashes, ascii_words, broadcast_if_small, shingle_hashes
+from veilspark.llm.common import Scratch, WordHashes, ascii_words, broadcast_if_small, shingle_hashes, worker_task
 from veilspark.llm.near_dedup import signature
 
 THRESHOLD = 0.3
@@ -331,6 +331,7 @@ class Scorer(dict):
         return 1 / (1 + math.exp(-min(30.0, self.base + sum(self.weights[i - 1] for i in found))))
 
 
+@worker_task
 def _character_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
     for batch in batches:
@@ -340,6 +341,7 @@ def _character_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["i", "n"])
 
 
+@worker_task
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -351,6 +353,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(family, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string())), batch.column(1).slice(at, 500)], ["family", "words", "toxic"])
 
 
+@worker_task
 def _feature_rows(batches: Iterator[pa.RecordBatch], kept: set[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
     """How many of the kept documents hold each word and each beginning of a word, and how many of these are toxic."""
     n, toxic = Counter(), Counter()
@@ -372,6 +375,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], kept: set[tuple[int, ...]])
     yield out()
 
 
+@worker_task
 def _matched_rows(batches: Iterator[pa.RecordBatch], kept: set[tuple[int, ...]], lexicon: list[str]) -> Iterator[pa.RecordBatch]:
     scorer = Lexicon(lexicon)
     for batch in batches:
@@ -455,6 +459,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return words, weights, base, corpus
 
 
+@worker_task
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(*shared.value)
     for batch in batches:
@@ -475,6 +480,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     """The documents below the threshold, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, held=held))
 
+    @worker_task
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import mix
+from veilspark.llm.common import mix, worker_task
 
 ORDER = 4
 SLOT_BITS = 18
@@ -86,6 +86,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
+@worker_task
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(url, model, fold) -> (model, fold, slot, n); the counts of a partition are added up before they leave it."""
     sums = {}
@@ -107,6 +108,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["model", "fold", "slot", "n"])
 
 
+@worker_task
 def _scored(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
     """Appends score: the difference of log-likelihoods by byte."""
     accepted, rejected = tables.value
