@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -12,6 +12,7 @@ class Recognizer:
     score: float
     pattern: str
     check: str | None = None  # luhn or mod97: what the digits of a match must satisfy
+    needs: str | None = None  # a cheaper pattern that any text with a match fits; None: every text is scanned
 
 
 # The patterns and scores that results depend on.
@@ -44,14 +45,24 @@ BUILT_IN = [
     Recognizer("iban", "IBAN_CODE", 1.0, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "mod97"),
 ]
 
+# What a match of each pattern can't do without; all other texts are left out before the pattern itself runs.
+NEEDS = {
+    "dashed_account": r"\d{3}-\d{4}", "prefix_account": r"[A-Z]{2}\d{5}", "letter_digits_letter": r"[A-Z]\d{4}", "plain_account": r"\d{8}", "isin": r"[A-Z]{2}[A-Z0-9]{9}\d",
+    "sg_nric": r"\d{7}[A-Za-z]", "sg_uen": r"\d{8}[A-Z]|T\d{2}[A-Z]{2}\d{4}[A-Z]", "sg_mobile": r"[89]\d{3}[-\s]?\d{4}", "sg_landline": r"6\d{3}[-\s]?\d{4}",
+    "us_tollfree": r"8\d{2}\)?[\s\-.]?\d{3}[\s\-.]?\d{4}", "us_phone": r"\d{3}[\s\-.]\d{4}", "sg_address": r"\d{6}", "sg_block_address": r"Blk\s", "us_address": r"[A-Z]{2}\s+\d{5}",
+    "po_box": r"Box\s+\d", "sg_postal_anchor": r"Singapore\s", "us_zip_anchor": r"[A-Z]{2}\s+\d{5}", "us_state_zip4": r"\d{5}-\d{4}", "email": "@", "credit_card": r"\d(?:[ -]?\d){12}", "iban": r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}",
+}
+RECOGNIZERS = [replace(r, needs=NEEDS[r.name]) for r in RECOGNIZERS]
+BUILT_IN = [replace(r, needs=NEEDS[r.name]) for r in BUILT_IN]
+
 THRESHOLD = 0.50
 ALL = RECOGNIZERS + BUILT_IN
 _REGISTERED: dict[str, Recognizer] = {r.name: r for r in ALL}
 
 
-def register_recognizer(name: str, entity_type: str, pattern: str, score: float, check: str | None = None) -> Recognizer:
-    """Adds a recognizer to those that registered() gives."""
-    _REGISTERED[name] = found = Recognizer(name, entity_type, score, pattern, check)
+def register_recognizer(name: str, entity_type: str, pattern: str, score: float, check: str | None = None, needs: str | None = None) -> Recognizer:
+    """Adds a recognizer to those that registered() gives. Without `needs` it scans every text."""
+    _REGISTERED[name] = found = Recognizer(name, entity_type, score, pattern, check, needs)
     return found
 
 

@@ -20,26 +20,38 @@ def target_words(entity: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(entity, r"\s+", " ")), " ")
     return F.filter(F.transform(words, normalized), lambda w: w != "")
 
+SCAN_BLOCK = 64
+
 
 def scan(text: Column, pattern: str | Column) -> Column:
     """All matches of a pattern, in order: array of (start, end, value), offsets from 0 in code points.
 
     Matches are wrapped in marks and the text is split at them, so every second part is a match and the lengths before
-    it are its start.
+    it are its start. Offsets are added up in blocks of SCAN_BLOCK matches, and an array is only ever built for a block,
+    so the work grows with the number of matches and not with its square.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, " "), pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    marked = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
+    parts = F.split(F.regexp_replace(marked, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
     def spans(p: Column) -> Column:
-        def step(s: Column, k: Column) -> Column:
-            value = F.element_at(p, k * 2)
-            start = s["at"] + F.char_length(F.element_at(p, k * 2 - 1))
-            end = start + F.char_length(value)
-            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
-
-        n = F.floor((F.size(p) - 1) / 2).cast("int")
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), begin, step, lambda s: s["out"])).otherwise(F.array().cast(SPANS))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(p) - 3) / (2 * SCAN_BLOCK)).cast("int"))
+        block = lambda b: F.slice(p, b * (2 * SCAN_BLOCK) + 1, 2 * SCAN_BLOCK)
+        sizes = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda n, x: n + F.char_length(x)))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+
+        def inside(b: Column, begin: Column) -> Column:
+            """A block's parts come in pairs: what stands before a match, and the match; the last block may end with a rest."""
+            first = F.struct(begin.alias("at"), F.lit(False).alias("match"), F.array().cast(SPANS).alias("out"))
+
+            def step(s: Column, x: Column) -> Column:
+                end = s["at"] + F.char_length(x)
+                return F.struct(end.alias("at"), (~s["match"]).alias("match"), F.when(s["match"], F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), end.alias("end"), x.alias("value"))))).otherwise(s["out"]).alias("out"))
+
+            return F.aggregate(b, first, step, lambda s: s["out"])
+
+        found = F.transform(F.array(begins), lambda all_: F.flatten(F.transform(blocks, lambda b: inside(block(b), F.element_at(all_, b + 1)))))
+        return F.when(F.size(p) > 1, F.element_at(found, 1)).otherwise(F.array().cast(SPANS))
 
     return F.element_at(F.transform(F.array(parts), spans), 1)  # the parts are worked out once
 

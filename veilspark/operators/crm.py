@@ -69,11 +69,17 @@ def populate(literals: DataFrame, occurrences: DataFrame, documents: DataFrame)
     return rows.select("client_id", "doc_id", "id", "entity", "category", F.coalesce("tokenize", F.lit(False)).alias("tokenize"), F.coalesce("n_occ", F.lit(0)).cast("bigint").alias("n_occ"), F.coalesce("n_pages", F.lit(0)).cast("bigint").alias("n_pages"), F.lit(1).alias("vote_count"), F.lit(True).alias("consensus_passed"))
 
 
-def diff(recs: DataFrame, literals: DataFrame) -> DataFrame:
-    """client_id, stem, entity, change: stale, new, changed or same, of a sibling's recommendations against the literals."""
+def diff(recs: DataFrame, literals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """client_id, stem, entity, change: stale, new, changed or same, of a sibling's recommendations against the literals.
+
+    Whether an entity is rejected says the sibling's decision; unsaid flags count as false, a literal without category as OTHER.
+    """
     fields = ["category", "token", "tokenize", "rejected"]
-    mine = recs.select("client_id", "stem", "entity", F.struct(*fields).alias("was"))
-    theirs = literals.join(recs.select("client_id", "stem").distinct(), "client_id").select("client_id", "stem", "entity", F.struct(*fields).alias("now"))
+    no, key = F.lit(False), ["client_id", "stem", "entity"]
+    said = decisions.select(*key, F.col("rejected").alias("refused"))
+    mine = recs.join(said, key, "left").select(*key, F.struct("category", "token", F.coalesce("tokenize", no).alias("tokenize"), F.coalesce("refused", no).alias("rejected")).alias("was"))
+    now = F.struct(F.coalesce("category", F.lit("OTHER")).alias("category"), "token", F.coalesce("tokenize", no).alias("tokenize"), F.coalesce("rejected", no).alias("rejected"))
+    theirs = literals.join(recs.select("client_id", "stem").distinct(), "client_id").select(*key, now.alias("now"))
     same = F.lit(True)
     for f in fields:
         same = same & F.col("was")[f].eqNullSafe(F.col("now")[f])

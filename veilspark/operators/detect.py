@@ -29,17 +29,26 @@ def checked(value: Column, check: str) -> Column:
     return F.aggregate(letters, F.lit(0).cast("int"), lambda s, c: step(s, c).cast("int")) == 1
 
 
+def needed(text: Column, recognizer: Recognizer) -> Column:
+    """Whether a text can hold a match at all."""
+    if recognizer.needs is None:
+        return text.isNotNull()
+    return text.contains(recognizer.needs) if recognizer.needs == "@" else text.rlike(recognizer.needs)
+
+
 def scan_one(docs: DataFrame, recognizer: Recognizer, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, start, end, value of a recognizer's matches. Texts that can't match (no digit, no @) are skipped unread by the pattern."""
-    needed = F.col(text).contains("@") if recognizer.name == "email" else F.col(text).rlike("[0-9]")
-    return docs.where(needed).select(key, F.explode(matches(F.col(text), recognizer)).alias("m")).select(key, "m.start", "m.end", "m.value")
+    """key, start, end, value of a recognizer's matches. Texts that lack what it declares to need are skipped unread by the pattern."""
+    return docs.where(needed(F.col(text), recognizer)).select(key, F.explode(matches(F.col(text), recognizer)).alias("m")).select(key, "m.start", "m.end", "m.value")
 
 
 def scan_all(docs: DataFrame, recognizers: list[Recognizer], *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key and one array `spans` of all matches at or above the threshold, in one pass over the text and without a shuffle."""
     used = [r for r in recognizers if r.score >= threshold]
-    needed = F.col(text).rlike("[0-9@]")
-    return docs.where(needed).select(key, F.concat(*[matches(F.col(text), r) for r in used]).cast(SCORED).alias("spans")).where(F.size("spans") > 0)
+    if not used:
+        return docs.select(key, F.array().cast(SCORED).alias("spans")).limit(0)
+    any_digit = F.col(text).rlike("[0-9@]") if all(r.needs for r in used) else F.lit(True)
+    found = [F.when(needed(F.col(text), r), matches(F.col(text), r)).otherwise(F.array()).cast(SCORED) for r in used]
+    return docs.where(any_digit).select(key, F.concat(*found).alias("spans")).where(F.size("spans") > 0)
 
 
 def one_of_each(spans: Column) -> Column:
@@ -66,11 +75,11 @@ def detect(docs: DataFrame, recognizers: list[Recognizer], *, key: str = "doc_id
 
 
 def disjoint_phones(pieces: DataFrame, key: list[str]) -> DataFrame:
-    """key and whether a phone's boxes lie apart: neighbours in a row with a gap wider than its widest box."""
+    """key and whether a phone's boxes lie apart: neighbours in a row with a gap wider than both of them."""
     order = Window.partitionBy(*key).orderBy(F.bround("top"), "left")
-    rows = pieces.withColumn("next_top", F.lead("top").over(order)).withColumn("next_left", F.lead("left").over(order))
-    rows = rows.withColumn("widest", F.max(F.greatest(F.col("right") - F.col("left"), F.lit(0.1))).over(Window.partitionBy(*key)))
-    apart = (F.abs(F.col("next_top") - F.col("top")) <= 2) & (F.col("next_left") - F.col("right") > F.col("widest"))
+    rows = pieces.withColumn("width", F.greatest(F.col("right") - F.col("left"), F.lit(0.1)))
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("top", "left", "width")})
+    apart = (F.abs(F.col("next_top") - F.col("top")) <= 2) & (F.col("next_left") - F.col("right") > F.greatest("width", "next_width"))
     return rows.groupBy(*key).agg(F.coalesce(F.bool_or(apart), F.lit(False)).alias("disjoint"))
 
 
@@ -84,27 +93,30 @@ def consensus(votes: DataFrame, models: int) -> DataFrame:
 def accumulate(sightings: DataFrame, models: int) -> DataFrame:
     """Votes of a document's pages together: sightings(doc_id, page, entity, category, voter).
 
-    The category is the first sighting's; a pattern counts as a voter; consensus is asked only of persons that a model
-    has voted for.
+    The category is the first sighting's; a pattern counts as a voter; consensus is asked only of entities that a model
+    has voted for, and only when one does: on the last page with such a vote, with the voters known by then. A pattern
+    that hits on a later page adds its vote, but consensus isn't asked anew.
     """
     least = max(1, min(2, models))
-    found = sightings.groupBy("doc_id", "entity").agg(
+    last = F.max(F.when(F.col("voter") != "regex", F.col("page"))).over(Window.partitionBy("doc_id", "entity"))
+    found = sightings.withColumn("asked", last).groupBy("doc_id", "entity").agg(
         F.min_by("category", F.struct("page", F.when(F.col("voter") == "regex", 0).otherwise(1), "category")).alias("category"),
         F.array_sort(F.collect_set("voter")).alias("models_voted"),
-        F.bool_or(F.col("voter") != "regex").alias("by_model"),
+        F.count_distinct(F.when(F.col("page") <= F.col("asked"), F.col("voter"))).alias("voters_then"),
+        F.first("asked").alias("asked"),
     )
-    passed = F.when(F.col("by_model"), F.size("models_voted") >= least).otherwise(True)
+    passed = F.when(F.col("asked").isNotNull(), F.col("voters_then") >= least).otherwise(True)
     return found.select("doc_id", "entity", "category", "models_voted", F.size("models_voted").alias("vote_count"), passed.alias("consensus_passed"))
 
 
 def title_aliases(page_texts: DataFrame, persons: DataFrame) -> DataFrame:
-    """doc_id, variant, alias_of: titles in front of a known person, as they stand in the text."""
-    title = r"(?i)\b(?:Mr|Mrs|Mdm|Ms|Miss|Dr|Prof|Sir|Madam)\.?\s+"
+    """doc_id, variant, alias_of: titles in front of a known person: the title as it stands there, one space, the person as known."""
+    title = r"(?i)\b(?:Mr|Mrs|Mdm|Ms|Miss|Dr|Prof|Sir|Madam)\.?\s+"  # fixed value
     found = page_texts.select("doc_id", "text", F.explode(scan(F.col("text"), title)).alias("m"))
     pairs = found.join(persons.select("doc_id", "entity"), "doc_id")
     follows = F.expr("substring(text, m.end + 1, char_length(entity))")
     rows = pairs.where(F.lower(follows) == F.lower("entity"))
-    return rows.select("doc_id", F.concat(F.col("m.value"), follows).alias("variant"), F.col("entity").alias("alias_of")).distinct()
+    return rows.select("doc_id", F.concat(F.regexp_replace("m.value", r"\s+$", ""), F.lit(" "), "entity").alias("variant"), F.col("entity").alias("alias_of")).distinct()
 
 
 def initial_aliases(persons: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import normalized, target_words
-from veilspark.sources.layout import CHAR_WIDTH, KEY
+from veilspark.sources.layout import KEY
 from veilspark.sources.tables import stored
 
 HIT = [*KEY, "entity"]
@@ -23,8 +23,8 @@ OUT = [*HIT, "strategy", "line_id", "left", "top", "right", "bottom", "partial",
 
 
 def flat_words(word_table: DataFrame) -> DataFrame:
-    """Words of a page in reading order: pos from 0, norm, and how many words their line has."""
-    order = Window.partitionBy(*KEY).orderBy("top", "left", "line_id", "word_index")
+    """Words of a page in reading order (of their rounded places): pos from 0, norm, and how many words their line has."""
+    order = Window.partitionBy(*KEY).orderBy(F.bround("top"), F.bround("left"), "line_id", "word_index")
     line = Window.partitionBy(*KEY, "line_id")
     return word_table.withColumn("pos", F.row_number().over(order) - 1).withColumn("norm", normalized(F.col("text"))).withColumn("line_words", F.count("*").over(line))
 
@@ -40,17 +40,40 @@ def not_overlapping(starts: str, n: str) -> Column:
     return F.expr(f"aggregate({starts}, named_struct('next', -1, 'out', cast(array() as array<int>)), (s, x) -> if(x >= s.next, named_struct('next', x + {n}, 'out', concat(s.out, array(x))), s), s -> s.out)")
 
 
-def _by_line(runs: DataFrame, words: DataFrame, strategy: str) -> DataFrame:
-    """Occurrences from runs(HIT, run, pos): one for each line of a run; a whole line gives the line's box."""
+def char_left(at: str) -> Column:
+    """The left edge of a word's character: by the column chars (an array of boxes), where there is one for each character, else at even widths."""
+    return F.expr(f"if(size(chars) = char_length(text), chars[int({at})].left, left + (right - left) * ({at}) / char_length(text))")
+
+
+def char_right(at: str) -> Column:
+    return F.expr(f"if(size(chars) = char_length(text), chars[int({at})].right, left + (right - left) * ({at} + 1) / char_length(text))")
+
+
+def with_chars(words: DataFrame) -> DataFrame:
+    return words if "chars" in words.columns else words.withColumn("chars", F.lit(None).cast("array<struct<left:double,right:double>>"))
+
+
+def line_boxes(line_table: DataFrame) -> DataFrame:
+    return line_table.select(*KEY, "line_id", *(F.col(c).alias(f"l_{c}") for c in ("left", "top", "right", "bottom")))
+
+
+def _by_line(runs: DataFrame, words: DataFrame, line_table: DataFrame, strategy: str) -> DataFrame:
+    """Occurrences from runs(HIT, run, pos): one for each stretch of a run in one line. Height is the line's; so is the width where all its words are in."""
     rows = runs.join(words, [*KEY, "pos"])
-    grouped = rows.groupBy(*HIT, "run", "line_id").agg(
-        F.count("*").alias("n_hit"), F.first("line_words").alias("line_words"), F.min("left").alias("left"), F.max("right").alias("right"), F.first("top").alias("top"), F.first("bottom").alias("bottom"),
+    stretch = F.row_number().over(Window.partitionBy(*HIT, "run").orderBy("pos")) - F.row_number().over(Window.partitionBy(*HIT, "run", "line_id").orderBy("pos"))
+    grouped = rows.withColumn("stretch", stretch).groupBy(*HIT, "run", "line_id", "stretch").agg(
+        F.count("*").alias("n_hit"), F.first("line_words").alias("line_words"), F.min("left").alias("left"), F.max("right").alias("right"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("full_text"),
     )
-    return grouped.select(*HIT, F.lit(strategy).alias("strategy"), "line_id", "left", "top", "right", "bottom", F.lit(False).alias("partial"), "full_text", F.col("run").cast("int").alias("at"))
+    whole = F.col("n_hit") == F.col("line_words")
+    boxed = grouped.join(line_boxes(line_table), [*KEY, "line_id"])
+    return boxed.select(
+        *HIT, F.lit(strategy).alias("strategy"), "line_id", F.when(whole, F.col("l_left")).otherwise(F.col("left")).cast("double").alias("left"), F.col("l_top").cast("double").alias("top"),
+        F.when(whole, F.col("l_right")).otherwise(F.col("right")).cast("double").alias("right"), F.col("l_bottom").cast("double").alias("bottom"), F.lit(False).alias("partial"), "full_text", F.col("run").cast("int").alias("at"),
+    )
 
 
-def exact(words: DataFrame, literals: DataFrame) -> DataFrame:
+def exact(words: DataFrame, literals: DataFrame, line_table: DataFrame) -> DataFrame:
     """Way 1: runs of words equal to the literal's, leftmost ones that don't overlap, also across lines."""
     hit = words.select(*KEY, "pos", "norm").join(literals.where("n > 0").select("client_id", F.col("first").alias("norm"), "entity", "targets", "n"), ["client_id", "norm"])
     # the words after the first one are looked up by their places: few rows, so the words themselves aren't gathered
@@ -59,10 +82,10 @@ def exact(words: DataFrame, literals: DataFrame) -> DataFrame:
     first = hit.where("n = 1").select(*HIT, "n", F.col("pos").alias("start")).unionByName(whole.select(*HIT, "n", "start"))
     starts = first.groupBy(*HIT, "n").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     runs = starts.select(*HIT, "n", F.explode(not_overlapping("starts", "n")).alias("run"))
-    return _by_line(runs.select(*HIT, "run", F.explode(F.sequence("run", F.col("run") + F.col("n") - 1)).alias("pos")), words, "1")
+    return _by_line(runs.select(*HIT, "run", F.explode(F.sequence("run", F.col("run") + F.col("n") - 1)).alias("pos")), words, line_table, "1")
 
 
-def gapped(words: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
+def gapped(words: DataFrame, line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
     """Way 1b: the words in order with others between, the earliest ones each time, at most MOST_SPAN points high.
 
     Only pages that hold every word of the literal and had no hit are looked at; their words are folded in order. The
@@ -80,7 +103,7 @@ def gapped(words: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame
         when s.k + 1 < n then named_struct('k', s.k + 1, 'seq', concat(s.seq, array(x.pos)), 'lo', if(s.k = 0, x.top, least(s.lo, x.top)), 'hi', if(s.k = 0, x.top, greatest(s.hi, x.top)), 'out', s.out)
         else named_struct('k', 0, 'seq', cast(array() as array<int>), 'lo', 0, 'hi', 0, 'out', if(greatest(s.hi, x.top) - least(s.lo, x.top) <= %d, concat(s.out, array(concat(s.seq, array(x.pos)))), s.out)) end, s -> s.out)""" % MOST_SPAN
     runs = rows.select(*HIT, F.posexplode(F.expr(fold)).alias("run", "seq"))
-    return _by_line(runs.select(*HIT, "run", F.explode("seq").alias("pos")), words, "1b")
+    return _by_line(runs.select(*HIT, "run", F.explode("seq").alias("pos")), words, line_table, "1b")
 
 
 def respaced(words: DataFrame, line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
@@ -89,7 +112,7 @@ def respaced(words: DataFrame, line_table: DataFrame, literals: DataFrame, found
     A start is found by an equi-join on the first four letters of what follows it in the line.
     """
     line = Window.partitionBy(*KEY, "line_id").orderBy("pos")
-    kept = words.where("norm != ''").withColumn("k", F.row_number().over(line))
+    kept = with_chars(words).where("norm != ''").withColumn("k", F.row_number().over(line))
     kept = kept.withColumn("head", F.substring(F.concat("norm", *(F.coalesce(F.lead("norm", i).over(line), F.lit("")) for i in (1, 2, 3))), 1, 4))
     wanted = literals.where("char_length(joined) >= 4").withColumn("head", F.substring("joined", 1, 4)).select("client_id", "entity", "joined", "n", "head")
     rows = kept.join(wanted, ["client_id", "head"]).join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
@@ -101,59 +124,62 @@ def respaced(words: DataFrame, line_table: DataFrame, literals: DataFrame, found
     rows = rows.withColumn("f", F.expr(fold))
     whole = rows.where("f.end >= 0 and not (f.k = 1 and n = 1)")
     runs = whole.select(*HIT, F.col("pos").alias("run"), F.explode(F.expr("filter(transform(slice(ahead, 1, f.k), x -> x.pos), p -> p <= f.end)")).alias("pos"))
-    first = _by_line(runs, words, "1c")
+    first = _by_line(runs, words, line_table, "1c")
     begins = rows.where("f.end < 0 and f.k = 1 and startswith(norm, joined) and norm != joined")
-    second = begins.select(*HIT, F.lit("1c").alias("strategy"), "line_id", "left", "top", (F.col("left") + CHAR_WIDTH * F.char_length("joined")).alias("right"), "bottom", F.lit(True).alias("partial"), F.col("text").alias("full_text"), F.col("pos").cast("int").alias("at"))
+    second = begins.select(*HIT, F.lit("1c").alias("strategy"), "line_id", char_left("0").cast("double").alias("left"), F.col("top").cast("double").alias("top"), char_right("char_length(joined) - 1").cast("double").alias("right"), F.col("bottom").cast("double").alias("bottom"), F.lit(True).alias("partial"), F.col("text").alias("full_text"), F.col("pos").cast("int").alias("at"))
     return first.unionByName(second)
 
 
 def inside_words(words: DataFrame, literals: DataFrame) -> DataFrame:
     """Way 2: the literal inside a longer word at its first place there, with no letter or digit on either side."""
-    rows = words.withColumn("low", F.lower("text")).where("low rlike '[^\\\\p{L}\\\\p{N}]'")
+    rows = with_chars(words).withColumn("low", F.lower("text")).where("low rlike '[^\\\\p{L}\\\\p{N}]'")
     # between signs: the literal begins at one of the word's pieces, so pieces are the join key
     pieces = rows.withColumn("piece", F.explode(F.array_distinct(F.concat(F.split("low", r"[^\p{L}\p{N}]+"), F.array("low")))))
     wanted = literals.withColumn("needle", F.lower("entity")).where(~F.col("needle").rlike(r"\s")).withColumn("piece", F.regexp_extract("needle", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]*)", 1)).select("client_id", "entity", "needle", "piece")
     hit = pieces.join(wanted, ["client_id", "piece"]).where("low != needle").withColumn("at", F.instr("low", F.col("needle")) - 1).where("at >= 0")
     before = F.expr("at = 0 or not substring(low, at, 1) rlike '[\\\\p{L}\\\\p{N}]'")
     after = F.expr("not substring(low, at + 1 + char_length(needle), 1) rlike '[\\\\p{L}\\\\p{N}]'")
-    left = F.col("left") + CHAR_WIDTH * F.col("at")
-    rows = hit.where(before & after).select(*HIT, F.lit("2").alias("strategy"), "line_id", left.alias("left"), "top", (left + CHAR_WIDTH * F.char_length("needle")).alias("right"), "bottom", F.lit(True).alias("partial"), F.col("text").alias("full_text"), F.col("pos").cast("int").alias("at"))
+    rows = hit.where(before & after).select(*HIT, F.lit("2").alias("strategy"), "line_id", char_left("at").cast("double").alias("left"), F.col("top").cast("double").alias("top"), char_right("at + char_length(needle) - 1").cast("double").alias("right"), F.col("bottom").cast("double").alias("bottom"), F.lit(True).alias("partial"), F.col("text").alias("full_text"), F.col("pos").cast("int").alias("at"))
     return rows.distinct()
 
 
-def inside_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
-    """Way 3: the literal anywhere in a line's content, letters around it or not; in lines not hit yet. The box is the line's.
+def held(texts: DataFrame, key: list[str], literals: DataFrame) -> DataFrame:
+    """texts(key, low, ...) with entity and needle of each literal of their client that low holds.
 
-    A client's literals stand in one list that its lines are held against in a single pass. Where a client has more than
+    A client's literals stand in one list that its texts are held against in a single pass. Where a client has more than
     MOST_LISTED, places are found by keys instead: the first four letters of a literal and every four letters in a row
-    of a line; literals of fewer letters are joined by client alone.
+    of a text; literals of fewer letters are joined by client alone.
     """
-    line = line_table.select(*KEY, "line_id", "content", "left", "top", "right", "bottom", F.lower("content").alias("low"))
     wanted = literals.select("client_id", "entity", F.lower("entity").alias("needle"))
     many = wanted.groupBy("client_id").agg((F.count("*") > MOST_LISTED).alias("many"))
     wanted = wanted.join(many, "client_id")
     lists = wanted.where("not many").groupBy("client_id").agg(F.collect_list(F.struct("entity", "needle")).alias("lits"))
-    rows = line.join(lists, "client_id").withColumn("l", F.explode(F.filter("lits", lambda x: F.contains(F.col("low"), x["needle"])))).select(*line.columns, F.col("l.entity").alias("entity"), F.col("l.needle").alias("needle"))
+    rows = texts.join(lists, "client_id").withColumn("held_literal", F.explode(F.filter("lits", lambda x: F.contains(F.col("low"), x["needle"])))).select(*texts.columns, F.col("held_literal.entity").alias("entity"), F.col("held_literal.needle").alias("needle"))
     if not many.where("many").isEmpty():
         keyed = wanted.where("many").drop("many")
         long, short = keyed.where("char_length(needle) >= 4").withColumn("gram", F.substring("needle", 1, 4)), keyed.where("char_length(needle) < 4")
-        grams = line.where("char_length(low) >= 4").join(many.where("many").select("client_id"), "client_id").withColumn("gram", F.explode(F.expr("array_distinct(transform(sequence(1, char_length(low) - 3), i -> substring(low, i, 4)))"))).select(*KEY, "line_id", "gram")
-        keys = grams.join(long, ["client_id", "gram"]).select(*KEY, "line_id", "entity", "needle").distinct()
-        more = keys.join(line, [*KEY, "line_id"]).select(*rows.columns).unionByName(line.join(short, "client_id").select(*rows.columns))
+        grams = texts.where("char_length(low) >= 4").join(many.where("many").select("client_id"), "client_id").withColumn("gram", F.explode(F.expr("array_distinct(transform(sequence(1, char_length(low) - 3), i -> substring(low, i, 4)))"))).select(*key, "gram")
+        keys = grams.join(long, ["client_id", "gram"]).select(*key, "entity", "needle").distinct()
+        more = keys.join(texts, key).select(*rows.columns).unionByName(texts.join(short, "client_id").select(*rows.columns))
         rows = rows.unionByName(more.where(F.contains("low", "needle")))
-    rows = rows.join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
-    return rows.select(*HIT, F.lit("3").alias("strategy"), "line_id", "left", "top", "right", "bottom", F.lit(True).alias("partial"), F.col("content").alias("full_text"), F.lit(0).alias("at"))
+    return rows
+
+
+def inside_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
+    """Way 3: the literal anywhere in a line's content, letters around it or not; in lines not hit yet. The box is the line's."""
+    line = line_table.select(*KEY, "line_id", "content", "left", "top", "right", "bottom", F.lower("content").alias("low"))
+    rows = held(line, [*KEY, "line_id"], literals).join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
+    return rows.select(*HIT, F.lit("3").alias("strategy"), "line_id", *(F.col(c).cast("double").alias(c) for c in ("left", "top", "right", "bottom")), F.lit(True).alias("partial"), F.col("content").alias("full_text"), F.lit(0).alias("at"))
 
 
 def across_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
     """Way 4: in a page's trimmed lines joined by spaces; every line that a place touches. Only where nothing else was found."""
     rows = line_table.where("trim(content) != ''").select(*KEY, "line_id", "left", "top", "right", "bottom", "content")
-    one = F.array_sort(F.collect_list(F.struct("top", "left", "line_id", F.trim("content").alias("c"), "right", "bottom", "content")))
-    page = rows.groupBy(*KEY).agg(one.alias("l")).withColumn("text", F.lower(F.array_join(F.transform("l", lambda x: x["c"]), " ")))
-    multi = literals.where("instr(entity, ' ') > 0").select("client_id", "entity", F.lower("entity").alias("needle"))
-    pairs = page.join(multi, "client_id").where(F.contains("text", "needle")).join(found.select(*HIT).distinct(), HIT, "left_anti")
+    one = F.array_sort(F.collect_list(F.struct(F.bround("top").alias("row"), F.bround("left").alias("column"), "line_id", F.trim("content").alias("c"), *(F.col(x).cast("double").alias(x) for x in ("left", "top", "right", "bottom")), "content")))
+    page = rows.groupBy(*KEY).agg(one.alias("l")).withColumn("low", F.lower(F.array_join(F.transform("l", lambda x: x["c"]), " ")))
+    pairs = held(page, KEY, literals.where("instr(entity, ' ') > 0")).withColumnRenamed("low", "text").join(found.select(*HIT).distinct(), HIT, "left_anti")
     starts = F.expr("aggregate(slice(split(text, concat('\\\\Q', needle, '\\\\E'), -1), 1, size(split(text, concat('\\\\Q', needle, '\\\\E'), -1)) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + char_length(x) + char_length(needle), 'out', concat(s.out, array(s.at + char_length(x)))), s -> s.out)")
-    spans = F.expr("aggregate(l, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,line_id:int,left:int,top:int,right:int,bottom:int,content:string>>)), (s, x) -> named_struct('at', s.at + char_length(x.c) + 1, 'out', concat(s.out, array(named_struct('s', s.at, 'e', s.at + char_length(x.c), 'line_id', x.line_id, 'left', x.left, 'top', x.top, 'right', x.right, 'bottom', x.bottom, 'content', x.content)))), s -> s.out)")
+    spans = F.expr("aggregate(l, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,line_id:int,left:double,top:double,right:double,bottom:double,content:string>>)), (s, x) -> named_struct('at', s.at + char_length(x.c) + 1, 'out', concat(s.out, array(named_struct('s', s.at, 'e', s.at + char_length(x.c), 'line_id', x.line_id, 'left', x.left, 'top', x.top, 'right', x.right, 'bottom', x.bottom, 'content', x.content)))), s -> s.out)")
     hits = pairs.select(*HIT, "needle", spans.alias("spans"), F.explode(starts).alias("at"))
     touched = hits.select(*HIT, "at", F.explode(F.expr("filter(spans, x -> x.e > at and x.s < at + char_length(needle))")).alias("x"))
     return touched.select(*HIT, F.lit("4").alias("strategy"), F.col("x.line_id").alias("line_id"), F.col("x.left").alias("left"), F.col("x.top").alias("top"), F.col("x.right").alias("right"), F.col("x.bottom").alias("bottom"), F.lit(True).alias("partial"), F.col("x.content").alias("full_text"), "at")
@@ -162,11 +188,17 @@ def across_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -
 def find_occurrences(line_table: DataFrame, word_table: DataFrame, literal_table: DataFrame) -> DataFrame:
     """All ways together: entity's occurrences with box, line, partial flag, text and the way that found them; equal boxes once."""
     words, literals = stored(flat_words(word_table)), stored(prepared(literal_table))
-    found = stored(exact(words, literals))
-    found = stored(found.unionByName(gapped(words, literals, found)))
-    found = stored(found.unionByName(respaced(words, line_table, literals, found)))
-    found = stored(found.unionByName(inside_words(words, literals)))
-    found = stored(found.unionByName(inside_lines(line_table, literals, found)))
-    found = found.unionByName(across_lines(line_table, literals, found))
+    ways = (
+        lambda found: exact(words, literals, line_table),
+        lambda found: gapped(words, line_table, literals, found),
+        lambda found: respaced(words, line_table, literals, found),
+        lambda found: inside_words(words, literals),
+        lambda found: inside_lines(line_table, literals, found),
+        lambda found: across_lines(line_table, literals, found),
+    )
+    found = None
+    for way in ways:  # each way's own rows are stored once
+        new = stored(way(found))
+        found = new if found is None else found.unionByName(new)
     first = Window.partitionBy(*HIT, "left", "top", "right", "bottom").orderBy("strategy", "at", "full_text")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*OUT)

@@ -42,14 +42,67 @@ def contained_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     return lines.join(w, "page").where(inside).select("line_id", "word_id")
 
 
-def cut_at_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Parts of lines between vertical rules longer than 5 that cross them at mid-height: line_id, part, left, right."""
-    r = rules.where("y1 - y0 > 5").select("page", "x", "y0", "y1")
+def _segments(cut: DataFrame) -> DataFrame:
+    """line_id, part, content, box from rows (line_id, line_right, edge, char_left, ...): characters between two edges, read from left to right, blank parts left out."""
+    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_left", "char_ord", "char"))), lambda x: x["char"]), ""))
+    rows = cut.groupBy("page", "line_id", "part").agg(text.alias("content"), F.min("char_left").alias("left"), F.min("char_top").alias("top"), F.max("char_right").alias("right"), F.max("char_bottom").alias("bottom"))
+    return rows.where("content != ''")
+
+
+def _chars(chars: DataFrame) -> DataFrame:
+    return chars.where("char != ''").select("page", "char", F.col("ord").alias("char_ord"), *(F.col(c).alias(f"char_{c}") for c in ("left", "top", "right", "bottom")))
+
+
+def cut_at_rules(lines: DataFrame, rules: DataFrame, chars: DataFrame) -> DataFrame:
+    """page, line_id, part, content, box: lines cut at vertical rules longer than 5 that cross them at mid-height; a rule may run either way.
+
+    A part holds the page's characters (char, ord, box) that lie in the line's box (3 points more above and below, 2 on
+    the sides) and begin between its edges, with 1 point of grace on the left; blank parts are dropped. A line
+    that no rule crosses, or of which nothing is left, stays whole as part 0.
+    """
+    r = rules.where("abs(y1 - y0) > 5").select("page", F.col("x").cast("double").alias("x"), F.least("y0", "y1").alias("y0"), F.greatest("y0", "y1").alias("y1"))
     mid = (F.col("top") + F.col("bottom")) / 2
     crossing = lines.join(r, "page").where((F.col("x") > F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y0") <= mid) & (F.col("y1") >= mid))
-    cuts = crossing.groupBy("line_id").agg(F.array_sort(F.collect_set("x")).alias("xs"))
-    rows = lines.select("line_id", "left", "right").join(cuts, "line_id", "left").withColumn("edges", F.concat(F.array("left"), F.coalesce("xs", F.array().cast("array<double>")), F.array("right")))
-    return rows.select("line_id", F.posexplode(F.expr("transform(slice(edges, 1, size(edges) - 1), (l, i) -> struct(l as left, edges[i + 1] as right))")).alias("part", "p")).select("line_id", "part", "p.left", "p.right")
+    cuts = crossing.groupBy("page", "line_id", "left", "top", "right", "bottom").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    edges = cuts.withColumn("e", F.concat(F.array(F.col("left").cast("double")), "xs", F.array((F.col("right") + 1).cast("double"))))
+    parts = edges.select("page", "line_id", "left", "top", "right", "bottom", F.posexplode(F.expr("transform(slice(e, 1, size(e) - 1), (a, i) -> struct(a as a, e[i + 1] as b))")).alias("part", "p"))
+    near = (F.col("char_top") >= F.col("top") - 3) & (F.col("char_top") <= F.col("bottom") + 3) & (F.col("char_left") >= F.col("left") - 2) & (F.col("char_left") <= F.col("right") + 2)
+    here = near & (F.col("char_left") >= F.col("p.a") - 1) & (F.col("char_left") < F.col("p.b"))
+    cut = _segments(parts.join(_chars(chars), "page").where(here).drop("left", "top", "right", "bottom"))
+    whole = lines.join(cut.select("page", "line_id").distinct(), ["page", "line_id"], "left_anti").select("page", "line_id", F.lit(0).alias("part"), "content", "left", "top", "right", "bottom")
+    return whole.unionByName(cut)
+
+
+def cut_at_cells(lines: DataFrame, cell_table: DataFrame, chars: DataFrame) -> DataFrame:
+    """page, line_id, part, content, box: lines cut at the left edges of cells that they cross at mid-height, where characters stand on both sides.
+
+    Characters are those that begin within 4 points of the line's top, and of its width with 2 points more.
+    """
+    c = cell_table.select("page", F.col("left").cast("double").alias("x"), F.col("top").alias("c_top"), F.col("bottom").alias("c_bottom"))
+    mid = (F.col("top") + F.col("bottom")) / 2
+    crossing = lines.where("trim(content) != ''").join(c, "page").where((F.col("left") < F.col("x")) & (F.col("x") < F.col("right")) & (F.col("c_top") <= mid) & (mid <= F.col("c_bottom")))
+    cuts = crossing.groupBy("page", "line_id", "left", "top", "right").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    near = (F.abs(F.col("char_top") - F.col("top")) < 4) & (F.col("char_left") >= F.col("left") - 2) & (F.col("char_left") <= F.col("right") + 2)
+    cut = cuts.join(_chars(chars), "page").where(near).drop("left", "top", "right").withColumn("part", F.size(F.filter("xs", lambda x: x <= F.col("char_left"))))
+    cut = _segments(cut)
+    cut = cut.withColumn("n", F.count("*").over(Window.partitionBy("page", "line_id"))).where("n > 1").drop("n")
+    whole = lines.join(cut.select("page", "line_id").distinct(), ["page", "line_id"], "left_anti").select("page", "line_id", F.lit(0).alias("part"), "content", "left", "top", "right", "bottom")
+    numbered = cut.withColumn("part", (F.row_number().over(Window.partitionBy("page", "line_id").orderBy("part")) - 1).cast("int"))
+    return whole.unionByName(numbered)
+
+
+def filled(lines: DataFrame, spans: DataFrame, words: DataFrame) -> DataFrame:
+    """page, line_id, content: blank lines wider than 3 get the text of the first span within 5 points (width within 10), else of
+    the first word within 5, else of the first span within 10; all other lines keep theirs."""
+    s = spans.where("trim(text) != ''").select("page", "ord", F.col("left").alias("s_left"), F.col("top").alias("s_top"), (F.col("right") - F.col("left")).alias("s_width"), "text", F.lit("s").alias("kind"))
+    w = words.where("trim(text) != ''").select("page", "ord", F.col("left").alias("s_left"), F.col("top").alias("s_top"), F.lit(None).cast("double").alias("s_width"), "text", F.lit("w").alias("kind"))
+    bare = lines.where((F.trim("content") == "") & (F.col("right") - F.col("left") > 3)).select("page", "line_id", "left", "top", "right")
+    near = lambda d: (F.abs(F.col("top") - F.col("s_top")) < d) & (F.abs(F.col("left") - F.col("s_left")) < d)
+    span, width = F.col("kind") == "s", F.col("right") - F.col("left")
+    rank = F.when(span & near(5) & (F.abs(width - F.col("s_width")) < 10), 0).when(~span & near(5), 1).when(span & near(10), 2)
+    found = bare.join(s.unionByName(w), "page").withColumn("rank", rank).where("rank is not null")
+    best = first_by(found, ["page", "line_id"], ["rank", "ord"]).select("page", "line_id", "text")
+    return lines.join(best, ["page", "line_id"], "left").select("page", "line_id", F.coalesce("text", "content").alias("content"))
 
 
 def cells(rects: DataFrame) -> DataFrame:
@@ -61,19 +114,27 @@ def cells(rects: DataFrame) -> DataFrame:
 
 
 def merged_cells(lines: DataFrame, cell_table: DataFrame) -> DataFrame:
-    """Lines of cells that hold two or more lines at least 6 apart: line_id, cell_group, cell_merged_value; later cells win."""
-    c = cell_table.select("page", F.col("ord").alias("cell_group"), *(F.col(x).alias(f"c_{x}") for x in ("left", "top", "right", "bottom")))
-    mid_x, mid_y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    rows = lines.where(~F.coalesce("is_ghost", F.lit(False))).join(c, "page").where((mid_x >= F.col("c_left")) & (mid_x <= F.col("c_right")) & (mid_y >= F.col("c_top")) & (mid_y <= F.col("c_bottom"))).withColumn("mid_y", mid_y)
-    groups = rows.groupBy("page", "cell_group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mid_y", "left", "line_id", "content"))), lambda x: x["content"]), " ").alias("cell_merged_value"), F.count("*").alias("n"), (F.max("mid_y") - F.min("mid_y")).alias("span")).where("n >= 2 and span >= 6")
-    found = rows.join(groups.select("page", "cell_group", "cell_merged_value"), ["page", "cell_group"])
-    return first_by(found, ["line_id"], [F.col("cell_group").desc()]).select("line_id", "cell_group", "cell_merged_value")
+    """Lines of cells that hold two or more lines at least 6 apart: line_id, cell_group, cell_merged_value; later cells win.
+
+    A line is in a cell with its whole width (2 points may stick out on the right) and its middle height; blank lines
+    and ghosts aren't. Groups are numbered in the order of their cells.
+    """
+    c = cell_table.select("page", F.col("ord").alias("cell"), *(F.col(x).alias(f"c_{x}") for x in ("left", "top", "right", "bottom")))
+    mid_y = (F.col("top") + F.col("bottom")) / 2
+    inside = (F.col("c_left") <= F.col("left")) & (F.col("right") <= F.col("c_right") + 2) & (F.col("c_top") <= mid_y) & (mid_y <= F.col("c_bottom"))
+    rows = lines.where(~F.coalesce("is_ghost", F.lit(False)) & (F.trim("content") != "")).join(c, "page").where(inside).withColumn("mid_y", mid_y)
+    groups = rows.groupBy("page", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mid_y", "left", "line_id", "content"))), lambda x: F.trim(x["content"])), " ").alias("cell_merged_value"), F.count("*").alias("n"), (F.max("mid_y") - F.min("mid_y")).alias("span")).where("n >= 2 and span >= 6")
+    groups = groups.withColumn("cell_group", F.row_number().over(Window.partitionBy("page").orderBy("cell")) - 1)
+    found = rows.join(groups.select("page", "cell", "cell_group", "cell_merged_value"), ["page", "cell"])
+    return first_by(found, ["page", "line_id"], [F.col("cell").desc()]).select("line_id", "cell_group", "cell_merged_value")
 
 
 def font_ratio(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """page, ratio: mean of line size to span size over lines of 5 letters and more and the first span that holds or is held by them; 1 when within 0.01."""
-    s = spans.select("page", F.col("ord").alias("span"), F.col("text").alias("s_text"), F.col("size").alias("s_size"))
-    rows = lines.where("char_length(content) >= 5").join(s, "page").where((F.col("s_text") == F.col("content")) | F.contains("s_text", "content") | (F.contains("content", "s_text") & (F.char_length("s_text") >= 5)))
+    """page, ratio: mean of line size to span size over lines and the first span of equal text, or that holds or is held by 5 letters and more; 1 when within 0.01."""
+    s = spans.select("page", F.col("ord").alias("span"), F.trim("text").alias("s_text"), F.col("size").alias("s_size")).where("s_text != '' and s_size > 0")
+    l = lines.select("page", "line_id", "font_size", F.trim("content").alias("l_text")).where("l_text != '' and font_size > 0")
+    long = lambda c: F.char_length(c) >= 5
+    rows = l.join(s, "page").where((F.col("s_text") == F.col("l_text")) | (long("l_text") & F.contains("s_text", "l_text")) | (long("s_text") & F.contains("l_text", "s_text")))
     first = first_by(rows, ["page", "line_id"], ["span"])
     mean = first.groupBy("page").agg(F.avg(F.col("font_size") / F.col("s_size")).alias("ratio"))
     return mean.select("page", F.when(F.abs(F.col("ratio") - 1) > 0.01, F.col("ratio")).otherwise(1.0).alias("ratio"))

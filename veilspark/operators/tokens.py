@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The prefix of a category's tokens.
-PREFIXES = {"PERSON": "NAME", "ACCOUNT_NUMBER": "ACCOUNT", "ADDRESS": "ADDRESS", "EMAIL": "EMAIL", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "SG_PHONE": "PHONE", "SG_NRIC": "NRIC", "SG_UEN": "UEN", "CREDIT_CARD": "CARD", "IBAN_CODE": "IBAN", "DATE_OF_BIRTH": "DOB", "ORGANIZATION": "ORG"}
+PREFIXES = {"PERSON": "NAME", "ACCOUNT_NUMBER": "ACCOUNT", "ADDRESS": "ADDRESS", "EMAIL": "EMAIL", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "SG_PHONE": "PHONE", "SG_NRIC": "NRIC", "SG_UEN": "UEN", "CREDIT_CARD": "CARD", "IBAN_CODE": "IBAN", "DATE_OF_BIRTH": "DOB", "DATE_TIME": "DATE", "URL": "URL", "ISIN": "ISIN"}
 OTHER = "OTHER"
 
 
@@ -24,20 +24,25 @@ def auto_rejected(category: Column, passed: Column, rejected: Column) -> Column:
 
 
 def resolve(decisions: DataFrame, manual: DataFrame, recs: DataFrame) -> DataFrame:
-    """entity, category, redact (approved), tokenize, source: decisions first, then manual additions, then recommendations.
+    """entity, category, tokenize, source of what is approved: by a decision, by hand, or as a recommendation.
 
     decisions: entity, category, tokenize, token, rejected; manual: entity, category, tokenize; recs: entity, category,
-    consensus_passed. A rejected decision keeps its entity out of the later sources but for manual additions.
+    consensus_passed. A decision that rejects (by its flag, or category REJECT) keeps its entity out of the
+    recommendations, not of manual additions; nothing is approved with category REJECT or none. The category is the
+    manual one's, where there is any. A label needs every decision and manual addition of the entity to ask for it;
+    a recommendation takes the tokenize flag of a decision that itself approved nothing.
     """
-    base = ["entity", "category", "tokenize", "source", "rank"]
-    a = decisions.where(~F.coalesce("rejected", F.lit(False))).withColumn("source", F.lit("decision")).withColumn("rank", F.lit(0)).select(*base)
-    b = manual.withColumn("source", F.lit("manual")).withColumn("rank", F.lit(1)).select(*base)
-    left = recs.join(decisions.select("entity", "rejected"), "entity", "left").where(~F.coalesce("rejected", F.lit(False)) & ~auto_rejected(F.col("category"), F.col("consensus_passed"), F.col("rejected")))
-    c = left.select("entity", "category", F.lit(None).cast("boolean").alias("tokenize"), F.lit("rec").alias("source"), F.lit(2).alias("rank"))
-    rows = a.unionByName(b).unionByName(c)
-    first = Window.partitionBy("entity").orderBy("rank")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return rows.select("entity", "category", tokenize_on(F.col("tokenize"), F.col("category")).alias("tokenize"), "source")
+    refused = F.coalesce("rejected", F.lit(False)) | F.col("category").eqNullSafe("REJECT")
+    open_ = F.col("category").isNotNull() & (F.col("category") != "REJECT")
+    label = tokenize_on(F.col("tokenize"), F.col("category"))
+    a = decisions.where(~refused & open_).select("entity", "category", label.alias("tokenize"), F.lit("decision").alias("source"))
+    b = manual.where(open_).groupBy("entity").agg(F.max("category").alias("category"), F.bool_and(label).alias("tokenize")).withColumn("source", F.lit("manual"))
+    both = a.join(b.select("entity", F.col("category").alias("c"), F.col("tokenize").alias("t"), F.col("source").alias("s")), "entity", "full")
+    both = both.select("entity", F.coalesce("c", "category").alias("category"), (F.coalesce("tokenize", F.lit(True)) & F.coalesce("t", F.lit(True))).alias("tokenize"), F.coalesce("source", "s").alias("source"))
+    said = decisions.select("entity", "rejected", refused.alias("refused"), F.col("tokenize").alias("asked"))
+    left = recs.where(open_).join(said, "entity", "left").where(~F.coalesce("refused", F.lit(False)) & ~auto_rejected(F.col("category"), F.col("consensus_passed"), F.col("rejected"))).join(both.select("entity"), "entity", "left_anti")
+    c = left.select("entity", "category", tokenize_on(F.col("asked"), F.col("category")).alias("tokenize"), F.lit("rec").alias("source"))
+    return both.unionByName(c)
 
 
 def first_occurrence(occurrences: DataFrame, key: list[str]) -> DataFrame:

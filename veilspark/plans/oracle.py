@@ -79,14 +79,15 @@ SQL["recommendations_ranked"] = f"""{DETECTED}, r AS (SELECT doc_id, value AS en
 SELECT *, 'e' || (row_number() OVER (PARTITION BY doc_id ORDER BY vote_count DESC, lower(entity), entity) - 1) AS id FROM r"""
 SQL["pii_by_client_rollup"] = f"{DETECTED} SELECT source AS client_id, category, count(*) AS n_spans, count(DISTINCT value) AS n_values FROM detected JOIN documents USING (doc_id) GROUP BY ROLLUP (source, category)"
 
-SQL["det_phone_disjoint"] = f"""WITH r AS (SELECT phone, left_, top, right_, lead(top) OVER w AS nt, lead(left_) OVER w AS nl, max(greatest(right_ - left_, 0.1)) OVER (PARTITION BY phone) AS widest FROM {sql('phone_pieces')} WINDOW w AS (PARTITION BY phone ORDER BY top, left_))
-SELECT phone, coalesce(bool_or(abs(nt - top) <= 2 AND nl - right_ > widest), false) AS disjoint FROM r GROUP BY phone"""
+SQL["det_phone_disjoint"] = f"""WITH r AS (SELECT phone, left_, top, right_, lead(top) OVER w AS nt, lead(left_) OVER w AS nl, greatest(right_ - left_, 0.1) AS own, lead(greatest(right_ - left_, 0.1)) OVER w AS nw FROM {sql('phone_pieces')} WINDOW w AS (PARTITION BY phone ORDER BY top, left_))
+SELECT phone, coalesce(bool_or(abs(nt - top) <= 2 AND nl - right_ > own AND nl - right_ > nw), false) AS disjoint FROM r GROUP BY phone"""
 SQL["ner_consensus"] = f"SELECT doc_id, page, entity, string_agg(DISTINCT model, ',' ORDER BY model) AS models, CAST(count(DISTINCT model) AS INTEGER) AS vote_count, count(DISTINCT model) >= 2 AS consensus_passed FROM {sql('votes')} GROUP BY ALL"
-SQL["ner_vote_accumulate"] = f"""SELECT doc_id, entity, arg_min(category, (page, CASE WHEN voter = 'regex' THEN 0 ELSE 1 END, category)) AS category, string_agg(DISTINCT voter, ',' ORDER BY voter) AS models, CAST(count(DISTINCT voter) AS INTEGER) AS vote_count,
-  CASE WHEN bool_or(voter != 'regex') THEN count(DISTINCT voter) >= 2 ELSE true END AS consensus_passed FROM {sql('sightings')} GROUP BY doc_id, entity"""
+SQL["ner_vote_accumulate"] = f"""WITH s AS (SELECT * FROM {sql('sightings')}), m AS (SELECT doc_id, entity, max(page) AS asked FROM s WHERE voter != 'regex' GROUP BY ALL)
+SELECT doc_id, entity, arg_min(category, (page, CASE WHEN voter = 'regex' THEN 0 ELSE 1 END, category)) AS category, string_agg(DISTINCT voter, ',' ORDER BY voter) AS models, CAST(count(DISTINCT voter) AS INTEGER) AS vote_count,
+  CASE WHEN any_value(asked) IS NULL THEN true ELSE count(DISTINCT voter) FILTER (page <= asked) >= 2 END AS consensus_passed FROM s LEFT JOIN m USING (doc_id, entity) GROUP BY doc_id, entity"""
 SQL["title_alias"] = f"""WITH p AS (SELECT DISTINCT t.doc_id, t.text, e.entity FROM {sql('page_texts')} t JOIN {sql('persons')} e USING (doc_id)),
-m AS (SELECT doc_id, entity, unnest(regexp_extract_all(text, '(?i)\\b(?:Mr|Mrs|Mdm|Ms|Miss|Dr|Prof|Sir|Madam)\\.?\\s+' || regexp_escape(entity))) AS variant FROM p)
-SELECT DISTINCT doc_id, variant, entity AS alias_of FROM m"""
+m AS (SELECT doc_id, entity, unnest(regexp_extract_all(text, '(?i)\\b((?:Mr|Mrs|Mdm|Ms|Miss|Dr|Prof|Sir|Madam)\\.?)\\s+' || regexp_escape(entity), 1)) AS title FROM p)
+SELECT DISTINCT doc_id, title || ' ' || entity AS variant, entity AS alias_of FROM m"""
 SQL["initial_alias"] = f"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(entity, '\\b([A-Z])\\.(\\s|$)', '\\1\\2', 'g'), '\\b([A-Z])\\.(\\s|$)', '\\1\\2', 'g') AS variant, entity AS alias_of FROM {sql('persons')})
 SELECT * FROM r WHERE variant != alias_of AND NOT EXISTS (SELECT 1 FROM {sql('persons')} p WHERE p.doc_id = r.doc_id AND p.entity = r.variant)"""
 SQL["carried_over"] = f"""SELECT t.doc_id, t.page, e.entity FROM {sql('page_texts')} t JOIN (SELECT doc_id, entity, min(page) AS f FROM {sql('persons')} GROUP BY ALL) e USING (doc_id) WHERE t.page > e.f AND contains(t.text, e.entity)"""
@@ -101,7 +102,7 @@ SQL["char_table"] = f"""{LW} SELECT doc_id, page, line_id, CAST(sum(n) AS BIGINT
 SQL["trailing_sign_split"] = f"""{LW}, s AS (SELECT *, regexp_extract(text, '^(.*?)([.,;:!?]+)$', 1) AS body, regexp_extract(text, '^(.*?)([.,;:!?]+)$', 2) AS signs FROM words),
 t AS (SELECT *, CASE WHEN body != '' AND signs != '' THEN [body, signs] ELSE [text] END AS ps FROM s), u AS (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM t)
 SELECT client_id, doc_id, page, line_id, word_index, CAST(k - 1 AS INTEGER) AS part, ps[k] AS text, CAST("left" + CASE WHEN k = 2 THEN 6 * len(body) ELSE 0 END AS INTEGER) AS "left", CAST("left" + CASE WHEN k = 2 THEN 6 * len(body) ELSE 0 END + 6 * len(ps[k]) AS INTEGER) AS "right", top, bottom FROM u"""
-SQL["page_text"] = f"WITH {SRC}, {LINES} SELECT client_id, doc_id, page, string_agg(content, chr(10) ORDER BY line_id) AS text FROM lines GROUP BY ALL"
+SQL["page_text"] = f"WITH {SRC}, {LINES} SELECT client_id, doc_id, page, coalesce(string_agg(content, chr(10) ORDER BY line_id) FILTER (content != ''), '') AS text FROM lines GROUP BY ALL"
 SQL["page_counts"] = f"WITH {SRC}, {LINES} SELECT client_id, doc_id, max(page) AS total_pages, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_ghosts FROM lines GROUP BY client_id, doc_id"
 SQL["conversation_words"] = f"WITH src AS (SELECT role AS source, conv_id * 1000 + turn AS doc_id, text FROM conversations), {LINES}, {WORDS} SELECT client_id, doc_id, count(*) AS n_words, max(\"right\") AS widest, count(DISTINCT line_id) AS n_lines FROM words GROUP BY client_id, doc_id"
 SQL["layout_json_roundtrip"] = f"{LW} SELECT l.doc_id, l.page, l.line_id, l.content, l.\"right\", CAST(count(w.id) AS INTEGER) AS n_words FROM lines l LEFT JOIN words w USING (doc_id, page, line_id) GROUP BY ALL"
@@ -118,8 +119,10 @@ ord AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, entity ORDER BY
 walk(doc_id, page, entity, k, nxt, take) AS (SELECT doc_id, page, entity, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false FROM ord WHERE k = 1 UNION ALL
   SELECT o.doc_id, o.page, o.entity, o.k, CASE WHEN o.pos >= w.nxt THEN o.pos + o.n ELSE w.nxt END, o.pos >= w.nxt FROM walk w JOIN ord o ON o.doc_id = w.doc_id AND o.page = w.page AND o.entity = w.entity AND o.k = w.k + 1),
 runs AS (SELECT o.* FROM ord o JOIN walk w USING (doc_id, page, entity, k) WHERE w.take),
-hits AS (SELECT r.client_id, r.doc_id, r.page, r.entity, r.pos AS run, f.line_id, count(*) AS nh, any_value(f.line_words) AS lw, min(f."left") AS l, max(f."right") AS rr, any_value(f.top) AS top, any_value(f.bottom) AS bottom, string_agg(f.text, ' ' ORDER BY f.pos) AS full_text
-  FROM runs r JOIN flat f ON f.doc_id = r.doc_id AND f.page = r.page AND f.pos BETWEEN r.pos AND r.pos + r.n - 1 GROUP BY ALL)"""
+words_of AS (SELECT r.client_id, r.doc_id, r.page, r.entity, r.pos AS run, f.line_id, f.pos, f.line_words, f."left", f."right", f.text, row_number() OVER (PARTITION BY r.doc_id, r.page, r.entity, r.pos ORDER BY f.pos) - row_number() OVER (PARTITION BY r.doc_id, r.page, r.entity, r.pos, f.line_id ORDER BY f.pos) AS stretch
+  FROM runs r JOIN flat f ON f.doc_id = r.doc_id AND f.page = r.page AND f.pos BETWEEN r.pos AND r.pos + r.n - 1),
+parts AS (SELECT client_id, doc_id, page, entity, run, line_id, stretch, count(*) AS nh, any_value(line_words) AS lw, min("left") AS l, max("right") AS rr, string_agg(text, ' ' ORDER BY pos) AS full_text FROM words_of GROUP BY ALL),
+hits AS (SELECT p.* EXCLUDE (l, rr), CASE WHEN nh = lw THEN s."left" ELSE l END AS l, CASE WHEN nh = lw THEN s."right" ELSE rr END AS rr, s.top, s.bottom FROM parts p JOIN lines s ON s.doc_id = p.doc_id AND s.page = p.page AND s.line_id = p.line_id)"""
 SQL["match_exact"] = f"{EXACT} SELECT doc_id, page, entity, line_id, CAST(l AS BIGINT) AS \"left\", CAST(top AS BIGINT) AS top, CAST(rr AS BIGINT) AS \"right\", CAST(bottom AS BIGINT) AS bottom, false AS partial, full_text FROM hits"
 SQL["first_occurrence"] = f"""{EXACT}, f AS (SELECT doc_id, entity, min((page, top, l)) AS f, count(*) AS n_occ, count(DISTINCT page) AS n_pages FROM hits GROUP BY ALL)
 SELECT doc_id, entity, f[1] AS page, CAST(f[2] AS BIGINT) AS top, CAST(f[3] AS BIGINT) AS "left", n_occ, n_pages FROM f"""
@@ -140,8 +143,8 @@ SQL["crm_union"] = f"WITH {EVENTS} SELECT * FROM uni"
 SQL["crm_save"] = f"WITH {EVENTS} SELECT * FROM saved"
 SQL["crm_changes"] = f"WITH {EVENTS} SELECT client_id, count(*) FILTER (p.entity IS NULL) AS added, count(*) FILTER (s.entity IS NULL) AS removed FROM (SELECT client_id, entity FROM {sql('prior')}) p FULL JOIN (SELECT client_id, entity FROM saved) s USING (client_id, entity) GROUP BY client_id"
 SQL["crm_diff"] = f"""WITH th AS (SELECT p.*, s.stem FROM {sql('prior')} p JOIN (SELECT DISTINCT client_id, stem FROM {sql('recs')}) s USING (client_id))
-SELECT client_id, stem, entity, CASE WHEN t.has IS NULL THEN 'stale' WHEN r.has IS NULL THEN 'new' WHEN r.category IS NOT DISTINCT FROM t.category AND r.token IS NOT DISTINCT FROM t.token AND r.tokenize IS NOT DISTINCT FROM t.tokenize AND r.rejected IS NOT DISTINCT FROM t.rejected THEN 'same' ELSE 'changed' END AS change
-FROM (SELECT *, 1 AS has FROM {sql('recs')}) r FULL JOIN (SELECT *, 1 AS has FROM th) t USING (client_id, stem, entity)"""
+SELECT client_id, stem, entity, CASE WHEN t.has IS NULL THEN 'stale' WHEN r.has IS NULL THEN 'new' WHEN r.category IS NOT DISTINCT FROM coalesce(t.category, 'OTHER') AND r.token IS NOT DISTINCT FROM t.token AND coalesce(r.tokenize, false) = coalesce(t.tokenize, false) AND coalesce(r.refused, false) = coalesce(t.rejected, false) THEN 'same' ELSE 'changed' END AS change
+FROM (SELECT r.client_id, r.stem, r.entity, r.category, r.token, r.tokenize, d.rejected AS refused, 1 AS has FROM {sql('recs')} r LEFT JOIN {sql('decisions')} d USING (client_id, stem, entity)) r FULL JOIN (SELECT *, 1 AS has FROM th) t USING (client_id, stem, entity)"""
 SQL["crm_merge_back"] = f"""WITH s AS (SELECT * FROM {sql('merge_sets')}), u AS (SELECT entity, page, line_id FROM s WHERE kind = 'U'), b AS (SELECT entity, page, line_id FROM s WHERE kind = 'B'), r AS (SELECT entity, page, line_id FROM s WHERE kind = 'R')
 SELECT * FROM u UNION SELECT * FROM r WHERE entity NOT IN (SELECT entity FROM u) UNION (SELECT * FROM r WHERE entity IN (SELECT entity FROM u) EXCEPT SELECT * FROM b)"""
 SQL["crm_reconcile"] = f"SELECT client_id, stem, entity, category, tokenize, token FROM (SELECT * FROM {sql('manual')} UNION ALL SELECT client_id, stem, entity, category, tokenize, token FROM {sql('recs')} WHERE entity = 'Bob') m ANTI JOIN {sql('recs')} r USING (client_id, stem, entity)"
@@ -149,10 +152,15 @@ SQL["file_status"] = f"SELECT id, CASE WHEN live IN ('analyzing', 'applying') TH
 SQL["applied_outputs"] = f"SELECT client_id, original_stem, arg_max(safe_filename, (applied_at, safe_filename)) AS safe_filename, max(applied_at) AS applied_at FROM {sql('outputs')} GROUP BY client_id, original_stem"
 SQL["client_ids"] = f"SELECT id, upper(coalesce(nullif(trim(regexp_replace(regexp_replace(name, '[^A-Za-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'unnamed')) AS slug, regexp_full_match(name, '[A-Za-z0-9_-]+') AS valid FROM {sql('names')}"
 
-SQL["decisions_resolved"] = f"""WITH d AS (SELECT * FROM {sql('choices')} WHERE rejected IS NOT NULL OR tokenize IS NOT NULL), m AS (SELECT 'By Hand' AS entity, 'ADDRESS' AS category, true AS tokenize UNION ALL SELECT 'Cyd', 'PERSON', NULL),
-a AS (SELECT entity, category, tokenize, 'decision' AS source, 0 AS rank FROM d WHERE NOT coalesce(rejected, false) UNION ALL SELECT *, 'manual', 1 FROM m
-  UNION ALL SELECT c.entity, c.category, NULL, 'rec', 2 FROM {sql('choices')} c LEFT JOIN d USING (entity) WHERE NOT coalesce(d.rejected, false) AND NOT (c.category = 'PERSON' AND NOT coalesce(c.passed, true) AND d.rejected IS DISTINCT FROM false))
-SELECT entity, category, coalesce(tokenize, category = 'ACCOUNT_NUMBER') AS tokenize, source FROM a QUALIFY row_number() OVER (PARTITION BY entity ORDER BY rank) = 1"""
+SQL["decisions_resolved"] = f"""WITH all_ AS (SELECT * FROM {sql('choices')}), d AS (SELECT *, coalesce(rejected, false) OR coalesce(category = 'REJECT', false) AS refused FROM all_ WHERE rejected IS NOT NULL OR tokenize IS NOT NULL),
+m AS (SELECT * FROM (VALUES ('By Hand', 'ADDRESS', true), ('Cyd', 'PERSON', NULL), ('Off', 'OTHER', NULL), ('No', 'REJECT', true), ('56-78', 'ACCOUNT_NUMBER', true)) AS t(entity, category, tokenize)),
+contributed AS (
+  SELECT entity, category, coalesce(tokenize, category = 'ACCOUNT_NUMBER') AS label, 'decision' AS source, 0 AS rank FROM d WHERE NOT refused AND category IS NOT NULL
+  UNION ALL SELECT entity, category, coalesce(tokenize, category = 'ACCOUNT_NUMBER'), 'manual', 1 FROM m WHERE category != 'REJECT'),
+approved AS (SELECT entity, arg_max(category, rank) AS category, bool_and(label) AS tokenize, arg_min(source, rank) AS source FROM contributed GROUP BY entity),
+recs AS (SELECT entity, coalesce(category, 'ACCOUNT_NUMBER') AS category, passed FROM all_)
+SELECT * FROM approved UNION ALL SELECT r.entity, r.category, coalesce(d.tokenize, r.category = 'ACCOUNT_NUMBER'), 'rec' FROM recs r LEFT JOIN d USING (entity)
+WHERE r.category != 'REJECT' AND NOT coalesce(d.refused, false) AND r.entity NOT IN (SELECT entity FROM approved) AND NOT (r.category = 'PERSON' AND NOT r.passed AND d.rejected IS DISTINCT FROM false)"""
 PREFIX = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PREFIXES.items()) + " ELSE 'OTHER' END"
 GIVEN = f"first AS (SELECT doc_id, value AS entity, min((start, category)) AS f FROM detected GROUP BY ALL), pre AS (SELECT doc_id, entity, f[2] AS category, f[1] AS start FROM first), given AS (SELECT doc_id, entity, category, {PREFIX} || '_' || row_number() OVER (PARTITION BY doc_id, {PREFIX} ORDER BY start, entity) AS token FROM pre)"
 SQL["token_assign"] = f"{DETECTED}, {GIVEN} SELECT * FROM given"
@@ -181,8 +189,12 @@ SQL["redact_text"] = f"{DETECTED}, " + CHOSEN.format("SELECT doc_id, start, \"en
 SQL["detokenize_roundtrip"] = f"{DETECTED} SELECT doc_id, text FROM corpus WHERE doc_id IN (SELECT doc_id FROM detected)"
 
 SQL["chosen_boxes"] = f"WITH s AS (SELECT * FROM {sql('merge_sets')}) SELECT entity, page, line_id, 'captured' AS origin FROM s WHERE kind = 'U' UNION ALL SELECT entity, page, line_id, 'matched' FROM s WHERE kind = 'R' AND entity NOT IN (SELECT entity FROM s WHERE kind = 'U')"
-SQL["label_geometry"] = f"""WITH r AS (SELECT *, CAST(bottom - top AS DOUBLE) AS h, ord * 90 % 360 AS t FROM {sql('boxes')}), g AS (SELECT *, greatest(3.0, least(10.0, h * 0.85)) AS size, greatest(0.5, h * 0.15) AS descent FROM r)
-SELECT ord, CAST(size AS DOUBLE) AS size, CAST(descent AS DOUBLE) AS descent, CAST(CASE t WHEN 90 THEN right_ - descent WHEN 180 THEN right_ WHEN 270 THEN left_ + descent ELSE left_ END AS DOUBLE) AS x, CAST(CASE t WHEN 90 THEN bottom WHEN 180 THEN top + descent WHEN 270 THEN top ELSE bottom - descent END AS DOUBLE) AS y FROM g"""
+SQL["label_geometry"] = f"""WITH r AS (SELECT *, ord * 90 % 360 AS t, CASE WHEN ord * 90 % 360 IN (90, 270) THEN right_ - left_ ELSE bottom - top END AS line, CASE WHEN ord * 90 % 360 IN (90, 270) THEN bottom - top ELSE right_ - left_ END AS room,
+  (278 + 667 + 722 + 722 + 778 + 722 + 722 + 611 + 556 + 556 * (1 + 2 * ord) + 278) / 1000.0 AS unit FROM {sql('boxes')}),
+g AS (SELECT *, greatest(3.0, least(10.0, line * 0.85)) AS size, greatest(0.5, line * 0.15) AS descent FROM r),
+sizes AS (SELECT ord, size - 0.5 * k AS s FROM g, range(0, 20) AS q(k)),
+fit AS (SELECT g.ord, max(s) AS size FROM g JOIN sizes USING (ord) WHERE s <= 3 OR s * unit <= room GROUP BY g.ord)
+SELECT ord, CAST(fit.size AS DOUBLE) AS size, CAST(descent AS DOUBLE) AS descent, CAST(CASE t WHEN 90 THEN right_ - descent WHEN 180 THEN right_ - 0.5 WHEN 270 THEN left_ + descent ELSE left_ + 0.5 END AS DOUBLE) AS x, CAST(CASE t WHEN 90 THEN bottom - 0.5 WHEN 180 THEN top + descent WHEN 270 THEN top + 0.5 ELSE bottom - descent END AS DOUBLE) AS y FROM g JOIN fit USING (ord)"""
 SQL["safe_names"] = f"SELECT doc_id, CASE WHEN doc_id = 2 THEN 'kept.pdf' ELSE 'pii_safe_' || substr(sha256('C1/' || stem), 1, 12) || '.pdf' END AS name FROM {sql('object_docs')}"
 SQL["sanitize_summary"] = "SELECT d.doc_id, " + ", ".join(f"coalesce(bool_or(n > 0) FILTER (kind = '{k}'), false) AS {k}_stripped" for k in ("info", "xmp", "openaction", "aa")) + ", " + ", ".join(f"CAST(coalesce(sum(n) FILTER (kind = '{k}'), 0) AS BIGINT) AS {n}_removed" for k, n in (("js", "javascript"), ("embedded", "embedded"), ("annot", "annots"))) + f" FROM {sql('object_docs')} d LEFT JOIN {sql('objects')} o USING (doc_id) GROUP BY d.doc_id"
 
@@ -192,15 +204,38 @@ AREA = "greatest(0, least(a.right_, b.right_) - greatest(a.left_, b.left_)) * gr
 SQL["span_best_iou"] = f"""WITH r AS (SELECT a.line_id, b.ord AS span, CAST({AREA} AS DOUBLE) AS c, (a.right_ - a.left_) * (a.bottom - a.top) + (b.right_ - b.left_) * (b.bottom - b.top) AS s FROM {sql('box_lines')} a LEFT JOIN {sql('boxes')} b ON a.page = b.page)
 SELECT line_id, CASE WHEN c > 0 THEN span END AS span, CASE WHEN c > 0 THEN round(c / (s - c), 6) END AS iou FROM r QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY coalesce(c / (s - c), 0) DESC, span) = 1"""
 SQL["words_contained"] = f"SELECT b.ord AS line_id, w.line_id AS word_id FROM {sql('boxes')} b JOIN {sql('box_lines')} w USING (page) WHERE w.left_ >= b.left_ - 2 AND w.right_ <= b.right_ + 2 AND w.top >= b.top - 2 AND w.bottom <= b.bottom + 2"
-SQL["rule_cuts"] = f"""WITH x AS (SELECT l.line_id, l.left_, l.right_, list_sort(list(DISTINCT r.x) FILTER (r.x IS NOT NULL)) AS xs FROM {sql('box_lines')} l LEFT JOIN {sql('rules')} r ON r.page = l.page AND r.y1 - r.y0 > 5 AND r.x > l.left_ AND r.x < l.right_ AND r.y0 <= (l.top + l.bottom) / 2 AND r.y1 >= (l.top + l.bottom) / 2 GROUP BY ALL),
-e AS (SELECT line_id, [left_] || coalesce(xs, []) || [right_] AS e FROM x), u AS (SELECT *, unnest(range(1, len(e))) AS k FROM e)
-SELECT line_id, CAST(k - 1 AS INTEGER) AS part, CAST(e[k] AS DOUBLE) AS "left", CAST(e[k + 1] AS DOUBLE) AS "right" FROM u"""
+CUT = """e AS (SELECT *, [CAST(left_ AS DOUBLE)] || xs || [right_ + 1.0] AS e FROM x),
+u AS (SELECT *, unnest(range(1, len(e))) AS k FROM e),
+cut AS (SELECT u.page, u.line_id, CAST(k - 1 AS INTEGER) AS part, trim(string_agg(c.char, '' ORDER BY c.left_, c.ord)) AS content, min(c.left_) AS l, min(c.top) AS t, max(c.right_) AS r, max(c.bottom) AS b FROM u JOIN chars c ON c.page = u.page
+  AND c.top BETWEEN u.top - 3 AND u.bottom + 3 AND c.left_ BETWEEN u.left_ - 2 AND u.right_ + 2 AND c.left_ >= e[k] - 1 AND c.left_ < e[k + 1] GROUP BY ALL HAVING trim(string_agg(c.char, '')) != '')"""
+CHARS = f"chars AS (SELECT page, content[i] AS char, CAST(i - 1 AS INTEGER) AS ord, left_ + 4 * (i - 1) AS left_, left_ + 4 * i AS right_, top, bottom FROM (SELECT *, unnest(range(1, len(content) + 1)) AS i FROM {sql('box_lines')}))"
+SQL["rule_cuts"] = f"""WITH {CHARS}, x AS (SELECT l.page, l.line_id, l.left_, l.top, l.right_, l.bottom, list_sort(list(CAST(r.x AS DOUBLE))) AS xs FROM {sql('box_lines')} l JOIN {sql('rules')} r ON r.page = l.page AND abs(r.y1 - r.y0) > 5 AND r.x > l.left_ AND r.x < l.right_ AND (l.top + l.bottom) / 2 BETWEEN least(r.y0, r.y1) AND greatest(r.y0, r.y1) GROUP BY ALL),
+{CUT}
+SELECT page, line_id, part, content, CAST(l AS BIGINT) AS "left", CAST(t AS BIGINT) AS top, CAST(r AS BIGINT) AS "right", CAST(b AS BIGINT) AS bottom FROM cut
+UNION ALL SELECT page, line_id, 0, content, left_, top, right_, bottom FROM {sql('box_lines')} WHERE (page, line_id) NOT IN (SELECT (page, line_id) FROM cut)"""
+SQL["cell_cuts"] = f"""WITH {CHARS}, x AS (SELECT l.page, l.line_id, l.left_, l.top, l.right_, list_sort(list(DISTINCT r.x)) AS xs FROM {sql('box_lines')} l JOIN {sql('rules')} r ON r.page = l.page AND trim(l.content) != '' AND l.left_ < r.x AND r.x < l.right_ AND (l.top + l.bottom) / 2 BETWEEN 0 AND 50 GROUP BY ALL),
+parts AS (SELECT x.page, x.line_id, len(list_filter(xs, lambda v: v <= c.left_)) AS k, trim(string_agg(c.char, '' ORDER BY c.left_, c.ord)) AS content, min(c.left_) AS l, min(c.top) AS t, max(c.right_) AS r, max(c.bottom) AS b FROM x JOIN chars c ON c.page = x.page AND abs(c.top - x.top) < 4 AND c.left_ BETWEEN x.left_ - 2 AND x.right_ + 2 GROUP BY ALL),
+cut AS (SELECT *, row_number() OVER (PARTITION BY page, line_id ORDER BY k) - 1 AS part, count(*) OVER (PARTITION BY page, line_id) AS n FROM parts WHERE content != '')
+SELECT page, line_id, CAST(part AS INTEGER) AS part, content, CAST(l AS BIGINT) AS "left", CAST(t AS BIGINT) AS top, CAST(r AS BIGINT) AS "right", CAST(b AS BIGINT) AS bottom FROM cut WHERE n > 1
+UNION ALL SELECT page, line_id, 0, content, left_, top, right_, bottom FROM {sql('box_lines')} WHERE (page, line_id) NOT IN (SELECT (page, line_id) FROM cut WHERE n > 1)"""
+SQL["content_filled"] = f"""WITH bare AS (SELECT *, right_ - left_ AS w FROM {sql('bare_lines')} WHERE trim(content) = '' AND right_ - left_ > 3),
+cand AS (SELECT b.page, b.line_id, 0 AS rank, s.line_id AS ord, s.content AS text FROM bare b JOIN {sql('box_lines')} s ON s.page = b.page AND trim(s.content) != '' AND abs(b.top - s.top) < 5 AND abs(b.left_ - s.left_) < 5 AND abs(b.w - (s.right_ - s.left_)) < 10
+  UNION ALL SELECT b.page, b.line_id, 1, w.ord, w.text FROM bare b JOIN {sql('bare_words')} w ON w.page = b.page AND abs(b.top - w.top) < 5 AND abs(b.left_ - w.left_) < 5
+  UNION ALL SELECT b.page, b.line_id, 2, s.line_id, s.content FROM bare b JOIN {sql('box_lines')} s ON s.page = b.page AND trim(s.content) != '' AND abs(b.top - s.top) < 10 AND abs(b.left_ - s.left_) < 10),
+best AS (SELECT page, line_id, arg_min(text, (rank, ord)) AS text FROM cand GROUP BY ALL)
+SELECT l.page, l.line_id, coalesce(best.text, l.content) AS content FROM {sql('bare_lines')} l LEFT JOIN best USING (page, line_id)"""
+SQL["document_rule_cuts"] = f"""WITH {SRC}, {LINES}, near AS (SELECT doc_id || '/' || page AS page, line_id, content, "left", "right" FROM lines WHERE top < 300),
+parts AS (SELECT page, line_id, unnest([content[:26], content[27:]]) AS c, unnest([0, 1]) AS part, unnest([50, 206]) AS x FROM near WHERE (56 + 12 * line_id) <= 300 AND "right" > 203),
+trimmed AS (SELECT page, line_id, part, trim(c) AS content, x AS "left", x + 6 * len(c) AS "right" FROM parts WHERE trim(c) != '')
+SELECT page, line_id, CAST(part AS INTEGER) AS part, content, CAST("left" AS BIGINT) AS "left", CAST("right" AS BIGINT) AS "right" FROM trimmed
+UNION ALL SELECT page, line_id, 0, content, "left", "right" FROM near WHERE (page, line_id) NOT IN (SELECT (page, line_id) FROM trimmed)"""
 NEAR = "abs(a.left_ - b.left_) < 2 AND abs(a.top - b.top) < 2 AND abs(a.right_ - b.right_) < 2 AND abs(a.bottom - b.bottom) < 2"
 CELLS = f"big AS (SELECT * FROM {sql('boxes')} WHERE right_ - left_ > 15 AND bottom - top > 15), cells AS (SELECT * FROM big a WHERE NOT EXISTS (SELECT 1 FROM big b WHERE b.page = a.page AND b.ord < a.ord AND {NEAR}))"
 SQL["cell_rects"] = f"WITH {CELLS} SELECT page, ord, CAST(left_ AS BIGINT) AS \"left\" FROM cells"
-SQL["cell_merge"] = f"""WITH {CELLS}, i AS (SELECT l.*, c.ord AS cell, (l.top + l.bottom) / 2 AS my FROM {sql('box_lines')} l JOIN cells c ON c.page = l.page AND (l.left_ + l.right_) / 2 BETWEEN c.left_ AND c.right_ AND (l.top + l.bottom) / 2 BETWEEN c.top AND c.bottom),
-g AS (SELECT page, cell, string_agg(content, ' ' ORDER BY my, left_) AS v FROM i GROUP BY ALL HAVING count(*) >= 2 AND max(my) - min(my) >= 6)
-SELECT line_id, cell AS cell_group, v AS cell_merged_value FROM i JOIN g USING (page, cell) QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY cell DESC) = 1"""
+SQL["cell_merge"] = f"""WITH {CELLS}, i AS (SELECT l.*, c.ord AS cell, (l.top + l.bottom) / 2 AS my FROM {sql('box_lines')} l JOIN cells c ON c.page = l.page AND trim(l.content) != '' AND l.left_ >= c.left_ AND l.right_ <= c.right_ + 2 AND (l.top + l.bottom) / 2 BETWEEN c.top AND c.bottom),
+g AS (SELECT page, cell, string_agg(trim(content), ' ' ORDER BY my, left_) AS v FROM i GROUP BY ALL HAVING count(*) >= 2 AND max(my) - min(my) >= 6),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY cell) - 1 AS INTEGER) AS cell_group FROM g)
+SELECT line_id, cell_group, v AS cell_merged_value FROM i JOIN n USING (page, cell) QUALIFY row_number() OVER (PARTITION BY page, line_id ORDER BY cell DESC) = 1"""
 SQL["hit_test"] = f"SELECT p.point, b.ord AS box FROM {sql('points')} p LEFT JOIN {sql('boxes')} b ON b.page = p.page AND p.x BETWEEN b.left_ AND b.right_ AND p.y BETWEEN b.top AND b.bottom QUALIFY row_number() OVER (PARTITION BY p.point ORDER BY (b.right_ - b.left_) * (b.bottom - b.top), b.ord) = 1"
 SQL["line_nearest"] = f"SELECT p.point, l.line_id FROM {sql('points')} p LEFT JOIN {sql('box_lines')} l ON l.page = p.page AND abs(p.x - l.left_) + abs(p.y - l.top) <= 12 QUALIFY row_number() OVER (PARTITION BY p.point ORDER BY abs(p.x - l.left_) + abs(p.y - l.top), l.line_id) = 1"
 SQL["spans_missed"] = f"""WITH r AS (SELECT a.page, a.ord, a.left_, a.top, a.right_, a.bottom, coalesce(sum({AREA}), 0) AS c FROM {sql('boxes')} a LEFT JOIN {sql('box_lines')} b ON a.page = b.page GROUP BY ALL)
@@ -232,7 +267,7 @@ SELECT client_id, array_to_string(e[1:3], ', ') || CASE WHEN len(e) > 3 THEN ' +
 SQL["numbers_or_default"] = f"SELECT id, coalesce(TRY_CAST(raw AS DOUBLE), -1.0::DOUBLE) AS value FROM {sql('numbers')}"
 SQL["lines_zero_advance"] = f"SELECT id, (w <= 3 AND n = 0) OR (n >= 3 AND w / n < 2.0) AS dropped FROM (SELECT *, len(replace(content, ' ', '')) AS n FROM {sql('glyphs')})"
 SQL["font_ratio"] = f"""WITH s AS (SELECT * FROM (VALUES (1, 0, 'first line', 9.0), (1, 1, 'second line of all', 10.0), (1, 2, 'right', 8.0), (2, 3, 'page two', 10.0)) AS t(page, ord, text, size)),
-m AS (SELECT l.page, l.line_id, l.font_size / s.size AS r FROM {sql('box_lines')} l JOIN s ON s.page = l.page AND (s.text = l.content OR contains(s.text, l.content) OR (contains(l.content, s.text) AND len(s.text) >= 5)) WHERE len(l.content) >= 5 QUALIFY row_number() OVER (PARTITION BY l.page, l.line_id ORDER BY s.ord) = 1)
+m AS (SELECT l.page, l.line_id, l.font_size / s.size AS r FROM {sql('box_lines')} l JOIN s ON s.page = l.page AND (s.text = trim(l.content) OR (len(trim(l.content)) >= 5 AND contains(s.text, trim(l.content))) OR (len(s.text) >= 5 AND contains(trim(l.content), s.text))) WHERE trim(l.content) != '' AND l.font_size > 0 QUALIFY row_number() OVER (PARTITION BY l.page, l.line_id ORDER BY s.ord) = 1)
 SELECT page, CASE WHEN abs(avg(r) - 1) > 0.01 THEN round(CAST(avg(r) AS DOUBLE), 6) ELSE 1.0 END AS ratio FROM m GROUP BY page"""
 SQL["token_conflicts"] = f"SELECT 1 AS doc, entity, count(DISTINCT token) AS tokens FROM (SELECT entity, token FROM {sql('values')} UNION ALL SELECT 'Bob', 'NAME_8') GROUP BY entity HAVING count(DISTINCT token) > 1"
 SQL["token_inherited"] = f"WITH {EXPLICIT} SELECT a.doc, a.variant AS entity, a.alias_of, t.token FROM (VALUES (1, 'Mr Bob', 'Bob'), (2, 'Ms Ann', 'Ann'), (2, 'x', 'Bob')) AS a(doc, variant, alias_of) JOIN tok t ON t.doc = a.doc AND t.entity = a.alias_of"

@@ -11,6 +11,7 @@ from veilspark.functions import patterns, text
 from veilspark.operators import crm, detect, match, redact, review, spatial, tokens
 from veilspark.plans.cases import CASES, MATCH_DOCS, table
 from veilspark.sources import layout
+from veilspark.sources.tables import stored
 from veilspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,7 +170,7 @@ def client_literals(spark, sf_dir):
 def match_exact(spark, sf_dir):
     found = lines(spark, sf_dir)
     words = match.flat_words(layout.words(found))
-    return _occurrences(match.exact(words, match.prepared(client_literals(spark, sf_dir))))
+    return _occurrences(match.exact(words, match.prepared(client_literals(spark, sf_dir)), found))
 
 
 @query
@@ -182,7 +183,7 @@ def match_documents(spark, sf_dir):
 @query
 def match_line_substring(spark, sf_dir):
     found = lines(spark, sf_dir)
-    none = match.exact(match.flat_words(layout.words(found)), match.prepared(table(spark, "literals"))).limit(0)
+    none = match.exact(match.flat_words(layout.words(found)), match.prepared(table(spark, "literals")), found).limit(0)
     return _occurrences(match.inside_lines(found, match.prepared(client_literals(spark, sf_dir)), none))
 
 
@@ -203,7 +204,7 @@ def crm_changes(spark, sf_dir):
 
 @query
 def crm_diff(spark, sf_dir):
-    return crm.diff(table(spark, "recs"), table(spark, "prior"))
+    return crm.diff(table(spark, "recs"), table(spark, "prior"), table(spark, "decisions"))
 
 
 @query
@@ -249,21 +250,20 @@ def client_ids(spark, sf_dir):
 def decisions_resolved(spark, sf_dir):
     rows = table(spark, "choices")
     decided = rows.where("rejected is not null or tokenize is not null").select("entity", "category", "tokenize", "token", "rejected")
-    manual = spark.sql("SELECT 'By Hand' AS entity, 'ADDRESS' AS category, true AS tokenize UNION ALL SELECT 'Cyd', 'PERSON', CAST(NULL AS BOOLEAN)")
-    return tokens.resolve(decided, manual, rows.select("entity", "category", F.col("passed").alias("consensus_passed")))
+    manual = spark.sql("SELECT 'By Hand' AS entity, 'ADDRESS' AS category, true AS tokenize UNION ALL SELECT 'Cyd', 'PERSON', CAST(NULL AS BOOLEAN) UNION ALL SELECT 'Off', 'OTHER', NULL UNION ALL SELECT 'No', 'REJECT', true UNION ALL SELECT '56-78', 'ACCOUNT_NUMBER', true")
+    return tokens.resolve(decided, manual, rows.select("entity", F.coalesce("category", F.lit("ACCOUNT_NUMBER")).alias("category"), F.col("passed").alias("consensus_passed")))
 
 
 @query
 def first_occurrence(spark, sf_dir):
     found = lines(spark, sf_dir)
-    rows = match.exact(match.flat_words(layout.words(found)), match.prepared(client_literals(spark, sf_dir)))
+    rows = match.exact(match.flat_words(layout.words(found)), match.prepared(client_literals(spark, sf_dir)), found)
     return tokens.first_occurrence(rows, ["doc_id", "entity"]).select("doc_id", "entity", "page", F.col("top").cast("bigint").alias("top"), F.col("left").cast("bigint").alias("left"), "n_occ", "n_pages")
 
 
 @query
 def token_assign(spark, sf_dir):
-    found = detect.detect(corpus(spark, sf_dir), patterns.ALL).groupBy("doc_id", F.col("value").alias("entity")).agg(F.min(F.struct("start", "category")).alias("f"))
-    return tokens.assign(found.select("doc_id", "entity", F.col("f.category").alias("category"), F.col("f.start").alias("start")), ["doc_id"], ["start", "entity"]).select("doc_id", "entity", "category", "token")
+    return assigned(detect.detect(corpus(spark, sf_dir), patterns.ALL))
 
 
 @query
@@ -288,17 +288,22 @@ def token_maps(spark, sf_dir):
     return tokens.maps(rows, ["doc"]).select("doc", F.explode("token_to_value").alias("token", "value"))
 
 
+def assigned(found):
+    first = found.groupBy("doc_id", F.col("value").alias("entity")).agg(F.min(F.struct("start", "category")).alias("f"))
+    return tokens.assign(first.select("doc_id", "entity", F.col("f.category").alias("category"), F.col("f.start").alias("start")), ["doc_id"], ["start", "entity"]).select("doc_id", "entity", "category", "token")
+
+
 def tokenized(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    found = detect.detect(docs, patterns.ALL)
-    given = token_assign(spark, sf_dir)
-    spans = found.join(given, [found["doc_id"] == given["doc_id"], found["value"] == given["entity"]]).select(found["doc_id"], "start", "end", "token")
-    return docs, spans
+    found = stored(detect.detect(docs, patterns.ALL))
+    given = assigned(found)
+    spans = found.join(given.select("doc_id", F.col("entity").alias("value"), "token"), ["doc_id", "value"]).select("doc_id", "start", "end", "token")
+    return docs, spans, given
 
 
 @query
 def tokenize_text(spark, sf_dir):
-    docs, spans = tokenized(spark, sf_dir)
+    docs, spans, _ = tokenized(spark, sf_dir)
     return redact.redact(docs, spans)
 
 
@@ -310,8 +315,8 @@ def redact_text(spark, sf_dir):
 
 @query
 def detokenize_roundtrip(spark, sf_dir):
-    docs, spans = tokenized(spark, sf_dir)
-    values = token_assign(spark, sf_dir).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "entity"))).alias("map"))
+    docs, spans, given = tokenized(spark, sf_dir)
+    values = given.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "entity"))).alias("map"))
     back = redact.redact(docs, spans).join(values, "doc_id").select("doc_id", redact.detokenized(F.col("redacted"), F.col("map")).alias("text"))
     return back
 
@@ -324,10 +329,12 @@ def chosen_boxes(spark, sf_dir):
 
 @query
 def label_geometry(spark, sf_dir):
-    rows = table(spark, "boxes").withColumn("h", (F.col("bottom") - F.col("top")).cast("double"))
-    size, descent = redact.label_geometry(F.col("h"))
+    rows = table(spark, "boxes")
+    w, h = ((F.col(b) - F.col(a)).cast("double") for a, b in (("left", "right"), ("top", "bottom")))
+    token = F.concat(F.lit("[ACCOUNT_"), F.pow(F.lit(10), F.col("ord") * 2).cast("bigint").cast("string"), F.lit("]"))
+    size, descent = redact.label_geometry(w, h, F.col("ord") * 90, token)
     x, y = redact.label_anchor([F.col(c) for c in ("left", "top", "right", "bottom")], F.col("ord") * 90, descent)
-    return rows.select("ord", size.alias("size"), descent.alias("descent"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return rows.select("ord", size.cast("double").alias("size"), descent.alias("descent"), x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
 @query
@@ -356,9 +363,43 @@ def words_contained(spark, sf_dir):
     return spatial.contained_words(table(spark, "boxes").withColumnRenamed("ord", "line_id").withColumn("font_size", F.lit(10)), table(spark, "box_lines").withColumnRenamed("line_id", "id"))
 
 
+def box_chars(spark):
+    """Characters of the small lines, 4 points wide each; one that lies outside of all lines."""
+    rows = table(spark, "box_lines").select("page", "left", "top", "bottom", F.posexplode(F.split("content", "")).alias("ord", "char"))
+    return rows.select("page", "char", "ord", (F.col("left") + 4 * F.col("ord")).alias("left"), (F.col("left") + 4 * F.col("ord") + 4).alias("right"), "top", "bottom")
+
+
+def _parts(rows):
+    return rows.select("page", "line_id", "part", "content", *(F.col(c).cast("bigint").alias(c) for c in ("left", "top", "right", "bottom")))
+
+
 @query
 def rule_cuts(spark, sf_dir):
-    return spatial.cut_at_rules(table(spark, "box_lines"), table(spark, "rules")).select("line_id", "part", F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right"))
+    return _parts(spatial.cut_at_rules(table(spark, "box_lines"), table(spark, "rules"), box_chars(spark)))
+
+
+@query
+def cell_cuts(spark, sf_dir):
+    return _parts(spatial.cut_at_cells(table(spark, "box_lines"), table(spark, "rules").select("page", F.col("x").alias("left"), F.lit(0).alias("top"), F.lit(50).alias("bottom")), box_chars(spark)))
+
+
+@query
+def content_filled(spark, sf_dir):
+    lines_, words_ = table(spark, "bare_lines"), table(spark, "bare_words")
+    spans = table(spark, "box_lines").select("page", F.col("line_id").alias("ord"), "left", "top", "right", F.col("content").alias("text"))
+    return spatial.filled(lines_, spans, words_)
+
+
+@query
+def document_rule_cuts(spark, sf_dir):
+    """Lines of all documents cut at a rule through every page's upper half."""
+    found = lines(spark, sf_dir).withColumn("doc_page", F.concat_ws("/", "doc_id", "page")).drop("page").withColumnRenamed("doc_page", "page")
+    rules = found.select("page").distinct().select("page", F.lit(203).alias("x"), F.lit(0).alias("y0"), F.lit(300).alias("y1"))
+    near = found.where("top < 300").select("page", "line_id", F.lit(0).alias("part"), "content", "left", "top", "right", "bottom")
+    chars = near.where("right > 203").select("page", "top", "bottom", "left", F.posexplode(F.split("content", "")).alias("ord", "char")).where("char != ''")
+    chars = chars.select("page", "char", "ord", (F.col("left") + 6 * F.col("ord")).alias("left"), (F.col("left") + 6 * F.col("ord") + 6).alias("right"), (F.col("top") + 4).alias("top"), (F.col("bottom") - 4).alias("bottom"))
+    cut = spatial.cut_at_rules(near.drop("part"), rules, chars)
+    return cut.select("page", "line_id", "part", "content", F.col("left").cast("bigint").alias("left"), F.col("right").cast("bigint").alias("right"))
 
 
 @query

@@ -49,7 +49,7 @@ def split_trailing_signs(word_table: DataFrame) -> DataFrame:
 
 
 def page_text(line_table: DataFrame, *, drop_ghosts: bool = True) -> DataFrame:
-    """client_id, doc_id, page, text: lines in order, joined by line feeds; a cell group gives its merged value once."""
+    """client_id, doc_id, page, text: lines in order, joined by line feeds, empty ones left out; a cell group gives its merged value once, or its first line's content where that is empty."""
     rows = line_table
     if drop_ghosts:
         rows = rows.where(~F.coalesce("is_ghost", F.lit(False)))
@@ -57,9 +57,9 @@ def page_text(line_table: DataFrame, *, drop_ghosts: bool = True) -> DataFrame:
     if "cell_group" in line_table.columns:
         first = F.row_number().over(Window.partitionBy(*KEY, "cell_group").orderBy("line_id"))
         rows = rows.withColumn("_n", F.when(F.col("cell_group").isNull(), 1).otherwise(first)).where("_n = 1")
-        content = F.when(F.col("cell_group").isNull(), F.col("content")).otherwise(F.col("cell_merged_value"))
+        content = F.when(F.col("cell_group").isNull(), F.col("content")).otherwise(F.coalesce(F.nullif("cell_merged_value", F.lit("")), "content"))
     ordered = F.array_sort(F.collect_list(F.struct("line_id", content.alias("content"))))
-    return rows.groupBy(*KEY).agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("text"))
+    return rows.groupBy(*KEY).agg(F.array_join(F.filter(F.transform(ordered, lambda x: x["content"]), lambda c: c != ""), "\n").alias("text"))
 
 
 def pages(line_table: DataFrame) -> DataFrame:
