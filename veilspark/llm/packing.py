@@ -38,10 +38,11 @@ from veilspark.llm.token_count import BYTE_CHARACTERS, tokenizer
 
 CAPACITY = 4096
 END_ID = 1
-BLOCK = 48  # lengths that a round prices, more where these can't fill a sequence
-RATE = 0.005  # how fast a weight falls with coverage: differences of worth that outweigh as much room in a sequence
-SLACK = 0.001  # share of a sequence that a configuration may leave open
-REST = 0.04  # share of pieces that is left to best fit
+BLOCK = 32  # lengths that a round prices, more where these can't fill a sequence
+MOST_BLOCK = 384
+RATE = 0.0005  # how fast a weight falls with coverage: differences of worth that outweigh as much room in a sequence
+MOST_OPEN = 1 / 16  # share of a sequence that a configuration may leave open in the end
+REST = 0.05  # share of pieces that is left to best fit, half of it the shortest
 TRIES = 3
 CACHED_BYTES = 96 << 20  # of distinct words and their ids that a worker remembers, and half as much of parts; emptied when full
 ENTRY = 180  # bytes of an entry besides its characters and ids
@@ -181,39 +182,55 @@ def priced(lengths: np.ndarray, most: np.ndarray, worth: np.ndarray, capacity: i
     return found
 
 
+def set_aside(histogram: dict[int, int], share: float) -> dict[int, int]:
+    """The shortest pieces, a share of all: best fit closes gaps with them at the end."""
+    room, found = int(share * sum(histogram.values())), {}
+    for x in sorted(histogram):
+        if room > 0:
+            found[x] = min(histogram[x], room)
+            room -= found[x]
+    return found
+
+
 def program(histogram: dict[int, int], capacity: int, *, rest: float = REST, seed: int = 1) -> tuple[dict[Config, int], dict[int, int]]:
     """(configurations and how often each is used, what is left): multiplicative weights on the covering program, rounded as it goes.
 
     A length's worth is its share of a sequence times a weight that falls with the share of its pieces that are covered
-    and rises a little with its size, as large pieces are hard to place late. A round draws a block of lengths that
-    aren't covered yet, prices the best configuration among them, and uses it as often as its scarcest length allows,
-    a whole number of times. If the best fills less than 1 - SLACK of a sequence, the block grows and the weights come
-    closer to the bare shares; the program ends where all open lengths together can't fill one, or a share of `rest`
-    of the pieces is left.
+    and rises a little with its size, as large pieces are hard to place late. A round draws a block of lengths by their
+    open pieces, prices the best configuration among them, and uses it as often as its scarcest length allows, a whole
+    number of times. A configuration has to fill its sequence to the last token: where the best doesn't, the bare shares
+    are the worths of the next round, then the block grows, and where MOST_BLOCK lengths can't fill one either, a larger
+    part of a sequence may stay open, up to MOST_OPEN. The program ends there, or where a share of `rest` is left.
     """
     draw = np.random.default_rng(seed)
+    aside = set_aside(histogram, rest / 2)
     lengths = np.array(sorted(histogram, reverse=True))
-    there = np.array([histogram[x] for x in lengths.tolist()])
+    there = np.array([histogram[x] - aside.get(x, 0) for x in lengths.tolist()])
     left, used = there.copy(), defaultdict(int)
-    size, heat = BLOCK, RATE
-    while left.sum() > rest * there.sum():
+    size, heat, open_part = BLOCK, RATE, 0.0
+    while left.sum() > rest / 2 * sum(histogram.values()):
         open_ = np.flatnonzero(left)
-        share = left[open_] / there[open_]
-        block = open_ if len(open_) <= size else np.sort(draw.choice(open_, size, replace=False, p=share / share.sum()))
+        block = open_ if len(open_) <= size else np.sort(draw.choice(open_, size, replace=False, p=left[open_] / left.sum()))
         part = lengths[block] / capacity
         worth = part * np.exp(heat * (left[block] / there[block] - 1)) * part**heat
         times = {int(block[i]): k for i, k in priced(lengths[block], np.minimum(left[block], capacity // lengths[block]), worth, capacity).items()}
-        if sum(int(lengths[i]) * k for i, k in times.items()) < capacity * (1 - SLACK):
-            if len(open_) <= size and heat < RATE / 16:
+        if sum(int(lengths[i]) * k for i, k in times.items()) < capacity * (1 - open_part):
+            if heat:
+                heat = 0.0
+            elif size < min(MOST_BLOCK, len(open_)):
+                size *= 2
+            elif open_part < MOST_OPEN:
+                open_part = max(1 / 1024, 2 * open_part)
+            else:
                 break
-            size, heat = min(2 * size, len(lengths)), heat / 2
             continue
         n = min(int(left[i]) // k for i, k in times.items())
         for i, k in times.items():
             left[i] -= n * k
         used[tuple((int(lengths[i]), k) for i, k in sorted(times.items()))] += n
         size, heat = max(BLOCK, size // 2), RATE
-    return used, {int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}
+    remaining = {int(x): int(n) + aside.get(int(x), 0) for x, n in zip(lengths, left, strict=True)}
+    return used, {x: n for x, n in remaining.items() if n}
 
 
 def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[Config, int]] = ()) -> list[tuple[Config, int]]:
