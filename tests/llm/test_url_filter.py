@@ -2,6 +2,8 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from veilspark.llm import url_filter as u
@@ -53,21 +55,35 @@ def plain_log_likelihood(url, counts):
     return total
 
 
-def test_model_against_plain_code():
-    seen, new = [b"http://good.example/en/1", b"http://good.example/en/22", b"x"], [b"http://good.example/de/3", b"", b"zzz"]
-    counts, table = {}, np.zeros(2 * u.SLOTS)
-    for url in seen:
+def exact_counts(urls):
+    counts = {}
+    for url in urls:
         stream = b"\0" * u.ORDER + url
         for i in range(u.ORDER, len(stream)):
             for k in range(u.ORDER + 1):
                 context = stream[i - k : i]
                 counts[context] = counts.get(context, 0) + 1
                 counts[context, stream[i]] = counts.get((context, stream[i]), 0) + 1
-    _, grams, above, _ = u.contexts(seen)
-    for g, c in zip(grams, above):
-        np.add.at(table, g, 1)
-        np.add.at(table, u.SLOTS + c, 1)
-    assert np.allclose(u.log_likelihood(new, table), [plain_log_likelihood(x, counts) for x in new])
+    return counts
+
+
+def test_model_against_plain_code(spark, tmp_path, monkeypatch):
+    """Counts through tasks, shards and files, against dictionaries; with long and repeated URLs."""
+    monkeypatch.setattr(u, "FLUSH", 100)
+    seen, new = [b"http://good.example/en/1", b"http://good.example/en/22", b"x", b"x", b"\0\0a", b"http://long.example/" + b"ab/" * 3000], [b"http://good.example/de/3", b"", b"zzz", b"\0", b"http://long.example/" + b"ba/" * 3000, "é日".encode()]
+    counts = exact_counts(seen)
+    for bits in (0, 2):
+        folder = str(tmp_path / str(bits))
+        batch = pa.RecordBatch.from_arrays([pa.array([x.decode() for x in seen]), pa.array([1] * len(seen), pa.int32()), pa.array([k % 2 for k in range(len(seen))], pa.int32())], ["url", "model", "fold"])
+        table = pa.Table.from_batches(list(u._counted(iter([batch.slice(0, 4), batch.slice(4)]), bits)))
+        for s in range(1 << bits):
+            part = table.filter(pa.compute.equal(table.column("shard"), s))
+            if part.num_rows:
+                u._write_shard(part, folder)
+        found = u.log_likelihood(new, u.Counts(folder, bits, (2, 3)))
+        assert np.allclose(found, [plain_log_likelihood(x, counts) for x in new])
+        nothing = u.log_likelihood(new, u.Counts(folder, bits, (0, 1)))
+        assert np.allclose(nothing, [plain_log_likelihood(x, {}) for x in new])
 
 
 def test_tells_kinds_apart(spark):

@@ -101,6 +101,14 @@ def worker_task(f: Callable) -> Callable:
     return run
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class WordHashes(dict):
     """Hashes of words (bytes), worked out once a word while the cache lasts."""
 

@@ -2,14 +2,17 @@
 
 URLs that a rule decides are the examples: a smoothed variable-order Markov model over the bytes of accepted URLs and
 one over rejected ones. Each mixes contexts of ORDER bytes down to none, P_k = (n(context, byte) + PRIOR * P_(k-1)) /
-(n(context) + PRIOR), above a uniform model of 256 bytes. Counts come from all examples; they are kept in a table of
-SLOTS hashed places for each model, so the model's size doesn't grow with the corpus (n-grams that share a place share
-a count). The score of a URL is the difference of its log-likelihoods by byte; a logistic curve fitted to scores of
-examples that a model hasn't seen (a fifth of them, by hash) turns it into a probability.
+(n(context) + PRIOR), above a uniform model of 256 bytes. Counts come from all examples and are exact: a context and an
+n-gram of up to ORDER + 1 bytes are a 64-bit number each, and their counts are folded by tasks, added up, and written
+as sorted arrays to shards in the shared folder, whose number follows the examples. Workers map the arrays and look
+numbers up by binary search; nothing of them goes through the driver. The score of a URL is the difference of its
+log-likelihoods by byte; a logistic curve fitted to scores of examples that a model hasn't seen (a fifth of them, by
+hash) turns it into a probability. spark.checkpoint.dir has to be a mounted file system, as for LM scoring.
 
 Defined cases: a null URL and one without '://' have an empty host and path, no rule, and are judged by their bytes (a
-null as empty, score 0); without examples of both kinds every open URL is allowed; every row is answered on its own, so
-repeated rows don't matter; an empty table gives an empty result.
+null as empty, score 0); without examples of both kinds every open URL is allowed; very long URLs are scored whole;
+where two rules of equal length fit, the later one in order of their text wins; every row is answered on its own, so
+repeated rows and ids and null ids don't matter; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import mix, worker_task
+from veilspark.llm.common import Scratch, fresh, mix, worker_task
+from veilspark.llm.lm_score import by_shard, mapped, put_file
 
 ORDER = 4
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
 PRIOR = 4.0
 FOLDS = 5
 BINS = 400  # of the scores' histogram, from -EDGE to EDGE
 EDGE = 4.0
 BATCH = 4000
+BYTES_A_SHARD = 16 << 20  # of URLs that are examples
+FLUSH = 2_000_000  # distinct numbers that a task holds before it sends them
+KINDS = ((0, 0), (0, 1), (1, 0), (1, 1))  # columns of counts: model (1: accepted) and fold (1: held back for the curve)
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
@@ -55,7 +60,7 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
 
 
 def contexts(urls: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Row of each byte, and for each order the places of (context, byte) and of the context."""
+    """Row of each byte, and for each order the numbers of (context, byte) and of the context."""
     pad = b"\0" * ORDER
     stream = np.frombuffer(b"".join(pad + u for u in urls), np.uint8).astype(np.uint64)
     sizes = np.array([len(u) for u in urls])
@@ -63,22 +68,46 @@ def contexts(urls: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.n
     begin = np.cumsum(sizes + ORDER) - sizes
     at = np.arange(len(row)) + np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(row) else np.empty(0, np.int64)
     grams, above = [], []
-    h = np.zeros(len(row), np.uint64)
+    context = np.zeros(len(row), np.uint64)
     for k in range(ORDER + 1):
         if k:
-            h = h * np.uint64(257) + stream[at - k] + np.uint64(1)
-        base = mix(h + np.uint64((k + 1) << 56))
-        above.append((base >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
-        grams.append((mix(base + stream[at] + np.uint64(1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+            context = context | (stream[at - k] << np.uint64(8 * (k - 1)))
+        # order, whether a byte follows, the byte, the context: different bits of the number
+        above.append(context | np.uint64(k << 56))
+        grams.append(context | (stream[at] << np.uint64(8 * ORDER)) | np.uint64(k << 56 | 1 << 48))
     return row, grams, above, sizes
 
 
-def log_likelihood(urls: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """Natural log-likelihood of each URL under a table of counts."""
+class Counts:
+    """Exact counts of numbers under a choice of models and folds, from sorted arrays in files."""
+
+    def __init__(self, folder: str, bits: int, columns: tuple[int, ...]):
+        self.folder, self.bits, self.columns = folder, bits, list(columns)
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers))
+        for s, at in by_shard(shard_of(numbers, self.bits)):
+            try:
+                keys, counts = mapped(f"{self.folder}/{s}.keys.npy"), mapped(f"{self.folder}/{s}.counts.npy")
+            except FileNotFoundError:  # no example has a number of this shard
+                continue
+            place = np.minimum(np.searchsorted(keys, numbers[at]), len(keys) - 1)
+            out[at] = np.where(keys[place] == numbers[at], counts[self.columns][:, place].sum(axis=0), 0)
+        return out
+
+
+def shard_of(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(numbers) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(numbers), np.int64)
+
+
+def log_likelihood(urls: list[bytes], counts) -> np.ndarray:
+    """Natural log-likelihood of each URL; counts gives the counts of an array of numbers."""
     row, grams, above, _ = contexts(urls)
+    distinct, places = np.unique(np.concatenate([*grams, *above]), return_inverse=True)
+    found = counts(distinct)[places].reshape(2, ORDER + 1, len(row))
     p = np.full(len(row), 1 / 256)
-    for g, c in zip(grams, above, strict=True):
-        p = (counts[g] + PRIOR * p) / (np.maximum(counts[SLOTS + c], counts[g]) + PRIOR)
+    for g, c in zip(*found, strict=True):
+        p = (g + PRIOR * p) / (c + PRIOR)
     return np.bincount(row, weights=np.log(p), minlength=len(urls))
 
 
@@ -87,31 +116,52 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 @worker_task
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, model, fold) -> (model, fold, slot, n); the counts of a partition are added up before they leave it."""
-    sums = {}
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(url, model, fold) -> (shard, keys, counts): the numbers of a task are added up before they leave it; counts has a column for each of KINDS."""
+    held, size = [[] for _ in KINDS], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys = np.unique(np.concatenate([k for x in held for k, _ in x]))
+        table = np.zeros((len(KINDS), len(keys)), np.int64)
+        for column, x in zip(table, held, strict=True):
+            for k, n in x:
+                column[np.searchsorted(keys, k)] += n
+        rows = [(s, keys[at].tobytes(), table[:, at].tobytes()) for s, at in by_shard(shard_of(keys, bits))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "keys", "counts"])
+
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             part = batch.slice(at, BATCH)
             urls, model, fold = _bytes(part.column(0)), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
             row, grams, above, _ = contexts(urls)
-            for m in (0, 1):
-                for f in (0, 1):
-                    here = ((model == m) & (fold == f))[row]
-                    if here.any():
-                        table = sums.setdefault((m, f), np.zeros(2 * SLOTS, np.int64))
-                        for g, c in zip(grams, above, strict=True):
-                            table += np.bincount(np.concatenate([g[here], SLOTS + c[here]]), minlength=2 * SLOTS)
-    for (m, f), table in sums.items():
-        slot = np.flatnonzero(table)
-        columns = [pa.array(np.full(len(slot), m, np.int32)), pa.array(np.full(len(slot), f, np.int32)), pa.array(slot.astype(np.int32)), pa.array(table[slot])]
-        yield pa.RecordBatch.from_arrays(columns, ["model", "fold", "slot", "n"])
+            for k, (m, f) in enumerate(KINDS):
+                here = ((model == m) & (fold == f))[row]
+                if here.any():
+                    held[k].append(np.unique(np.concatenate([x[here] for x in (*grams, *above)]), return_counts=True))
+                    size += len(held[k][-1][0])
+            if size >= FLUSH:
+                yield from out()
+                held, size = [[] for _ in KINDS], 0
+    if size:
+        yield from out()
+
+
+def _write_shard(table: pa.Table, folder: str) -> pa.Table:
+    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+    counts = [np.frombuffer(x.as_py(), np.int64).reshape(len(KINDS), -1) for x in table.column("counts")]
+    distinct, places = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros((len(KINDS), len(distinct)), np.int64)
+    for column, x in zip(sums, np.concatenate(counts, axis=1), strict=True):
+        np.add.at(column, places, x)
+    shard = table.column("shard")[0].as_py()
+    put_file(f"{folder}/{shard}.keys.npy", distinct)
+    put_file(f"{folder}/{shard}.counts.npy", sums)
+    return pa.table({"shard": pa.array([shard], pa.int32()), "rejected": pa.array([int(sums[:2].sum())], pa.int64()), "accepted": pa.array([int(sums[2:].sum())], pa.int64())})
 
 
 @worker_task
-def _scored(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], accepted: Counts, rejected: Counts) -> Iterator[pa.RecordBatch]:
     """Appends score: the difference of log-likelihoods by byte."""
-    accepted, rejected = tables.value
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             part = batch.slice(at, BATCH)
@@ -119,6 +169,7 @@ def _scored(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatc
             size = np.maximum([len(u) for u in urls], 1)
             score = (log_likelihood(urls, accepted) - log_likelihood(urls, rejected)) / size
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
+    mapped.cache_clear()
 
 
 def logistic(score: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> tuple[float, float]:
@@ -137,43 +188,43 @@ def logistic(score: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> t
     return float(max(w[0], 1e-6)), float(w[1])
 
 
-def trained(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float] | None:
-    """Tables and curve from (url, accepted 0/1); None without examples of both kinds."""
-    spark = labelled.sparkSession
+def trained(labelled: DataFrame, work: Scratch) -> tuple[Counts, Counts, float, float] | None:
+    """Counts of either model and the curve from (url, accepted 0/1); None without examples of both kinds."""
+    folder = work.local("counts")
     rows = labelled.select("url", F.col("accepted").cast("int").alias("model"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).cast("int").alias("fold"))
-    sums = rows.mapInArrow(_counted, "model int, fold int, slot int, n bigint").groupBy("model", "fold", "slot").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()  # at most 8 * SLOTS rows
-    tables = np.zeros((2, 2, 2 * SLOTS))
-    tables[tuple(found.column(c).to_numpy() for c in ("model", "fold", "slot"))] = found.column("n").to_numpy()
-    if not tables[0].any() or not tables[1].any():
+    size = rows.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+    bits = int(np.ceil(np.log2(max(1, size / BYTES_A_SHARD))))
+    sums = rows.mapInArrow(lambda it: _counted(it, bits), "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(lambda t: _write_shard(t, folder), "shard int, rejected bigint, accepted bigint")
+    found = work.put(sums, "shards", 4).agg(F.sum("rejected"), F.sum("accepted")).first()
+    if not found[0] or not found[1]:
         return None
-    seen = spark.sparkContext.broadcast((tables[1, 0], tables[0, 0]))
-    held = rows.where("fold = 1").select("url", "model").mapInArrow(lambda it: _scored(it, seen), "url string, model int, score double")
+    at = {kind: k for k, kind in enumerate(KINDS)}
+    seen = Counts(folder, bits, (at[1, 0],)), Counts(folder, bits, (at[0, 0],))
+    held = rows.where("fold = 1").select("url", "model").mapInArrow(lambda it: _scored(it, *seen), "url string, model int, score double")
     place = F.floor((F.greatest(F.least("score", F.lit(EDGE - 1e-9)), F.lit(-EDGE)) + EDGE) * (BINS / (2 * EDGE))).cast("int")
     bins = held.groupBy(place.alias("bin"), "model").agg(F.count("*").alias("n")).collect()  # at most 2 * BINS rows
     counts = np.zeros((2, BINS))
     for r in bins:
         counts[r["model"], r["bin"]] = r["n"]
     slope, offset = logistic((np.arange(BINS) + 0.5) * (2 * EDGE / BINS) - EDGE, counts[1], counts[0])
-    return tables[1].sum(axis=0), tables[0].sum(axis=0), slope, offset
+    return Counts(folder, bits, (at[1, 0], at[1, 1])), Counts(folder, bits, (at[0, 0], at[0, 1])), slope, offset
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict (allow or block), score and p_allow (the model's)."""
-    spark = pages.sparkSession
+    work = Scratch(pages.sparkSession, "url-filter")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, decided = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("decided", decided)
-    model = trained(rows.where("decided is not null").select("url", (F.col("decided") == "allow").alias("accepted")))
+    model = trained(rows.where("decided is not null").select("url", (F.col("decided") == "allow").alias("accepted")), work)
     if model is None:
         out = rows.withColumn("score", F.lit(0.0)).withColumn("p_allow", F.lit(1.0))
     else:
         accepted, rejected, slope, offset = model
-        tables = spark.sparkContext.broadcast((accepted, rejected))
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        out = rows.mapInArrow(lambda it: _scored(it, tables), f"{kinds}, score double")
+        out = rows.mapInArrow(lambda it: _scored(it, accepted, rejected), f"{kinds}, score double")
         out = out.withColumn("p_allow", 1 / (1 + F.exp(-(F.col("score") * slope + offset))))
     verdict = F.coalesce("decided", F.when(F.col("p_allow") >= threshold, "allow").otherwise("block"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score", "p_allow")
@@ -181,5 +232,6 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_c
 
 def keep_allowed(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """The pages whose URLs are allowed, with their columns."""
-    verdict = judge(pages, rules, id_col=id_col, url_col=url_col).where("verdict = 'allow'").select(F.col(id_col).alias("_allowed")).distinct()
-    return pages.join(verdict, F.col(id_col).eqNullSafe(F.col("_allowed")), "left_semi")
+    allowed = fresh("_allowed", pages.columns)
+    verdict = judge(pages, rules, id_col=id_col, url_col=url_col).where("verdict = 'allow'").select(F.col(id_col).alias(allowed)).distinct()
+    return pages.join(verdict, F.col(id_col).eqNullSafe(F.col(allowed)), "left_semi")
