@@ -15,7 +15,9 @@ differ, in all lists, and retains those with enough collisions, each from one li
 block, and only verified links leave a block. No list is cut.
 
 Defined cases: a null or blank text has an empty set (n_shingles 0) and no links; rows with a null id have no links,
-component_id null and stay; equal sets are one node whatever their texts; rows that repeat an id are one document.
+component_id null and stay; equal sets are one node whatever their texts; rows that repeat an id are one document; of
+a component the least id stays, so ties don't arise; very long texts are compared whole; an empty table gives an empty
+result; other columns may have any names and are returned as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import ODD, Scratch, WordHashes, ascii_words, broadcast_if_small, mix, shingle_hashes, worker_task
+from veilspark.llm.common import ODD, Scratch, WordHashes, ascii_words, broadcast_if_small, fresh, mix, shingle_hashes, worker_task
 from veilspark.llm.graph import components
 
 COORDINATES = 64
@@ -227,6 +229,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay, with their columns: one of each component, every one without links."""
-    work = Scratch(docs.sparkSession, "near-dedup-kept")
-    gone = work.put(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone", docs.count() // ROWS_A_TASK + 2)
-    return docs.join(broadcast_if_small(gone, gone.count(), 16), F.col(id_col) == F.col("_gone"), "left_anti")
+    work, name = Scratch(docs.sparkSession, "near-dedup-kept"), fresh("_gone", docs.columns)
+    gone = work.put(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).where("not kept").select(F.col(id_col).alias(name)).distinct(), "gone", docs.count() // ROWS_A_TASK + 2)
+    return docs.join(broadcast_if_small(gone, gone.count(), 16), F.col(id_col) == F.col(name), "left_anti")

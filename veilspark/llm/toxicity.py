@@ -14,7 +14,12 @@ words that are in the lexicon add their weight, once a document, however often t
 
 Defined cases: a null or blank text has no words and the base score; a null id counts as '' in the fold; without
 labelled rows every score is 0; rows of labels without a document or a label are left out, of several for one document
-the highest counts; every row is scored, repeated ones too; an empty table gives an empty result.
+the highest counts; every row is scored, repeated ones too; very long texts are scored whole; of features with equal
+gain the longer, then the first by name goes before; an empty table gives an empty result; other columns may have any
+names, drop_toxic returns them as they are.
+
+Parameters of the model, not of the data: a lexicon of at most MOST_CANDIDATES features, and LONGEST, up to which a
+token is decoded in one piece. Longer ones are decoded from every start that can reach the lexicon (Tree.pieces).
 """
 
 from __future__ import annotations
@@ -386,10 +391,13 @@ def _matched_rows(batches: Iterator[pa.RecordBatch], kept: set[tuple[int, ...]],
 def most_telling(features: list[str]) -> list[str]:
     """Of features in order of what they tell, those that aren't a beginning of a better one, nor begin with one."""
     chosen: list[str] = []
+    stems, beginnings = set(), set()
     for f in features:
         stem = f.rstrip("*")
-        if not any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c in chosen):
+        if stem not in beginnings and stems.isdisjoint(stem[:k] for k in range(len(stem) + 1)):
             chosen.append(f)
+            stems.add(stem)
+            beginnings.update(f[:k] for k in range(len(f) + 1))
     return chosen
 
 
@@ -434,7 +442,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     parts = 1 << 20
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(parts)) < int(parts * min(1.0, most_labelled / max(n, 1))))
     known = broadcast_if_small(known, min(n, most_labelled), 24)
-    rows = docs.join(known, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), F.col("_toxic").alias("toxic"))
+    rows = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).join(known, F.col("_key") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
     drawn = Scratch(docs.sparkSession, "toxicity").put(rows.mapInArrow(_sample_rows, "family array<bigint>, words array<string>, toxic int"), "sample")
     kept = one_of_each([tuple(x) for x in drawn.select("family").toArrow().column(0).to_pylist()])  # at most about most_labelled rows
     one = drawn.dropDuplicates(["family"])
