@@ -126,3 +126,15 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
     whole = area(a) + area(b) - common
     return F.when(whole > 0, common / whole).otherwise(F.lit(0.0))
+
+
+def scaled_box(box: list[Column], page: list[Column], target: list[Column]) -> list[Column]:
+    """left, top, right, bottom in the target's units of a box (left, top, width, height) in a page's (width, height)."""
+    left, top, width, height = box
+    x, y = target[0] / page[0], target[1] / page[1]
+    return [left * x, top * y, (left + width) * x, (top + height) * y]
+
+
+def joined_content(parts: Column) -> Column:
+    """The content of a text node: its own text, its children's and what follows each, trimmed and joined without spaces."""
+    return F.array_join(F.transform(parts, lambda x: F.trim(F.coalesce(x, F.lit("")))), "")

@@ -134,3 +134,32 @@ def absorb(current: DataFrame, added: DataFrame) -> DataFrame:
 def save(recs: DataFrame, manual: DataFrame, decisions: DataFrame, prior: DataFrame, deleted: DataFrame) -> DataFrame:
     """A client's literals after a save: union of its reviews, what is carried forward, without what was deleted."""
     return carry_forward(union_literals(review_events(recs, manual, decisions)), prior, deleted)
+
+
+def apply_diff(recs: DataFrame, decisions: DataFrame, literals: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A client's siblings after their diff: (recommendations, decisions).
+
+    Stale recommendations go, with their decisions; new literals come with their occurrences there (none is no hindrance);
+    changed ones take the literal's category, flag and token, and their decision does too. Rows of siblings without any
+    change stay as they are. recs: client_id, stem, entity, category, tokenize, token, n_occ; occurrences: client_id,
+    stem, entity.
+    """
+    key, no = ["client_id", "stem", "entity"], F.lit(False)
+    change = diff(recs.withColumn("rejected", F.lit(None).cast("boolean")), literals, decisions)
+    told = literals.select("client_id", "entity", F.coalesce("category", F.lit("OTHER")).alias("l_category"), F.coalesce("tokenize", no).alias("l_tokenize"), F.col("token").alias("l_token"), F.when(F.coalesce("rejected", no), True).alias("l_rejected"))
+    moved = change.join(told, ["client_id", "entity"], "left")
+    counts = occurrences.groupBy(*key).agg(F.count("*").alias("found"))
+    renewed = F.col("change").isin("new", "changed")
+    pick = lambda ours, theirs: F.when(renewed, F.col(theirs)).otherwise(F.col(ours)).alias(ours)
+    rows = moved.where("change != 'stale'").join(recs, key, "left").join(counts, key, "left")
+    n_occ = F.when(F.col("change") == "new", F.coalesce("found", F.lit(0).cast("bigint"))).otherwise(F.col("n_occ").cast("bigint"))
+    after = rows.select(*key, pick("category", "l_category"), pick("tokenize", "l_tokenize"), pick("token", "l_token"), n_occ.alias("n_occ"))
+    said = decisions.select(*key, "category", "tokenize", "token", "rejected").join(moved, key, "full").where("change is null or change != 'stale'")
+    said = said.where(renewed | F.col("category").isNotNull() | F.col("tokenize").isNotNull() | F.col("rejected").isNotNull())
+    decided = said.select(*key, pick("category", "l_category"), pick("tokenize", "l_tokenize"), pick("token", "l_token"), pick("rejected", "l_rejected"))
+    return after, decided
+
+
+def reanalyzed(fresh: DataFrame, manual: DataFrame) -> DataFrame:
+    """A document's review after a new analysis: its fresh recommendations, and manual additions kept; decisions start anew."""
+    return fresh.withColumn("source", F.lit("rec")).unionByName(manual.withColumn("source", F.lit("manual")), allowMissingColumns=True)

@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import normalized, target_words
+from veilspark.functions.text import WORD_STRIP, normalized, target_words
 from veilspark.sources.layout import KEY
 from veilspark.sources.tables import stored
 
 HIT = [*KEY, "entity"]
 MOST_LISTED = 500  # literals of a client that its lines are held against one by one
 MOST_SPAN = 100  # points between the first and last word of a sequence with gaps
+VIEWER_STRIP = WORD_STRIP + "\u2019"  # fixed value
 OUT = [*HIT, "strategy", "line_id", "left", "top", "right", "bottom", "partial", "full_text"]
 
 
@@ -202,3 +203,38 @@ def find_occurrences(line_table: DataFrame, word_table: DataFrame, literal_table
         found = new if found is None else found.unionByName(new)
     first = Window.partitionBy(*HIT, "left", "top", "right", "bottom").orderBy("strategy", "at", "full_text")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*OUT)
+
+
+def viewer_words(words: DataFrame) -> DataFrame:
+    """Words as the viewer's matcher knows them: without signs and typographic apostrophes at their ends; words of signs alone are left out."""
+    kept = words.withColumn("norm", F.lower(F.btrim("text", F.lit(VIEWER_STRIP)))).where("norm != ''")
+    order = Window.partitionBy(*KEY).orderBy("pos")
+    return kept.withColumn("pos", F.row_number().over(order) - 1)
+
+
+def viewer_exact(word_table: DataFrame, line_table: DataFrame, literal_table: DataFrame) -> DataFrame:
+    """The viewer's way of matching whole words: as way 1, but overlapping runs count, a box goes to its line's edge where the
+    line's first or last word is in it, and a literal with hyphens that is found nowhere in the client's document is
+    tried again with its hyphens as word ends."""
+    edges = word_table.groupBy(*KEY, "line_id").agg(F.min("word_index").alias("lo"), F.max("word_index").alias("hi"))
+    words = stored(viewer_words(flat_words(word_table)).join(edges, [*KEY, "line_id"]))
+    targets = F.filter(F.transform(F.split(F.trim("entity"), r"\s+"), lambda w: F.lower(F.btrim(w, F.lit(VIEWER_STRIP)))), lambda w: w != "")
+    plain = literal_table.select("client_id", F.trim("entity").alias("entity")).distinct().withColumn("targets", targets).where("size(targets) > 0")
+    apart = F.flatten(F.transform("targets", lambda w: F.when(F.contains(w, F.lit("-")) & ~w.rlike("^-|--|-$"), F.split(w, "-")).otherwise(F.array(w))))
+    found = _viewer_runs(words, line_table, plain)
+    docs = word_table.select("client_id", "doc_id").distinct()
+    again = plain.withColumn("apart", apart).where("size(apart) > size(targets)").select("client_id", "entity", F.col("apart").alias("targets"))
+    missed = again.join(docs, "client_id").join(found.select("client_id", "doc_id", "entity").distinct(), ["client_id", "doc_id", "entity"], "left_anti")
+    second = _viewer_runs(words, line_table, again).join(missed.select("client_id", "doc_id", "entity"), ["client_id", "doc_id", "entity"], "left_semi")
+    return found.unionByName(second)
+
+
+def _viewer_runs(words: DataFrame, line_table: DataFrame, literals: DataFrame) -> DataFrame:
+    keyed = literals.withColumn("n", F.size("targets"))
+    hit = words.select(*KEY, "pos", "norm").join(keyed.withColumn("norm", F.element_at("targets", 1)), ["client_id", "norm"])
+    places = hit.select(*HIT, "n", F.col("pos").alias("run"), F.posexplode("targets").alias("j", "norm")).withColumn("pos", F.col("run") + F.col("j"))
+    met = places.join(words, [*KEY, "pos", "norm"])
+    whole = met.groupBy(*HIT, "run").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("k = n").select(*HIT, "run")
+    rows = met.join(whole, [*HIT, "run"]).groupBy(*HIT, "run", "line_id").agg(F.min("word_index").alias("a"), F.max("word_index").alias("b"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("left").alias("left"), F.max("right").alias("right"))
+    boxed = rows.join(line_boxes(line_table), [*KEY, "line_id"])
+    return boxed.select(*HIT, "line_id", F.when(F.col("a") == F.col("lo"), F.col("l_left")).otherwise(F.col("left")).cast("double").alias("left"), F.col("l_top").cast("double").alias("top"), F.when(F.col("b") == F.col("hi"), F.col("l_right")).otherwise(F.col("right")).cast("double").alias("right"), F.col("l_bottom").cast("double").alias("bottom"))

@@ -110,3 +110,9 @@ def maps(values: DataFrame, scope: list[str]) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("token").alias("key"), F.col("entity").alias("value"))))).alias("token_to_value"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("entity").alias("key"), F.col("token").alias("value"))))).alias("value_to_token"),
     )
+
+
+def box_list(occurrences: DataFrame, values: DataFrame, scope: list[str]) -> DataFrame:
+    """One row for each box of a redacted value: its token in brackets, the value, box, partial and redact_only (no label)."""
+    told = values.select(*scope, "entity", F.concat(F.lit("["), F.regexp_replace("token", r"^\[|\]$", ""), F.lit("]")).alias("token"), (~F.col("tokenize")).alias("redact_only"))
+    return occurrences.join(told, [*scope, "entity"]).select(*scope, "token", F.col("entity").alias("value"), "page", "left", "top", "right", "bottom", "line_id", "partial", "redact_only")

@@ -59,6 +59,10 @@ TABLES: dict[str, tuple[str, str]] = {
     "other_words": ("page, ord, text, left_, right_, top", "(1,0,'Hello',51,81,101),(1,1,'Hello',49,79,99),(1,2,'World',90,120,103),(1,3,'Hello',52,82,141),(2,4,'hello',50,80,100)"),
     "boxes": ("page, ord, left_, top, right_, bottom", "(1,0,0,0,100,50),(1,1,10,10,60,40),(1,2,1,1,101,51),(1,3,200,0,300,20),(1,4,0,60,10,70),(2,5,0,0,50,50)"),
     "box_lines": ("page, line_id, left_, top, right_, bottom, content, font_size", "(1,1,12,12,55,20,'first line',10),(1,2,12,24,55,32,'second line',10),(1,3,205,2,290,14,'far right',8),(1,4,500,500,520,510,'alone',12),(2,5,5,5,45,15,'page two',10),(2,6,4,0,70,8,'  sticks out',10),(2,7,6,30,40,38,'  ',10),(2,8,6,36,50,44,' lower ',0)"),
+    "typed_paths": ("ord, raw", "(0,' /in/a.pdf '),(1,'\"/in/b.PDF\"'),(2,'/in/none.pdf'),(3,'/in/notes.txt'),(4,' /in/c.pdf'),(5,'/in/.pdf'),(6,'  '),(7,'/in/a.pdf')"),
+    "stored_files": ("folder, filename", "('output','a_clean.pdf'),('data','a.pdf'),('data','b.pdf'),('output','b.pdf'),('output','c.PDF'),('data','../x.pdf')"),
+    "asked_files": ("id, filename", "(1,'a.pdf'),(2,'b.pdf'),(3,'c.PDF'),(4,'../x.pdf'),(5,'none.pdf'),(6,'a')"),
+    "scales": ("id, l, t, w, h, pw, ph, tw, th", "(1,10,20,30,40,100,200,50.0,400.0),(2,0,0,100,200,100,200,100.0,200.0)"),
     "bare_lines": ("page, line_id, left_, top, right_, content", "(1,1,14,13,60,''),(1,2,14,26,90,' '),(1,3,203,1,204,''),(1,4,508,507,600,''),(2,5,300,300,340,''),(2,6,4,4,46,'full')"),
     "bare_words": ("page, ord, left_, top, text", "(1,0,15,27,'word'),(1,1,16,28,'later'),(1,2,204,2,'thin'),(2,3,4,4,'other')"),
     "rules": ("page, x, y0, y1", "(1,30,100,0),(1,40,10,30),(1,250,0,4),(1,260,0,50),(2,25,30,60)"),

@@ -276,3 +276,43 @@ SQL["status_latched"] = f"SELECT id, CASE WHEN persisted = 'applied' THEN 'appli
 SQL["documents_without_review"] = f"{DETECTED} SELECT source AS client_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM detected)"
 SQL["occurrences_deduped"] = f"SELECT page, min(ord) AS ord FROM {sql('boxes')} GROUP BY page, left_, top, right_, bottom"
 SQL["layout_slim"] = f"WITH {SRC}, {LINES} SELECT doc_id, page, line_id, content, true AS no_ghost_key FROM lines"
+
+SQL["path_verdicts"] = f"""WITH t AS (SELECT * FROM {sql('typed_paths')}), p AS (SELECT ord, CASE WHEN regexp_full_match(trim(raw), '".*"') THEN trim(raw)[2:-2] ELSE trim(raw) END AS path FROM t WHERE ord < (SELECT min(ord) FROM t WHERE trim(raw) = ''))
+SELECT ord, path, CASE WHEN path NOT IN ('/in/a.pdf', '/in/b.PDF', '/in/c.pdf', '/in/notes.txt', '/in/.pdf') THEN 'missing' WHEN NOT regexp_matches(lower(path), '[^/]\\.pdf$') THEN 'not a pdf' ELSE 'taken' END AS verdict FROM p"""
+SQL["served_files"] = f"""WITH a AS (SELECT id, filename, regexp_replace(filename, '(?i)\\.pdf$', '') || '_clean.pdf' AS cleaned FROM {sql('asked_files')}), s AS (SELECT * FROM {sql('stored_files')})
+SELECT id, CASE WHEN contains(filename, '..') THEN '' WHEN ('output', cleaned) IN (SELECT (folder, filename) FROM s) THEN 'output/' || cleaned WHEN ('data', filename) IN (SELECT (folder, filename) FROM s) THEN 'data/' || filename WHEN ('output', filename) IN (SELECT (folder, filename) FROM s) THEN 'output/' || filename ELSE '' END AS file FROM a"""
+SQL["client_refusals"] = f"""SELECT id, CASE WHEN trim(coalesce(name, '')) = '' OR len(trim(name)) > 200 THEN 400 WHEN id IN (3, 4, 6) THEN 409 ELSE 200 END AS status FROM (SELECT * FROM {sql('names')} UNION ALL SELECT 7, '  ' UNION ALL SELECT 8, repeat('x', 201) UNION ALL SELECT 9, NULL)"""
+SQL["boxes_scaled"] = f"SELECT id, CAST(l * tw / pw AS DOUBLE) AS \"left\", CAST(t * th / ph AS DOUBLE) AS top, CAST((l + w) * tw / pw AS DOUBLE) AS \"right\", CAST((t + h) * th / ph AS DOUBLE) AS bottom FROM {sql('scales')}"
+SQL["content_joined"] = "SELECT * FROM (VALUES (1, 'abc d'), (2, ''), (3, 'x')) AS t(id, content)"
+SQL["page_full_text"] = f"""WITH {SRC}, {LINES}, own AS (SELECT client_id, doc_id, page, coalesce(string_agg(content, chr(10) ORDER BY line_id) FILTER (content != ''), '') AS text FROM lines WHERE page % 2 = 0 GROUP BY ALL)
+SELECT * FROM own WHERE trim(text) != '' UNION ALL SELECT client_id, doc_id, page, 'raw ' || sum(len(content)) FROM lines WHERE page % 2 = 1 GROUP BY ALL"""
+DIFFED = f"""WITH lit AS (SELECT client_id, entity, coalesce(category, 'OTHER') AS category, coalesce(tokenize, false) AS tokenize, token, coalesce(rejected, false) AS rejected FROM {sql('prior')}),
+r AS (SELECT client_id, stem, entity, category, tokenize, token, n_occ FROM {sql('recs')}), d AS (SELECT * FROM {sql('decisions')}),
+sib AS (SELECT DISTINCT client_id, stem FROM r),
+seen AS (SELECT * FROM (VALUES ('C1', 'a', 'Old One', 2), ('C1', 'b', '123-4567', 1)) AS t(client_id, stem, entity, n)),
+change AS (SELECT s.client_id, s.stem, l.entity, l.category, l.tokenize, l.token, l.rejected, r.entity IS NULL AS is_new,
+    r.entity IS NULL OR r.category IS DISTINCT FROM l.category OR r.token IS DISTINCT FROM l.token OR coalesce(r.tokenize, false) != l.tokenize OR coalesce(d.rejected, false) != l.rejected AS renewed
+  FROM sib s JOIN lit l USING (client_id) LEFT JOIN r ON r.client_id = s.client_id AND r.stem = s.stem AND r.entity = l.entity LEFT JOIN d ON d.client_id = s.client_id AND d.stem = s.stem AND d.entity = l.entity)"""
+SQL["crm_applied_recs"] = f"""{DIFFED}
+SELECT c.client_id, c.stem, c.entity, CASE WHEN renewed THEN c.category ELSE r.category END AS category, CASE WHEN renewed THEN c.tokenize ELSE r.tokenize END AS tokenize, CASE WHEN renewed THEN c.token ELSE r.token END AS token, CAST(CASE WHEN is_new THEN coalesce(seen.n, 0) ELSE r.n_occ END AS BIGINT) AS n_occ
+FROM change c LEFT JOIN r USING (client_id, stem, entity) LEFT JOIN seen USING (client_id, stem, entity)"""
+SQL["crm_applied_decisions"] = f"""{DIFFED}
+SELECT client_id, stem, entity, category, tokenize, token, CASE WHEN rejected THEN true END AS rejected FROM change WHERE renewed
+UNION ALL SELECT d.client_id, d.stem, d.entity, d.category, d.tokenize, d.token, d.rejected FROM d LEFT JOIN change c USING (client_id, stem, entity) LEFT JOIN r USING (client_id, stem, entity) WHERE (c.entity IS NULL AND r.entity IS NULL) OR NOT c.renewed"""
+SQL["redaction_boxes"] = f"""{EXACT}, first AS (SELECT doc_id, entity, min((page, top, l)) AS f FROM hits GROUP BY ALL),
+given AS (SELECT doc_id, entity, regexp_matches(entity, '[0-9]') AS account, row_number() OVER (PARTITION BY doc_id, regexp_matches(entity, '[0-9]') ORDER BY f, entity) AS k FROM first)
+SELECT h.doc_id, '[' || CASE WHEN account THEN 'ACCOUNT_' ELSE 'NAME_' END || k || ']' AS token, h.entity AS value, h.page, CAST(l AS BIGINT) AS "left", CAST(top AS BIGINT) AS top, CAST(rr AS BIGINT) AS "right", CAST(bottom AS BIGINT) AS bottom, line_id, false AS partial, NOT account AS redact_only FROM hits h JOIN given USING (doc_id, entity)"""
+SQL["tokenized_documents"] = f"""{DETECTED}, open AS (SELECT * FROM detected WHERE doc_id >= 0 AND NOT starts_with(value, '9')),
+vals AS (SELECT doc_id, value, min((start, category)) AS f FROM open GROUP BY ALL), pre AS (SELECT doc_id, value, f[1] AS first, f[2] AS category FROM vals),
+given AS (SELECT doc_id, value AS entity, coalesce(CASE WHEN contains(value, '-') THEN true END, category = 'ACCOUNT_NUMBER') AS label, {PREFIX} || '_' || row_number() OVER (PARTITION BY doc_id, category ORDER BY first, value) AS token FROM pre), """ + CHOSEN.format("SELECT d.doc_id, d.start, d.\"end\", CASE WHEN g.label THEN '[' || g.token || ']' ELSE repeat('█', d.\"end\" - d.start) END AS label FROM open d JOIN given g ON g.doc_id = d.doc_id AND g.entity = d.value") + f", {REPLACED} SELECT doc_id, arg_max(text, i) AS redacted FROM back WHERE doc_id >= 0 GROUP BY doc_id"
+VIEWER = "lower(trim({}, '.,;:!?()[]\"' || chr(39) || chr(8217)))"
+SQL["match_viewer"] = f"""{DETECTED}, {SRC}, {LINES}, {WORDS}, {LITERALS}, {FLAT},
+vw AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) - 1 AS vpos FROM (SELECT * EXCLUDE (norm), {VIEWER.format('text')} AS norm, min(word_index) OVER l AS lo, max(word_index) OVER l AS hi FROM flat WINDOW l AS (PARTITION BY doc_id, page, line_id)) WHERE norm != ''),
+vt AS (SELECT client_id, entity, list_filter([{VIEWER.format('w')} FOR w IN string_split(trim(regexp_replace(entity, '\\s+', ' ', 'g')), ' ')], lambda w: w != '') AS t FROM lits),
+vx AS (SELECT client_id, entity, flatten([CASE WHEN contains(w, '-') AND NOT regexp_matches(w, '^-|--|-$') THEN string_split(w, '-') ELSE [w] END FOR w IN t]) AS t, len(t) AS n0 FROM vt),
+tried AS (SELECT client_id, entity, t, 0 AS try FROM vt WHERE len(t) > 0 UNION ALL SELECT client_id, entity, t, 1 FROM vx WHERE len(t) > n0),
+start AS (SELECT f.client_id, f.doc_id, f.page, l.entity, l.try, f.vpos AS run, len(l.t) AS n FROM vw f JOIN tried l ON l.client_id = f.client_id AND f.norm = l.t[1]
+  WHERE len(l.t) = 1 OR (SELECT count(*) FROM vw g WHERE g.doc_id = f.doc_id AND g.page = f.page AND g.vpos BETWEEN f.vpos AND f.vpos + len(l.t) - 1 AND g.norm = l.t[g.vpos - f.vpos + 1]) = len(l.t)),
+ok AS (SELECT * FROM start WHERE try = 0 UNION ALL SELECT s.* FROM start s WHERE try = 1 AND (s.doc_id, s.entity) NOT IN (SELECT (doc_id, entity) FROM start WHERE try = 0)),
+boxes AS (SELECT o.doc_id, o.page, o.entity, o.run, f.line_id, min(word_index) AS a, max(word_index) AS b, any_value(lo) AS lo, any_value(hi) AS hi, min(f."left") AS l, max(f."right") AS r FROM ok o JOIN vw f ON f.doc_id = o.doc_id AND f.page = o.page AND f.vpos BETWEEN o.run AND o.run + o.n - 1 GROUP BY ALL)
+SELECT b.doc_id, b.page, b.entity, b.line_id, CAST(CASE WHEN a = lo THEN s."left" ELSE l END AS BIGINT) AS "left", CAST(s.top AS BIGINT) AS top, CAST(CASE WHEN b.b = hi THEN s."right" ELSE r END AS BIGINT) AS "right", CAST(s.bottom AS BIGINT) AS bottom FROM boxes b JOIN lines s ON s.doc_id = b.doc_id AND s.page = b.page AND s.line_id = b.line_id"""

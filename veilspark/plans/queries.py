@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns, text
-from veilspark.operators import crm, detect, match, redact, review, spatial, tokens
+from veilspark.operators import crm, detect, files, match, pipelines, redact, review, spatial, tokens
 from veilspark.plans.cases import CASES, MATCH_DOCS, table
 from veilspark.sources import layout
 from veilspark.sources.tables import stored
@@ -569,6 +569,91 @@ def occurrences_deduped(spark, sf_dir):
     return detect.dedupe_occurrences(boxes.unionByName(again), ["entity"]).select("page", "ord")
 
 
+@query
+def path_verdicts(spark, sf_dir):
+    there = spark.sql("SELECT explode(array('/in/a.pdf', '/in/b.PDF', '/in/c.pdf', '/in/notes.txt', '/in/.pdf')) AS path")
+    return files.path_verdicts(table(spark, "typed_paths"), there)
+
+
+@query
+def served_files(spark, sf_dir):
+    return files.served_file(table(spark, "asked_files"), table(spark, "stored_files"))
+
+
+@query
+def client_refusals(spark, sf_dir):
+    rows = table(spark, "names").unionByName(spark.sql("SELECT 7 AS id, '  ' AS name UNION ALL SELECT 8, repeat('x', 201) UNION ALL SELECT 9, CAST(NULL AS STRING)"))
+    return rows.select("id", files.client_refusal(F.col("name"), text.client_slug(F.col("name")), F.array(F.lit("X-y_Z"), F.lit("UNNAMED"))).alias("status"))
+
+
+@query
+def boxes_scaled(spark, sf_dir):
+    rows = table(spark, "scales")
+    box = text.scaled_box([F.col(c) for c in "ltwh"], [F.col("pw"), F.col("ph")], [F.col("tw"), F.col("th")])
+    return rows.select("id", *(x.cast("double").alias(c) for x, c in zip(box, ("left", "top", "right", "bottom"), strict=True)))
+
+
+@query
+def content_joined(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM (VALUES (1, array('a ', ' b', NULL, ' c d ')), (2, array('')), (3, array(' x'))) AS t(id, parts)")
+    return rows.select("id", text.joined_content(F.col("parts")).alias("content"))
+
+
+@query
+def page_full_text(spark, sf_dir):
+    """Pages with an odd number have lost their lines: their raw text stands in."""
+    found = lines(spark, sf_dir)
+    raw = found.where("page % 2 = 1").groupBy("client_id", "doc_id", "page").agg(F.concat_ws("", F.lit("raw "), F.sum(F.char_length("content")).cast("string")).alias("text"))
+    return layout.full_text(found.where("page % 2 = 0"), raw)
+
+
+@query
+def crm_applied_recs(spark, sf_dir):
+    return _applied(spark)[0]
+
+
+@query
+def crm_applied_decisions(spark, sf_dir):
+    return _applied(spark)[1]
+
+
+def _applied(spark):
+    seen = spark.sql("SELECT * FROM (VALUES ('C1', 'a', 'Old One'), ('C1', 'a', 'Old One'), ('C1', 'b', '123-4567')) AS t(client_id, stem, entity)")
+    return crm.apply_diff(table(spark, "recs").drop("rejected"), table(spark, "decisions"), table(spark, "prior"), seen)
+
+
+@query
+def redaction_boxes(spark, sf_dir):
+    """Every box of the clients' literals in their documents, with tokens; account-like values have labels, others only blocks."""
+    found = lines(spark, sf_dir)
+    hits = stored(match.exact(match.flat_words(layout.words(found)), match.prepared(client_literals(spark, sf_dir)), found))
+    first = hits.groupBy("doc_id", "entity").agg(F.min(F.struct("page", "top", "left")).alias("f"))
+    values = tokens.assign(first.select("doc_id", "entity", F.when(F.col("entity").rlike("[0-9]"), "ACCOUNT_NUMBER").otherwise("PERSON").alias("category"), "f"), ["doc_id"], ["f", "entity"])
+    boxes = tokens.box_list(hits, values.withColumn("tokenize", F.col("category") == "ACCOUNT_NUMBER"), ["doc_id"])
+    return boxes.select("doc_id", "token", "value", "page", F.col("left").cast("bigint").alias("left"), F.col("top").cast("bigint").alias("top"), F.col("right").cast("bigint").alias("right"), F.col("bottom").cast("bigint").alias("bottom"), "line_id", "partial", "redact_only")
+
+
+@query
+def match_viewer(spark, sf_dir):
+    found = lines(spark, sf_dir)
+    hits = match.viewer_exact(layout.words(found), found, client_literals(spark, sf_dir))
+    return hits.select("doc_id", "page", "entity", "line_id", *(F.col(c).cast("bigint").alias(c) for c in ("left", "top", "right", "bottom")))
+
+
+@query
+def analyzed(spark, sf_dir):
+    return pipelines.analyze(documents(spark, sf_dir), patterns.ALL).select("doc_id", "id", "entity", "category", "vote_count", "consensus_passed", "n_occ")
+
+
+@query
+def tokenized_documents(spark, sf_dir):
+    """The one-shot driver: values that begin with a 9 are rejected, those with a dash get a label."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = detect.detect(docs, patterns.ALL).select("doc_id", F.col("value").alias("entity")).distinct()
+    said = found.select("doc_id", "entity", F.when(F.contains("entity", F.lit("-")), True).alias("tokenize"), F.startswith("entity", F.lit("9")).alias("rejected"))
+    return pipelines.tokenize(docs, patterns.ALL, said)[0]
+
+
 @query
 def layout_slim(spark, sf_dir):
     rows = layout.slim_layout(lines(spark, sf_dir))

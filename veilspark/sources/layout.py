@@ -62,6 +62,14 @@ def page_text(line_table: DataFrame, *, drop_ghosts: bool = True) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.array_join(F.filter(F.transform(ordered, lambda x: x["content"]), lambda c: c != ""), "\n").alias("text"))
 
 
+def full_text(line_table: DataFrame, raw_pages: DataFrame) -> DataFrame:
+    """page_text of the pages that have lines (ghosts or not), raw_pages' own text of the others; blank pages are left out."""
+    ours = page_text(line_table)
+    empty = line_table.select(*KEY).distinct().join(ours.select(*KEY), KEY, "left_anti").withColumn("text", F.lit(""))
+    rest = raw_pages.select(*KEY, "text").join(line_table.select(*KEY).distinct(), KEY, "left_anti")
+    return ours.unionByName(empty).unionByName(rest).where("trim(text) != ''")
+
+
 def pages(line_table: DataFrame) -> DataFrame:
     """Page count of each document: the highest page number, gaps included."""
     return line_table.groupBy("client_id", "doc_id").agg(F.max("page").alias("total_pages"), F.count("*").alias("n_lines"), F.count_if(F.coalesce("is_ghost", F.lit(False))).alias("n_ghosts"))
