@@ -5,6 +5,12 @@
 3. near dedup: of documents whose five-word shingle sets are similar to 0.8 or more, directly or through others, one stays.
 4. mixing: documents are sampled towards tempered shares of sources, languages and topics; SHARE of the tokens stay.
 5. packing: token sequences of at most 4096 ids, one row per piece.
+
+Defined cases: null and empty texts are equal texts without words, of which one stays, and are a single end id in the
+end; documents with a null id are scored, compared by text, never near copies, sampled by their text and packed under
+null; of rows that repeat id and text one stays; very long texts are read whole by every stage and cut only into pieces;
+null languages and sources are values of their own; columns besides id, text, lang and source may have any names and
+values, and every stage but the last returns them as they are; an empty table runs through to an empty result.
 """
 
 from __future__ import annotations
