@@ -88,3 +88,17 @@ def test_bounded_odd_rows(odd, odd_rows, empty):
     found = mixing.mix(odd, bounded=True).collect()
     assert len(found) == len(odd_rows) and all(0 <= r.probability <= 1 for r in found)
     assert mixing.mix(empty, bounded=True).count() == 0 and mixing.sample(empty, bounded=True).count() == 0
+
+
+def test_topics_by_seed_words(spark):
+    rows = [(1, "The CAT sat; the dog ran", "en", "s"), (2, "stocks and bonds, cat", "en", "s"), (3, "nothing here", "en", "s"), (4, None, "en", "s"), (5, "dog bonds", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    topic = mixing.seeded_topic(mixing.F.coalesce("text", mixing.F.lit("")), {"pets": ["cat", "dog"], "money": ["stocks", "bonds", "Bonds"]})
+    assert {r.doc_id: r.topic for r in mixing.mix(docs, topic=topic).collect()} == {1: "pets", 2: "money", 3: "short", 4: "empty", 5: "money"}
+
+
+def test_columns_with_the_operators_names_stay(spark):
+    rows = [(i, "a b c " * (i % 5), "en", f"s{i % 3}", 9.0, "x", i) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, _u double, _source string, `row` bigint")
+    kept = mixing.sample(docs).collect()
+    assert kept and {tuple(r) for r in kept} <= {tuple(r) for r in docs.collect()}
