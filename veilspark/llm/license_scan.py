@@ -1,19 +1,23 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 Every template and every text is cut into word shingles (lower-cased words without signs at their ends). Windows of
-2 * half shingles start every half shingles; half is a power of two, and a template belongs to the least half that is
-at least its number of shingles, so each of its occurrences lies whole inside a window of that size. Its set is then
-at least a quarter of the window's set, BANDS bands of one MinHash value each miss it with probability below
-(1 - 1/4 * CONTAINMENT) ** BANDS: under 1 in a million for 64 bands. Window minima come from minima of the halves, so
-a size costs half of the one below it.
+2 * half shingles start every half shingles; half is a power of two, from 1, and a template belongs to the least half
+that is at least its number of shingles, so each of its occurrences lies whole inside a window of that size. An
+occurrence to be found holds at least a part CONTAINMENT of the template, so it makes up a known least share of the
+window's set (SHARE of a half: more than a fifth, and half of the window for templates of one or two shingles). A band
+of one MinHash value misses it with probability 1 - SHARE at most; a half gets as many bands as bring all of them to
+miss with probability MISS, or `bands` at most (64 bands at a fifth: 6 in 10 million). Window minima come from minima
+of the halves, so a size costs half of the one below it.
 
 A retrieved template is verified on the window's full set of shingles: the share of the template's shingles that it
 holds must be CONTAINMENT or more. Overlapping and adjoining windows that verify one template make one match, trimmed
-to its first and last common shingle. Templates are a fixed, small list, so workers hold their bands; texts aren't
-shuffled.
+to its first and last common shingle. Templates are a list that workers hold (a few MB for thousands of licenses), so
+texts aren't shuffled; `templates` takes any other list.
 
 Defined cases: a null or blank text has no matches; templates shorter than a shingle are one shingle; a text shorter
-than a shingle is one shingle; repeated rows are scanned each; an empty table gives an empty result.
+than a shingle is one shingle; very long texts are scanned whole, in one piece; rows with null ids, repeated ids and
+repeated rows are scanned each; where several templates fit one place, each is a match; an empty table gives an empty
+result; other columns may have any names, they are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from veilspark.llm.common import ODD, WordHashes, mix, shingle_hashes, worker_ta
 WIDTH = 5
 BANDS = 64
 CONTAINMENT = 0.8
+MISS = 1e-7  # how likely all bands of a half may miss an occurrence, where `bands` are enough for it
 CHUNK = 200_000  # shingles that are worked on at a time
 SIGNS = b".,;:!?()[]{}<>\"'`*#%&$|/\\-_=+~^@"
 
@@ -40,7 +45,10 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -54,6 +62,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
@@ -76,8 +85,8 @@ def factors(bands: int) -> tuple[np.ndarray, np.ndarray]:
 class Templates:
     """Shingle sets of the templates, and for each half the bands of those that belong to it."""
 
-    def __init__(self, templates: dict[str, list[str]], bands: int = BANDS, width: int = WIDTH):
-        hashes = WordHashes()
+    def __init__(self, templates: dict[str, list[str]], bands: int = BANDS, width: int = WIDTH, containment: float = CONTAINMENT):
+        hashes, share = WordHashes(), {}
         self.bands, self.width = bands, width
         self.a, self.b = factors(bands)
         self.names, self.sets = [], []
@@ -86,33 +95,36 @@ class Templates:
             for k, text in enumerate(texts):
                 shingles = np.unique(shingle_hashes(scan_words(text), hashes, width))
                 if len(shingles):
-                    half = 1 << max(2, int(np.ceil(np.log2(len(shingles)))))
+                    half = 1 << int(np.ceil(np.log2(len(shingles))))
                     for j in range(bands):
                         self.halves[half][j][int((shingles * self.a[j] + self.b[j]).min())].append(len(self.sets))
+                    share[half] = min(share.get(half, 1.0), np.ceil(containment * len(shingles) - 1e-9) / (2 * half))
                     self.names.append((name, k))
                     self.sets.append(shingles)
+        self.bands_of = {half: min(bands, int(np.ceil(np.log(MISS) / np.log1p(-x)))) for half, x in share.items()}
         self.keys = {half: [np.array(sorted(band), np.uint64) for band in found] for half, found in self.halves.items()}
 
     def retrieved(self, shingles: np.ndarray, owner: np.ndarray) -> set[tuple[int, int, int, int]]:
         """(template, begin, end, owner) of windows that share a band with the template. Windows don't cross owners."""
         found: set[tuple[int, int, int, int]] = set()
-        least = np.empty((0, 0))
-        blocks = None
+        if not len(shingles):
+            return found
+        levels, below = [], None
         for half in sorted(self.halves):
             starts, owners = block_starts(owner, half)
-            if blocks is None:
-                least = np.stack([np.minimum.reduceat(shingles * a + b, starts) for a, b in zip(self.a, self.b, strict=True)]) if len(starts) else np.empty((self.bands, 0), np.uint64)
-            else:  # a block of this size is blocks of the size below
-                at = np.searchsorted(blocks, starts)
-                least = np.minimum.reduceat(least, at, axis=1) if len(starts) else least
-            blocks = starts
-            if not len(starts):
-                continue
             next_same = np.append(owners[1:] == owners[:-1], False)
             ends = np.append(starts[1:], len(shingles))
             last = np.where(next_same, np.append(ends[1:], ends[-1]), ends)
-            for j in range(self.bands):
-                window = np.where(next_same, np.minimum(least[j], np.append(least[j][1:], least[j][-1])), least[j])
+            # a block of this size is blocks of the size below
+            levels.append((half, starts, owners, next_same, last, starts if below is None else np.searchsorted(below, starts)))
+            below = starts
+        for j in range(max(self.bands_of.values(), default=0)):
+            least = shingles * self.a[j] + self.b[j]
+            for half, starts, owners, next_same, last, at in levels:
+                least = np.minimum.reduceat(least, at) if len(at) < len(least) else least
+                if j >= self.bands_of[half]:
+                    continue
+                window = np.where(next_same, np.minimum(least, np.append(least[1:], least[-1])), least)
                 keys = self.keys[half][j]
                 place = np.minimum(np.searchsorted(keys, window), len(keys) - 1)
                 for w in np.flatnonzero(keys[place] == window):
@@ -155,7 +167,7 @@ def matches(shingles: np.ndarray, owner: np.ndarray, templates: Templates, conta
 
 @worker_task
 def _scanned(batches: Iterator[pa.RecordBatch], listed: dict[str, list[str]], bands: int, containment: float) -> Iterator[pa.RecordBatch]:
-    templates, hashes = Templates(listed, bands), WordHashes()
+    templates, hashes = Templates(listed, bands, containment=containment), WordHashes()
 
     def flush(ids: pa.Array, rows: list[np.ndarray], start: int) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in rows])
