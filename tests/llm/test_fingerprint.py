@@ -75,3 +75,15 @@ def test_bins_against_plain_code(spark):
     assert len(values) > f.BINS * 0.8
     kept = {r.i: r.b for r in spark.createDataFrame(list(values.items()), "i int, v bigint").selectExpr("i", "xxhash64(v, i) & 15 as b").collect()}
     assert all(int(fp[i], 16) == b for i, b in kept.items())
+
+
+def test_ids_of_other_types(spark, small, monkeypatch):
+    """Names as ids, in many ranges: the next document is the one before it in the order of names."""
+    monkeypatch.setattr(f.ranges, "__defaults__", (7,))
+    rows = {f"doc-{r.doc_id * 7919 % 1000:03}": r.text for r in small}
+    found = {r.doc_id: r.edited_sha256 for r in f.edited_fingerprints(spark.createDataFrame(list(rows.items()), "doc_id string, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    for k, name in enumerate(order):
+        text, following = rows[name] or "", rows[order[(k + 1) % len(order)]] or ""
+        cut = len(text) // 3
+        assert found[name] == hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest()

@@ -10,11 +10,15 @@ by chance in one bin of 2**KEPT_BITS; likeness corrects for that.
 
 Defined cases: a null text counts as empty; a text with fewer words than a shingle is one shingle; a text without
 words has the fingerprint '' and likeness 1 to another such text, 0 to all others; equal texts have equal
-fingerprints; rows with equal ids follow each other by text, null ids come last; an empty table gives an empty result.
+fingerprints; rows with equal ids follow each other by text, null ids come last; very long texts are taken whole; ids may
+be of any type that has an order; an empty table gives an empty result; other columns may have any names, they are
+neither read nor returned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +79,27 @@ def ranges(docs: DataFrame, id_col: str, rows_a_range: int = ROWS_A_RANGE) -> Co
     n = docs.select(id_col).count()
     wanted = max(1, min(MOST_RANGES, -(-n // rows_a_range)))
     width = int(wanted**0.5) + 1
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        # any other ordered type: the least id of each range that Spark's range partitioning makes of the ids alone
+        ids = docs.select(F.col(id_col).alias("id")).where("id is not null").repartitionByRange(wanted, "id").withColumn("range", F.spark_partition_id())
+        bounds = sorted(r["least"] for r in ids.groupBy("range").agg(F.min("id").alias("least")).collect())[1:]  # at most MOST_RANGES rows
+        kind = docs.schema[id_col].dataType
+        return looked_up(bounds, width, F.col(id_col), lambda part: F.array(*(F.lit(x).cast(kind) for x in part)))
     fractions = [i / wanted for i in range(1, wanted)]
     bounds = docs.agg(F.percentile_approx(id_col, fractions, max(10_000, 20 * wanted))).first()[0] if fractions else []
     bounds = sorted(set(bounds or []))
+    return looked_up(bounds, width, F.col(id_col), lambda part: F.expr(f"array({','.join(f'{x}L' for x in part)})"))
+
+
+def looked_up(bounds: list, width: int, at: Column, listed: Callable[[list], Column]) -> Column:
+    """How many bounds are at most `at`, in blocks of `width` bounds; -1 for null."""
     if not bounds:
-        return F.when(F.col(id_col).isNull(), -1).otherwise(0)
+        return F.when(at.isNull(), -1).otherwise(0)
     blocks = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    coarse = F.expr(f"size(filter(array({','.join(f'{b[0]}L' for b in blocks)}), b -> b <= {id_col})) - 1")
-    fine = F.expr("array(" + ",".join(f"array({','.join(f'{x}L' for x in b)})" for b in blocks) + ")")
-    inside = F.size(F.filter(fine[F.greatest(coarse, F.lit(0))], lambda b: b <= F.col(id_col)))
-    return F.when(F.col(id_col).isNull(), -1).otherwise(F.when(coarse < 0, 0).otherwise(coarse * width + inside))
+    coarse = F.size(F.filter(listed([b[0] for b in blocks]), lambda x: x <= at)) - 1
+    fine = F.array(*map(listed, blocks))
+    inside = F.size(F.filter(fine[F.greatest(coarse, F.lit(0))], lambda x: x <= at))
+    return F.when(at.isNull(), -1).otherwise(F.when(coarse < 0, 0).otherwise(coarse * width + inside))
 
 
 def with_followers(rows: DataFrame) -> DataFrame:
