@@ -53,3 +53,31 @@ def test_index_files_hold_each_text_once(spark, small):
     index = x.build_index(docs, Scratch(spark, "t"), capacity=16)
     assert index.count() == len({r.text for r in small})
     assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_hot_texts_are_folded_and_met_by_bytes(spark, monkeypatch):
+    """A third of all rows is one text; with few bits of hash, a hot hash holds other texts too; both ways of meeting them."""
+    monkeypatch.setattr(x, "HOT", 20)
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 90}" if i % 3 == 1 else None if i % 7 == 0 else f"own {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    weak = lambda c: F.shiftleft(F.xxhash64(c), 60)
+    assert found(docs) == wanted(rows) and found(docs, hash_of=weak, capacity=4) == wanted(rows)
+    kept = {max(i for i, t in rows if (t or "") == text) for text in {t or "" for _, t in rows}}
+    for options in ({}, {"hash_of": weak, "capacity": 4}):
+        assert sorted(r.doc_id for r in x.drop_duplicates(docs, **options).collect()) == sorted(kept)
+
+
+def test_directory_doubles_as_long_as_it_takes(spark):
+    """Hashes that differ in their last bits alone: the survey goes down to all 64."""
+    rows = [(i, f"t{i}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    narrow = lambda c: F.pmod(F.xxhash64(c), F.lit(16))
+    index = x.build_index(docs, Scratch(spark, "t"), capacity=4, hash_of=narrow)
+    assert index.count() == 64 and index.groupBy("bucket").agg(F.count_distinct("hash").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert index.groupBy("hash").agg(F.max("chain").alias("m"), F.count("*").alias("n")).where("m != n - 1").isEmpty()
+
+
+def test_columns_with_the_operators_names_stay(spark):
+    rows = [(1, "a", "x", 5, "p"), (2, "a", "y", 6, "q"), (3, None, "z", None, "r"), (4, "", "z", None, "r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _s string, hash bigint, `row` string")
+    assert sorted(tuple(r) for r in x.drop_duplicates(docs).collect()) == [rows[1], rows[3]]

@@ -80,3 +80,19 @@ def test_other_letters_and_signs(spark):
     """Parts of words by the tokenizer's model against the whole tokenizer."""
     texts = ["Éte ÑANDÚ ß straße Ünïcödé ÿ Ÿ µ ª º", "a1b22c333 x.y,z;w! (a)[b]{c}<d> ~`^_|@#$%&*+=-/ \\ \"q\"", "don't CAN'T it's 'quoted' o'", "ÀÖØöøÿ×÷", "<|startoftext|> a<|endoftext|>b <|end", "e\u0301 A\u030a \u212b \u1e9b\u0323", "1234 ² ½ Ⅷ ٣ 五", "ab\xa0cd \u2003 ef\x1cgh", "word" * 90 + " " + "9" * 300]
     check(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"), list(enumerate(texts)), 4096)
+
+
+def test_the_program_places_most_pieces():
+    """Lengths like those of documents, with lengths that many copies share: the lower bound is met, and nearly all by the program."""
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(rng.lognormal(6.4, 0.9, 20_000).astype(int) + 1, 4096)
+    histogram = Counter(lengths.tolist()) + Counter({829: 900, 3000: 300, 236: 500})
+    configs, share = packing.planned(histogram, 4096)
+    n = sum(k for _, k in configs)
+    assert share >= 0.9 and packing.lower_bound(histogram, 4096) <= n <= sum(k for _, k in packing.best_fit(histogram, 4096))
+    assert n <= packing.lower_bound(histogram, 4096) + 1
+
+
+def test_lower_bound_where_lengths_fit_badly():
+    assert packing.lower_bound({2500: 10}, 4096) == 10 and packing.lower_bound({1000: 9}, 4096) == 3 and packing.lower_bound({4096: 2, 1: 1}, 4096) == 3
+    assert sum(n for _, n in packing.plan({1000: 9}, 4096)) == 3

@@ -126,3 +126,33 @@ def test_stretched_and_long_words_are_restored(corpus):
     assert restored(corpus, forms) == {}
     scorer = t.Scorer(*corpus[2])
     assert not any(scorer[x] for x in ("loosely", "https://example.com/" + "a-b-c/" * 20, "0123456789abcdef" * 8, "!." * 3000, "ab" * 3000, "s." * 3000, "*." * 3000 + "a", "stop" * 500))
+
+
+def test_scores_against_plain_code(spark, corpus, small):
+    """The whole score without the tree's look ahead, without memory: every token is decoded in all its forms."""
+    words, weights, base, counts = corpus[2]
+    scorer = t.Scorer(words, weights, base, counts)
+    rng = random.Random(8)
+
+    def entry(token):
+        found = scorer.lexicon.match(t.core(token)) or (0 if token.isascii() else scorer.lexicon.match(t.folded(token)))
+        if found or not t.HIDDEN.search(token):
+            return found
+        token = t.STRETCHED.sub(r"\1\1\1", token)
+        forms = filter(None, (token, t.SIGN_EDGES.sub("", token), t.core(token)))
+        found = next(filter(None, (scorer.lexicon.match(t.decode(x, scorer.model)) for x in forms)), 0)
+        return found or (scorer.tree.masked(token) if "*" in token else 0)
+
+    def plain(text):
+        text = (text or "").lower()
+        entries = {entry(x) for x in text.split()} - {0}
+        for run in t.SET_APART.finditer(text):
+            entries.update(scorer.apart(run.group()))
+        return 1 / (1 + np.exp(-(base + sum(weights[i - 1] for i in sorted(entries)))))
+
+    texts = [r.text for r in small[:40]] + [None, "", " \n"]
+    stems = [w.rstrip("*") for w in words]
+    texts += [f"the {rng.choice(disguised(w, rng))} and {rng.choice(disguised(w, rng))} of" for w in stems if len(w) > 2 for _ in range(3)]
+    for text in texts:
+        if all(len(t.STRETCHED.sub(r"\1\1\1", x)) <= t.LONGEST for x in (text or "").split()):
+            assert abs(scorer.score(text) - plain(text)) < 1e-9, text
