@@ -98,3 +98,24 @@ def test_components_against_plain_search(spark):
                 label[a] = label[b] = min(label[a], label[b])
                 changed = True
     assert {r.node: r.label for r in found.collect()} == label
+
+
+def test_recall_of_pairs_just_above_the_similarity(spark):
+    """Pairs planted at 0.80 to 0.85 among texts without links: each is found."""
+    rng = random.Random(9)
+    rows, planted = [], []
+    for i in range(1500):
+        words = [f"w{i}x{k}" for k in range(rng.randrange(110, 400))]
+        size = len(words) - 3
+        changed = list(words)
+        # a changed word takes 4 shingles out of either set: similarity (size - 4 c) / (size + 4 c)
+        c = max(c for c in range(1, 40) if 100 * (size - 4 * c) >= 80 * (size + 4 * c))
+        for at in range(c):
+            changed[8 + at * ((len(words) - 16) // c)] = f"y{i}z{at}"
+        similarity = (size - 4 * c) / (size + 4 * c)
+        if similarity <= 0.85:
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+            planted.append(i)
+    found = {r.doc_id: r.component_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4).collect()}
+    assert len(planted) > 1000 and [i for i in planted if found[2 * i + 1] != 2 * i] == []
+    assert all(found[2 * i] == 2 * i for i in planted)
