@@ -257,7 +257,7 @@ FROM {sql('seen_recs')} r LEFT JOIN {sql('decided')} d USING (entity)"""
 SQL["review_visible"] = f"""WITH s AS (SELECT entity, 'rec' AS source FROM {sql('seen_recs')} WHERE n_occ > 0), a AS (SELECT * FROM s UNION SELECT entity, 'manual' FROM {sql('manual')} WHERE entity NOT IN (SELECT entity FROM s))
 SELECT * FROM a WHERE entity NOT IN (SELECT entity FROM {sql('decided')} WHERE rejected)"""
 SQL["review_set_token"] = f"SELECT entity, CASE WHEN entity = 'Same' OR shown = 'NAME_2' THEN 'NAME_2' ELSE token END AS token FROM {sql('decided')}"
-SQL["virtual_words"] = f"""SELECT page, line_id, word_index, text, left_ AS "left", right_ AS "right" FROM {sql('line_words')} UNION ALL SELECT page, line_id, 0, trim(content), left_, right_ FROM {sql('box_lines')} l ANTI JOIN {sql('line_words')} w USING (page, line_id)"""
+SQL["virtual_words"] = f"""SELECT page, line_id, word_index, text, left_ AS "left", right_ AS "right" FROM {sql('line_words')} UNION ALL SELECT page, line_id, 0, trim(content), left_, right_ FROM (SELECT * FROM {sql('box_lines')} WHERE trim(content) != '') l ANTI JOIN {sql('line_words')} w USING (page, line_id)"""
 SQL["words_stretched"] = f"""WITH w AS (SELECT *, min(left_) OVER p AS lo, max(right_) OVER p AS hi, max(top) OVER p - min(top) OVER p AS span FROM {sql('line_words')} WINDOW p AS (PARTITION BY page, line_id))
 SELECT w.page, w.line_id, word_index, round(CASE WHEN span <= 2 THEN l.left_ + (w.left_ - lo) * (l.right_ - l.left_) / CAST(hi - lo AS DOUBLE) ELSE w.left_ END, 6) AS "left", round(CASE WHEN span <= 2 THEN l.left_ + (w.right_ - lo) * (l.right_ - l.left_) / CAST(hi - lo AS DOUBLE) ELSE w.right_ END, 6) AS "right"
 FROM w JOIN {sql('box_lines')} l USING (page, line_id)"""

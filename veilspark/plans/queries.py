@@ -159,18 +159,24 @@ def match_cases(spark, sf_dir):
 
 def client_literals(spark, sf_dir):
     """Each client's three most frequent words of eight letters or more, and its detected values of eight characters or more."""
-    words = layout.words(lines(spark, sf_dir)).where(F.col("text").rlike("^[a-z]{8,}$")).groupBy("client_id", F.col("text").alias("entity")).count()
+    long = F.explode(F.regexp_extract_all("text", F.lit(r"(?<!\S)[a-z]{8,}(?!\S)"), F.lit(0)))
+    words = documents(spark, sf_dir).select(F.col("source").alias("client_id"), long.alias("entity")).groupBy("client_id", "entity").count()
     top = words.withColumn("n", F.row_number().over(Window.partitionBy("client_id").orderBy(F.col("count").desc(), "entity"))).where("n <= 3").select("client_id", "entity")
     docs = documents(spark, sf_dir)
     values = detect.detect(docs, patterns.ALL).join(docs.select("doc_id", F.col("source").alias("client_id")), "doc_id").where("char_length(value) >= 8 and instr(value, '\n') = 0").select("client_id", F.col("value").alias("entity")).distinct()
     return top.unionByName(values).distinct()
 
 
+def exact_hits(spark, sf_dir):
+    """The exact way over all documents; words are cut and numbered once."""
+    found = lines(spark, sf_dir)
+    words = stored(match.flat_words(layout.words(found)))
+    return match.exact(words, stored(match.prepared(client_literals(spark, sf_dir))), found)
+
+
 @query
 def match_exact(spark, sf_dir):
-    found = lines(spark, sf_dir)
-    words = match.flat_words(layout.words(found))
-    return _occurrences(match.exact(words, match.prepared(client_literals(spark, sf_dir)), found))
+    return _occurrences(exact_hits(spark, sf_dir))
 
 
 @query
@@ -256,8 +262,7 @@ def decisions_resolved(spark, sf_dir):
 
 @query
 def first_occurrence(spark, sf_dir):
-    found = lines(spark, sf_dir)
-    rows = match.exact(match.flat_words(layout.words(found)), match.prepared(client_literals(spark, sf_dir)), found)
+    rows = exact_hits(spark, sf_dir)
     return tokens.first_occurrence(rows, ["doc_id", "entity"]).select("doc_id", "entity", "page", F.col("top").cast("bigint").alias("top"), F.col("left").cast("bigint").alias("left"), "n_occ", "n_pages")
 
 
@@ -625,8 +630,7 @@ def _applied(spark):
 @query
 def redaction_boxes(spark, sf_dir):
     """Every box of the clients' literals in their documents, with tokens; account-like values have labels, others only blocks."""
-    found = lines(spark, sf_dir)
-    hits = stored(match.exact(match.flat_words(layout.words(found)), match.prepared(client_literals(spark, sf_dir)), found))
+    hits = stored(exact_hits(spark, sf_dir))
     first = hits.groupBy("doc_id", "entity").agg(F.min(F.struct("page", "top", "left")).alias("f"))
     values = tokens.assign(first.select("doc_id", "entity", F.when(F.col("entity").rlike("[0-9]"), "ACCOUNT_NUMBER").otherwise("PERSON").alias("category"), "f"), ["doc_id"], ["f", "entity"])
     boxes = tokens.box_list(hits, values.withColumn("tokenize", F.col("category") == "ACCOUNT_NUMBER"), ["doc_id"])

@@ -6,11 +6,14 @@ boxes exact. A client is a source, a document its id.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import scan
-
 LINES_A_PAGE = 50
 LINE_HEIGHT = 12
 CHAR_WIDTH = 6
@@ -25,10 +28,30 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("client_id", "doc_id", (F.floor(F.col("i") / LINES_A_PAGE) + 1).cast("int").alias("page"), line.alias("line_id"), "content", F.lit(MARGIN).alias("left"), (MARGIN + LINE_HEIGHT * line).alias("top"), (MARGIN + CHAR_WIDTH * F.char_length("content")).alias("right"), (MARGIN + LINE_HEIGHT * (line + 1)).alias("bottom"), F.lit(False).alias("is_ghost"), F.lit(0).alias("rotation"))
 
 
+WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each batch of lines (content last): the other columns of a word's line, word_index, text, and its first and last offset."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            found = [[(m.start(), m.end(), m.group()) for m in WORD.finditer(x or "")] for x in part.column(part.num_columns - 1).to_pylist()]
+            counts = np.array([len(x) for x in found])
+            row = np.repeat(np.arange(len(found)), counts)
+            flat = [x for words_ in found for x in words_]
+            columns = [c.take(pa.array(row)) for c in part.columns[:-1]]
+            columns.append(pa.array((np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)))
+            columns += [pa.array([x[2] for x in flat], pa.string()), *(pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "word_index", "text", "start", "end"])
+
+
 def words(line_table: DataFrame) -> DataFrame:
-    """One row per word of a line: word_index, id 'line.word', text, box."""
-    rows = line_table.select(*KEY, "line_id", "top", "bottom", F.posexplode(scan(F.col("content"), r"\S+")).alias("word_index", "w"))
-    return rows.select(*KEY, "line_id", "word_index", F.concat_ws(".", "line_id", "word_index").alias("id"), F.col("w.value").alias("text"), (MARGIN + CHAR_WIDTH * F.col("w.start")).alias("left"), (MARGIN + CHAR_WIDTH * F.col("w.end")).alias("right"), "top", "bottom")
+    """One row per word of a line: word_index, id 'line.word', text, box. Words are cut in Arrow batches: linear in the text, and nothing is shuffled."""
+    rows = line_table.select(*KEY, "line_id", "top", "bottom", "content")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "content")
+    rows = rows.mapInArrow(_word_rows, f"{kinds}, word_index int, text string, start int, end int")
+    return rows.select(*KEY, "line_id", "word_index", F.concat_ws(".", "line_id", "word_index").alias("id"), "text", (MARGIN + CHAR_WIDTH * F.col("start")).alias("left"), (MARGIN + CHAR_WIDTH * F.col("end")).alias("right"), "top", "bottom")
 
 
 def chars(word_table: DataFrame) -> DataFrame:
