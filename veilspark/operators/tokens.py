@@ -59,19 +59,18 @@ def assign(values: DataFrame, scope: list[str], order: list[str], *, by: str = "
 
 
 def with_explicit(values: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
-    """Tokens where some are given: a given token is kept, the others take the least numbers of their prefix that none has.
+    """Tokens where some are given, in order: a given token is kept and lifts its category's count to its number, the others take the next number.
 
-    The k-th free value takes the k-th number of 1, 2, ... that isn't given: numbers up to given ones plus free values
-    are enough, so a prefix is ranked once, without going through its values in turn.
+    After any value the count is the number of free values so far, or, counted on from a given number, that number and
+    the free values since: the greatest of these. Categories of one prefix count together. A free value may get the
+    number of a token that is given later; the two are aliases then.
     """
+    so_far = Window.partitionBy(*scope, "prefix").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = values.withColumn("prefix", prefix(F.col("category"))).withColumn("given", F.regexp_replace("token", r"^\[|\]$", ""))
-    free = rows.where("given is null").withColumn("k", F.row_number().over(Window.partitionBy(*scope, "prefix").orderBy(*order)))
-    taken = rows.where("given is not null").select(*scope, F.regexp_extract("given", r"^(.*)_(\d+)$", 1).alias("prefix"), F.regexp_extract("given", r"^(.*)_(\d+)$", 2).try_cast("int").alias("number")).where("number is not null").distinct()
-    # a given number m moves free ranks from m - (given numbers below it) on by one
-    taken = taken.withColumn("shift_from", F.col("number") - F.row_number().over(Window.partitionBy(*scope, "prefix").orderBy("number")) + 1)
-    moved = free.join(taken, [*scope, "prefix"], "left").groupBy(*free.columns).agg(F.count_if(F.col("shift_from") <= F.col("k")).alias("moved"))
-    auto = moved.select(*[c for c in values.columns if c != "token"], F.concat_ws("_", "prefix", (F.col("k") + F.col("moved")).cast("string")).alias("token"))
-    return auto.unionByName(rows.where("given is not null").select(*[c for c in values.columns if c != "token"], F.col("given").alias("token")))
+    rows = rows.withColumn("free", F.sum(F.col("given").isNull().cast("int")).over(so_far))
+    lift = F.max(F.regexp_extract("given", r"^[A-Z_]+_(\d+)$", 1).try_cast("int") - F.col("free")).over(so_far)
+    rows = rows.withColumn("number", F.col("free") + F.greatest(F.lit(0), F.coalesce(lift, F.lit(0))))
+    return rows.select(*[c for c in values.columns if c != "token"], F.coalesce("given", F.concat_ws("_", "prefix", F.col("number").cast("string"))).alias("token"))
 
 
 def token_conflicts(values: DataFrame, scope: list[str]) -> DataFrame:

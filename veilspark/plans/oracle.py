@@ -165,12 +165,12 @@ PREFIX = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PREFIX
 GIVEN = f"first AS (SELECT doc_id, value AS entity, min((start, category)) AS f FROM detected GROUP BY ALL), pre AS (SELECT doc_id, entity, f[2] AS category, f[1] AS start FROM first), given AS (SELECT doc_id, entity, category, {PREFIX} || '_' || row_number() OVER (PARTITION BY doc_id, {PREFIX} ORDER BY start, entity) AS token FROM pre)"
 SQL["token_assign"] = f"{DETECTED}, {GIVEN} SELECT * FROM given"
 EXPLICIT = f"""v AS (SELECT doc, ord, entity, {PREFIX} AS pre, regexp_replace(regexp_replace(token, '^\\[', ''), '\\]$', '') AS given FROM {sql('values')}),
-used AS (SELECT DISTINCT doc, regexp_extract(given, '^(.*)_(\\d+)$', 1) AS pre, CAST(regexp_extract(given, '^(.*)_(\\d+)$', 2) AS BIGINT) AS k FROM v WHERE given IS NOT NULL),
-cand AS (SELECT doc, pre, g.k, row_number() OVER (PARTITION BY doc, pre ORDER BY g.k) AS r FROM (SELECT DISTINCT doc, pre FROM v), (SELECT unnest(range(1, 50)) AS k) g WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc = v_doc(doc) AND u.pre = v_doc(pre) AND u.k = g.k)),
-tok AS (SELECT doc, ord, entity, given AS token FROM v WHERE given IS NOT NULL UNION ALL
-  SELECT f.doc, f.ord, f.entity, f.pre || '_' || c.k FROM (SELECT *, row_number() OVER (PARTITION BY doc, pre ORDER BY ord) AS r FROM v WHERE given IS NULL) f JOIN cand c ON c.doc = f.doc AND c.pre = f.pre AND c.r = f.r)""".replace("v_doc(doc)", "p.doc").replace("v_doc(pre)", "p.pre").replace("SELECT doc, pre, g.k,", "SELECT p.doc, p.pre, g.k,").replace("PARTITION BY doc, pre ORDER BY g.k", "PARTITION BY p.doc, p.pre ORDER BY g.k").replace("FROM (SELECT DISTINCT doc, pre FROM v),", "FROM (SELECT DISTINCT doc, pre FROM v) p,")
-SQL["token_explicit"] = f"WITH {EXPLICIT} SELECT * FROM tok"
-SQL["token_alias_groups"] = f"WITH {EXPLICIT} SELECT doc, token, arg_min(entity, (ord, entity)) AS canonical, string_agg(DISTINCT entity, '|' ORDER BY entity) AS entities FROM tok GROUP BY doc, token"
+seq AS (SELECT *, row_number() OVER (PARTITION BY doc, pre ORDER BY ord) AS i FROM v),
+count_on(doc, pre, i, c) AS (SELECT DISTINCT doc, pre, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM v UNION ALL
+  SELECT s.doc, s.pre, s.i, CASE WHEN s.given IS NULL THEN w.c + 1 ELSE greatest(w.c, coalesce(TRY_CAST(nullif(regexp_extract(s.given, '^[A-Z_]+_(\\d+)$', 1), '') AS BIGINT), 0)) END FROM count_on w JOIN seq s ON s.doc = w.doc AND s.pre = w.pre AND s.i = w.i + 1),
+tok AS (SELECT doc, ord, entity, coalesce(given, pre || '_' || c) AS token FROM seq JOIN count_on USING (doc, pre, i))"""
+SQL["token_explicit"] = f"WITH RECURSIVE {EXPLICIT} SELECT * FROM tok"
+SQL["token_alias_groups"] = f"WITH RECURSIVE {EXPLICIT} SELECT doc, token, arg_min(entity, (ord, entity)) AS canonical, string_agg(DISTINCT entity, '|' ORDER BY entity) AS entities FROM tok GROUP BY doc, token"
 SQL["token_next_free"] = f"""WITH t AS (SELECT DISTINCT doc, regexp_extract(token, '^\\[?([A-Z_]+)_(\\d+)\\]?$', 1) AS prefix, CAST(regexp_extract(token, '^\\[?([A-Z_]+)_(\\d+)\\]?$', 2) AS INTEGER) AS k FROM {sql('values')} WHERE token IS NOT NULL)
 SELECT doc, prefix, (SELECT min(g) FROM (SELECT unnest(range(1, 100)) AS g) WHERE g NOT IN (SELECT k FROM t u WHERE u.doc = t.doc AND u.prefix = t.prefix)) AS next_k FROM t GROUP BY doc, prefix"""
 SQL["token_maps"] = f"SELECT doc, token, entity AS value FROM (SELECT doc, entity, tokenize, {PREFIX} || '_' || row_number() OVER (PARTITION BY doc, {PREFIX} ORDER BY ord) AS token FROM {sql('values')}) WHERE tokenize"
@@ -270,7 +270,7 @@ SQL["font_ratio"] = f"""WITH s AS (SELECT * FROM (VALUES (1, 0, 'first line', 9.
 m AS (SELECT l.page, l.line_id, l.font_size / s.size AS r FROM {sql('box_lines')} l JOIN s ON s.page = l.page AND (s.text = trim(l.content) OR (len(trim(l.content)) >= 5 AND contains(s.text, trim(l.content))) OR (len(s.text) >= 5 AND contains(trim(l.content), s.text))) WHERE trim(l.content) != '' AND l.font_size > 0 QUALIFY row_number() OVER (PARTITION BY l.page, l.line_id ORDER BY s.ord) = 1)
 SELECT page, CASE WHEN abs(avg(r) - 1) > 0.01 THEN round(CAST(avg(r) AS DOUBLE), 6) ELSE 1.0 END AS ratio FROM m GROUP BY page"""
 SQL["token_conflicts"] = f"SELECT 1 AS doc, entity, count(DISTINCT token) AS tokens FROM (SELECT entity, token FROM {sql('values')} UNION ALL SELECT 'Bob', 'NAME_8') GROUP BY entity HAVING count(DISTINCT token) > 1"
-SQL["token_inherited"] = f"WITH {EXPLICIT} SELECT a.doc, a.variant AS entity, a.alias_of, t.token FROM (VALUES (1, 'Mr Bob', 'Bob'), (2, 'Ms Ann', 'Ann'), (2, 'x', 'Bob')) AS a(doc, variant, alias_of) JOIN tok t ON t.doc = a.doc AND t.entity = a.alias_of"
+SQL["token_inherited"] = f"WITH RECURSIVE {EXPLICIT} SELECT a.doc, a.variant AS entity, a.alias_of, t.token FROM (VALUES (1, 'Mr Bob', 'Bob'), (2, 'Ms Ann', 'Ann'), (2, 'x', 'Bob')) AS a(doc, variant, alias_of) JOIN tok t ON t.doc = a.doc AND t.entity = a.alias_of"
 SQL["regions_absorbed"] = f"SELECT entity, page, line_id FROM {sql('merge_sets')} r WHERE kind = 'R' AND NOT EXISTS (SELECT 1 FROM {sql('merge_sets')} u WHERE u.kind = 'U' AND u.entity = r.entity AND u.page = r.page AND u.line_id = r.line_id)"
 SQL["status_latched"] = f"SELECT id, CASE WHEN persisted = 'applied' THEN 'applied' ELSE 'analyzed' END AS status FROM {sql('status')}"
 SQL["documents_without_review"] = f"{DETECTED} SELECT source AS client_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM detected)"
