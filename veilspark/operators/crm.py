@@ -29,7 +29,7 @@ def union_literals(events: DataFrame) -> DataFrame:
 
     category: the last that isn't OTHER, or that a decision gives, or the first; tokenize: true if any says so (unsaid:
     the category is ACCOUNT_NUMBER); token: the last; rejected: true once a decision rejects it; first_seen: the first
-    stem. Rejecting decisions say nothing else, and an entity that only they name is no literal.
+    stem; without any category it is OTHER. Rejecting decisions say nothing else, and an entity that only they name is no literal.
     """
     said = events.withColumn("says", ~F.coalesce("rejected", F.lit(False)))
     at = F.struct("stem", "phase")
@@ -43,7 +43,7 @@ def union_literals(events: DataFrame) -> DataFrame:
         F.bool_or(~F.col("says")).alias("rejected"),
         F.min(F.when(F.col("says"), F.col("stem"))).alias("first_seen"),
     )
-    return rows.where("first_seen is not null").select("client_id", "entity", F.coalesce("told", "first").alias("category"), F.coalesce("tokenize", F.lit(False)).alias("tokenize"), "token", "rejected", "first_seen")
+    return rows.where("first_seen is not null").select("client_id", "entity", F.coalesce("told", "first", F.lit("OTHER")).alias("category"), F.coalesce("tokenize", F.lit(False)).alias("tokenize"), "token", "rejected", "first_seen")
 
 
 def carry_forward(union: DataFrame, prior: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -119,8 +119,13 @@ def title_aliases(page_texts: DataFrame, persons: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.concat(F.regexp_replace("m.value", r"\s+$", ""), F.lit(" "), "entity").alias("variant"), F.col("entity").alias("alias_of")).distinct()
 
 
-def initial_aliases(persons: DataFrame) -> DataFrame:
-    """doc_id, variant, alias_of: persons without the stops after their initials, unless that is a known entity already."""
+def initial_aliases(persons: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """doc_id, variant, alias_of: persons without the stops after their initials, unless that is a known entity already.
+
+    Persons that are aliases themselves (aliases: doc_id, variant) have none of their own.
+    """
+    if aliases is not None:
+        persons = persons.join(aliases.select("doc_id", F.col("variant").alias("entity")), ["doc_id", "entity"], "left_anti")
     rows = persons.select("doc_id", F.regexp_replace("entity", r"\b([A-Z])\.(?=\s|$)", "$1").alias("variant"), F.col("entity").alias("alias_of")).where("variant != alias_of")
     known = persons.select("doc_id", F.col("entity").alias("variant"))
     return rows.join(known, ["doc_id", "variant"], "left_anti")

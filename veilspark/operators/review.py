@@ -85,6 +85,14 @@ def selection_boxes(words: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("page", "line_id", F.when(F.col("a") == F.col("lo"), F.col("l")).otherwise(F.col("x0")).alias("left"), "top", F.when(F.col("b") == F.col("hi"), F.col("r")).otherwise(F.col("x1")).alias("right"), "bottom")
 
 
+def with_matches(boxes: DataFrame, matches: DataFrame) -> DataFrame:
+    """Boxes of a selection and the matches of its text in other lines: a line that the selection touches keeps the selection's box, others one match each."""
+    key = ["page", "line_id"]
+    first = Window.partitionBy(*key).orderBy("left", "top")
+    other = matches.join(boxes.select(*key), key, "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return boxes.unionByName(other.select(*boxes.columns))
+
+
 def overlay(rows: DataFrame, use_derived: bool) -> DataFrame:
     """Boxes with the derived edges where there are any and they are wanted."""
     if not use_derived:

@@ -158,6 +158,15 @@ def hit(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return points.select("point").join(best, "point", "left")
 
 
+def hit_word(points: DataFrame, boxes: DataFrame, words: DataFrame) -> DataFrame:
+    """For each point the smallest box that it lies in, and of that box's words (page, box, word, sides) the smallest that holds the point."""
+    found = points.join(hit(points, boxes), "point")
+    w = words.select("page", "box", "word", *(F.col(c).alias(f"w_{c}") for c in ("left", "top", "right", "bottom")))
+    rows = found.join(w, ["page", "box"]).where("x >= w_left and x <= w_right and y >= w_top and y <= w_bottom")
+    best = first_by(rows, ["point"], [(F.col("w_right") - F.col("w_left")) * (F.col("w_bottom") - F.col("w_top")), "word"]).select("point", "word")
+    return found.select("point", "box").join(best, "point", "left")
+
+
 def nearest_line(points: DataFrame, lines: DataFrame, tolerance: float = 12.0) -> DataFrame:
     """For each point the line whose corner is nearest, horizontal and vertical distance together at most the tolerance."""
     rows = points.join(lines.select("page", "line_id", "left", "top"), "page").withColumn("d", F.abs(F.col("x") - F.col("left")) + F.abs(F.col("y") - F.col("top"))).where(F.col("d") <= tolerance)

@@ -45,6 +45,16 @@ def resolve(decisions: DataFrame, manual: DataFrame, recs: DataFrame) -> DataFra
     return both.unionByName(c)
 
 
+NOWHERE = (999, 1e9, 1e9)  # fixed value: page, top and left of what occurs nowhere
+
+
+def first_or_nowhere(entities: DataFrame, occurrences: DataFrame, key: list[str]) -> DataFrame:
+    """first_occurrence of all entities; those without any sort after all others."""
+    found = entities.join(first_occurrence(occurrences, key), key, "left")
+    page, top, left = (F.coalesce(F.col(c).cast("double"), F.lit(float(x))).alias(c) for c, x in zip(("page", "top", "left"), NOWHERE, strict=True))
+    return found.select(*key, page, top, left, F.coalesce("n_occ", F.lit(0).cast("bigint")).alias("n_occ"))
+
+
 def first_occurrence(occurrences: DataFrame, key: list[str]) -> DataFrame:
     """page, top and left of each entity's first occurrence in reading order."""
     rows = occurrences.groupBy(*key).agg(F.min(F.struct("page", "top", "left")).alias("f"), F.count("*").alias("n_occ"), F.count_distinct("page").alias("n_pages"))

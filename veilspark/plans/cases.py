@@ -46,7 +46,7 @@ TABLES: dict[str, tuple[str, str]] = {
     "page_texts": ("doc_id, page, text", "(1,1,'Dear Mr. Bob and Mrs Ann Lee'),(1,2,'MISS  ann lee met Dr Bob. mr bob'),(2,1,'Prof. J. R. Doe wrote; Sir Nobody'),(2,3,'J. R. Doe again')"),
     "persons": ("doc_id, page, entity", "(1,1,'Bob'),(1,1,'Ann Lee'),(2,1,'J. R. Doe'),(2,2,'J R Doe'),(2,3,'A. B'),(3,1,'Q. Z. Who')"),
     "recs": ("client_id, stem, entity, category, tokenize, token, rejected, n_occ", "('C1','a','Bob','OTHER',CAST(NULL AS BOOLEAN),CAST(NULL AS VARCHAR(20)),CAST(NULL AS BOOLEAN),2),('C1','a','123-4567','ACCOUNT_NUMBER',NULL,'ACCOUNT_1',NULL,1),('C1','b','Bob','PERSON',true,NULL,NULL,1),('C1','b','Zed','PERSON',NULL,NULL,NULL,0),('C1','c','Bob','OTHER',false,'NAME_9',NULL,3),('C1','c','Ann','PERSON',NULL,NULL,NULL,1),('C2','a','Ann','OTHER',NULL,NULL,NULL,1),('C2','b','Ann','ADDRESS',NULL,NULL,NULL,2),('C2','b','Nope','REJECT',NULL,NULL,NULL,2)"),
-    "manual": ("client_id, stem, entity, category, tokenize, token", "('C1','a','By Hand','OTHER',true,CAST(NULL AS VARCHAR(20))),('C1','b','By Hand','ADDRESS',NULL,NULL),('C2','b','Extra','PERSON',NULL,'NAME_3')"),
+    "manual": ("client_id, stem, entity, category, tokenize, token", "('C1','a','By Hand','OTHER',true,CAST(NULL AS VARCHAR(20))),('C1','b','By Hand','ADDRESS',NULL,NULL),('C2','b','Extra','PERSON',NULL,'NAME_3'),('C2','b','Untold',NULL,NULL,NULL)"),
     "decisions": ("client_id, stem, entity, category, tokenize, token, rejected", "('C1','a','Bob','OTHER',CAST(NULL AS BOOLEAN),CAST(NULL AS VARCHAR(20)),CAST(NULL AS BOOLEAN)),('C1','b','Zed','PERSON',NULL,NULL,NULL),('C1','c','Ann','PERSON',NULL,NULL,true),('C1','c','Dangling','PERSON',true,NULL,NULL),('C1','c','Bob','PERSON',NULL,NULL,true),('C2','b','Ann','OTHER',true,'OTHER_1',NULL),('C2','b','Extra','PERSON',NULL,NULL,true)"),
     "prior": ("client_id, entity, category, tokenize, token, rejected, first_seen", "('C1','Old One','PERSON',true,CAST('NAME_4' AS VARCHAR(20)),false,'z'),('C1','Bob','OTHER',NULL,NULL,NULL,'z'),('C1','123-4567','ACCOUNT_NUMBER',false,'ACCOUNT_1',false,'z'),('C2','Gone','OTHER',true,NULL,true,'y'),('C3','Only','ADDRESS',false,NULL,false,'x')"),
     "deleted": ("client_id, entity", "('C2','Gone'),('C1','123-4567')"),

@@ -135,8 +135,8 @@ EVENTS = f"""held AS (SELECT DISTINCT client_id, stem, entity FROM {sql('recs')}
 ev AS (SELECT client_id, stem, entity, category, tokenize, token, CAST(NULL AS BOOLEAN) AS rejected, 0 AS phase FROM {sql('recs')} WHERE n_occ > 0
   UNION ALL SELECT client_id, stem, entity, category, tokenize, token, NULL, 1 FROM {sql('manual')}
   UNION ALL SELECT d.client_id, d.stem, d.entity, d.category, d.tokenize, d.token, d.rejected, 2 FROM {sql('decisions')} d SEMI JOIN held USING (client_id, stem, entity)),
-e AS (SELECT *, NOT coalesce(rejected, false) AS says FROM ev WHERE category != 'REJECT'),
-uni AS (SELECT client_id, entity, coalesce(arg_max(category, (stem, phase)) FILTER (says AND (category != 'OTHER' OR phase = 2)), arg_min(category, (stem, phase)) FILTER (says)) AS category, coalesce(bool_or(coalesce(tokenize, category = 'ACCOUNT_NUMBER')) FILTER (says), false) AS tokenize,
+e AS (SELECT *, NOT coalesce(rejected, false) AS says FROM ev WHERE category IS DISTINCT FROM 'REJECT'),
+uni AS (SELECT client_id, entity, coalesce(arg_max(category, (stem, phase)) FILTER (says AND (category != 'OTHER' OR phase = 2)), arg_min(category, (stem, phase)) FILTER (says), 'OTHER') AS category, coalesce(bool_or(coalesce(tokenize, category = 'ACCOUNT_NUMBER')) FILTER (says), false) AS tokenize,
   arg_max(token, (stem, phase)) FILTER (says AND token IS NOT NULL) AS token, bool_or(NOT says) AS rejected, min(stem) FILTER (says) AS first_seen FROM e GROUP BY client_id, entity HAVING min(stem) FILTER (says) IS NOT NULL),
 saved AS (SELECT * FROM (SELECT * FROM uni UNION ALL SELECT * FROM {sql('prior')} p WHERE NOT EXISTS (SELECT 1 FROM uni WHERE uni.client_id = p.client_id AND uni.entity = p.entity)) a ANTI JOIN {sql('deleted')} USING (client_id, entity))"""
 SQL["crm_union"] = f"WITH {EVENTS} SELECT * FROM uni"
@@ -316,3 +316,11 @@ start AS (SELECT f.client_id, f.doc_id, f.page, l.entity, l.try, f.vpos AS run,
 ok AS (SELECT * FROM start WHERE try = 0 UNION ALL SELECT s.* FROM start s WHERE try = 1 AND (s.doc_id, s.entity) NOT IN (SELECT (doc_id, entity) FROM start WHERE try = 0)),
 boxes AS (SELECT o.doc_id, o.page, o.entity, o.run, f.line_id, min(word_index) AS a, max(word_index) AS b, any_value(lo) AS lo, any_value(hi) AS hi, min(f."left") AS l, max(f."right") AS r FROM ok o JOIN vw f ON f.doc_id = o.doc_id AND f.page = o.page AND f.vpos BETWEEN o.run AND o.run + o.n - 1 GROUP BY ALL)
 SELECT b.doc_id, b.page, b.entity, b.line_id, CAST(CASE WHEN a = lo THEN s."left" ELSE l END AS BIGINT) AS "left", CAST(s.top AS BIGINT) AS top, CAST(CASE WHEN b.b = hi THEN s."right" ELSE r END AS BIGINT) AS "right", CAST(s.bottom AS BIGINT) AS bottom FROM boxes b JOIN lines s ON s.doc_id = b.doc_id AND s.page = b.page AND s.line_id = b.line_id"""
+
+SQL["hit_words"] = f"""WITH h AS (SELECT p.point, p.page, p.x, p.y, b.ord AS box FROM {sql('points')} p LEFT JOIN {sql('boxes')} b ON b.page = p.page AND p.x BETWEEN b.left_ AND b.right_ AND p.y BETWEEN b.top AND b.bottom QUALIFY row_number() OVER (PARTITION BY p.point ORDER BY (b.right_ - b.left_) * (b.bottom - b.top), b.ord) = 1)
+SELECT h.point, h.box, w.line_id * 10 + w.word_index AS word FROM h LEFT JOIN {sql('line_words')} w ON h.box = 1 AND w.page = h.page AND h.x BETWEEN w.left_ AND w.right_ AND h.y BETWEEN 0 AND w.line_id * 16 QUALIFY row_number() OVER (PARTITION BY h.point ORDER BY (w.right_ - w.left_) * w.line_id * 16, w.line_id * 10 + w.word_index) = 1"""
+SQL["entities_nowhere"] = f"""WITH m AS (SELECT * FROM {sql('merge_sets')}), f AS (SELECT entity, min((page, line_id * 12)) AS f, count(*) AS n FROM m WHERE kind = 'U' GROUP BY entity)
+SELECT entity, CAST(coalesce(f[1], 999) AS DOUBLE) AS page, CAST(coalesce(f[2], 1e9) AS DOUBLE) AS top, CASE WHEN f IS NULL THEN 1e9 ELSE 50.0 END::DOUBLE AS "left", coalesce(n, 0) AS n_occ FROM (SELECT DISTINCT entity FROM m) LEFT JOIN f USING (entity)"""
+SQL["selection_with_matches"] = f"""WITH s AS ({SQL["selection_boxes"]})
+SELECT page, line_id, CAST("left" AS INTEGER) AS "left" FROM s UNION ALL SELECT page, line_id, left_ FROM {sql('box_lines')} WHERE page = 1 AND (page, line_id) NOT IN (SELECT (page, line_id) FROM s)"""
+SQL["initial_alias_chain"] = "SELECT * FROM (" + SQL["initial_alias"] + ") WHERE alias_of != 'Q. Z. Who'"

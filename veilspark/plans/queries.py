@@ -423,6 +423,32 @@ def hit_test(spark, sf_dir):
     return spatial.hit(table(spark, "points"), table(spark, "boxes"))
 
 
+@query
+def hit_words(spark, sf_dir):
+    words = table(spark, "line_words").select("page", F.lit(1).alias("box"), (F.col("line_id") * 10 + F.col("word_index")).alias("word"), "left", F.lit(0).alias("top"), "right", (F.col("line_id") * 16).alias("bottom"))
+    return spatial.hit_word(table(spark, "points"), table(spark, "boxes"), words)
+
+
+@query
+def entities_nowhere(spark, sf_dir):
+    seen = table(spark, "merge_sets").where("kind = 'U'").select("entity", "page", (F.col("line_id") * 12).alias("top"), F.lit(50).alias("left"))
+    return tokens.first_or_nowhere(table(spark, "merge_sets").select("entity").distinct(), seen, ["entity"])
+
+
+@query
+def selection_with_matches(spark, sf_dir):
+    boxes = review.selection_boxes(table(spark, "line_words"), table(spark, "box_lines"))
+    matches = table(spark, "box_lines").where("page = 1").select("page", "line_id", F.explode(F.array(F.col("left"), F.col("left") + 1)).alias("left"), "top", "right", "bottom")
+    return review.with_matches(boxes, matches).select("page", "line_id", F.col("left").cast("int").alias("left"))
+
+
+@query
+def initial_alias_chain(spark, sf_dir):
+    """Persons of whom one is an alias: it has no variant of its own."""
+    persons = table(spark, "persons")
+    return detect.initial_aliases(persons, spark.sql("SELECT 3 AS doc_id, 'Q. Z. Who' AS variant"))
+
+
 @query
 def line_nearest(spark, sf_dir):
     return spatial.nearest_line(table(spark, "points"), table(spark, "box_lines"))
