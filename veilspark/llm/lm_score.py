@@ -20,7 +20,8 @@ The folder in spark.checkpoint.dir has to be a mounted file system. Files are wr
 then moved into place, so a task that runs again does no harm.
 
 Defined cases: a null text counts as empty and is its end alone; a null id counts as '' in the fold; without training
-text the model is uniform over one token and all scores are 0; every row is scored, repeated ones too.
+text the model is uniform over one token and all scores are 0; every row is scored, repeated ones too; very long texts
+are counted and scored whole; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ from veilspark.llm.common import Scratch, WordHashes, ascii_words, mix, worker_t
 
 END = b" end"  # no word holds a space
 BYTES_A_SHARD = 12 << 20  # of text
-MOST_SHARDS = 1 << 16
+MOST_SHARDS = 1 << 21  # beyond 25 TB of text a shard holds more than BYTES_A_SHARD
+MOST_RANGES = 1 << 10  # of ids: a shard of pairs sends a row to each at most
 TOKENS_A_FLUSH = 4_000_000
 TOKENS_A_CHUNK = 500_000
 CACHED_IDS = 400_000
@@ -175,7 +177,8 @@ class Layout:
             raise ValueError("more than 2**32 distinct words")
         least = self.n / (4 * self.shards)
         self.hot = np.array(sorted(int(self.offsets[r["shard"]]) + i + 1 for r in rows for i, c in zip(r["hot"], r["hot_n"], strict=True) if c > least), np.uint64)
-        self.width = self.v // self.shards + 1  # ids of a range
+        self.ranges = min(self.shards, MOST_RANGES)
+        self.width = self.v // self.ranges + 1  # ids of a range
         self.discounts = self.unigram = None
         self.contexts = 0
 
@@ -248,8 +251,8 @@ def _write_pairs(table: pa.Table, layout: Layout) -> pa.Table:
     words, continues = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
     rows = [(2, 0, b"", packed(np.array([(counts == i).sum() for i in (1, 2, 3, 4)] + [len(keys)], np.int64)))]
     for kind, names, values in ((0, context[first], sums), (1, words, continues[None, :])):
-        edges = np.searchsorted(names, np.arange(0, layout.shards + 1, dtype=np.uint64) * np.uint64(layout.width))
-        for r in range(layout.shards):
+        edges = np.searchsorted(names, np.arange(0, layout.ranges + 1, dtype=np.uint64) * np.uint64(layout.width))
+        for r in range(layout.ranges):
             a, b = edges[r], edges[r + 1]
             if b > a:
                 rows.append((kind, r, packed_sorted(names[a:b]), packed(narrow(values[:, a:b].reshape(-1)))))
