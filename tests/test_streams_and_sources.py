@@ -53,3 +53,15 @@ def test_offsets_and_overlapping_spans(spark):
 def test_status_changes(spark):
     rows = spark.createDataFrame([("c", 1, 1, "a", None), ("c", 1, 2, "a", None), ("c", 1, 3, "b", None), ("c", 2, 1, "x", "m")], "client_id string, doc_id int, at int, status string, message string")
     assert [(r.doc_id, r.at) for r in ingest.status_changes(rows).collect()] == [(1, 3)]
+
+
+def test_new_files_are_registered_once(spark, tmp_path):
+    for client, name in (("C1", "a.pdf"), ("C1", "b.pdf"), ("C2", "a.pdf"), ("C2", "notes.txt")):
+        (tmp_path / "in" / client).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / client / name).write_bytes(b"x" * 5)
+    spark.createDataFrame([("C1", "a")], "client_id string, stem string").write.parquet(f"{tmp_path}/reviews")
+    run = lambda: ingest.register_files(ingest.stream_files(spark, f"{tmp_path}/in"), f"{tmp_path}/reviews", f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    run()
+    (tmp_path / "in" / "C2" / "late.pdf").write_bytes(b"yy")
+    run()
+    assert sorted((r.client_id, r.stem, r.length) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("C1", "b", 5), ("C2", "a", 5), ("C2", "late", 2)]

@@ -32,6 +32,12 @@ def path_verdicts(lines: DataFrame, existing: DataFrame) -> DataFrame:
     return found.select("ord", "path", verdict.alias("verdict"))
 
 
+def upload_name(name: Column) -> Column:
+    """The name under which an upload is stored: the last part of its path, only PDFs; null where it is refused. A file of that name is replaced."""
+    base = F.element_at(F.split(F.regexp_replace(F.coalesce(name, F.lit("")), r"\\", "/"), "/"), -1)
+    return F.when(F.lower(base).endswith(".pdf"), base)
+
+
 def served_file(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """id and the file to show: the cleaned output, else the source, else the output of that name; a path that climbs has none.
 

@@ -85,6 +85,12 @@ def selection_boxes(words: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("page", "line_id", F.when(F.col("a") == F.col("lo"), F.col("l")).otherwise(F.col("x0")).alias("left"), "top", F.when(F.col("b") == F.col("hi"), F.col("r")).otherwise(F.col("x1")).alias("right"), "bottom")
 
 
+def snapshot(decisions: DataFrame, shown: DataFrame) -> DataFrame:
+    """Decisions as they are saved: those that keep their entity get in writing the token that the reviewer sees (shown: entity, token), unless they have one."""
+    rows = decisions.join(shown.select("entity", F.regexp_replace("token", r"^\[|\]$", "").alias("seen")), "entity", "left")
+    return rows.withColumn("token", F.when(F.coalesce("rejected", F.lit(False)), F.col("token")).otherwise(F.coalesce("token", "seen"))).drop("seen")
+
+
 def with_matches(boxes: DataFrame, matches: DataFrame) -> DataFrame:
     """Boxes of a selection and the matches of its text in other lines: a line that the selection touches keeps the selection's box, others one match each."""
     key = ["page", "line_id"]

@@ -324,3 +324,9 @@ SELECT entity, CAST(coalesce(f[1], 999) AS DOUBLE) AS page, CAST(coalesce(f[2],
 SQL["selection_with_matches"] = f"""WITH s AS ({SQL["selection_boxes"]})
 SELECT page, line_id, CAST("left" AS INTEGER) AS "left" FROM s UNION ALL SELECT page, line_id, left_ FROM {sql('box_lines')} WHERE page = 1 AND (page, line_id) NOT IN (SELECT (page, line_id) FROM s)"""
 SQL["initial_alias_chain"] = "SELECT * FROM (" + SQL["initial_alias"] + ") WHERE alias_of != 'Q. Z. Who'"
+
+SQL["review_json_roundtrip"] = f"SELECT client_id, stem, stem || '-' || entity AS id, entity, category, tokenize, token, CAST(n_occ AS BIGINT) AS n_occ, n_occ > 1 AS consensus_passed FROM {sql('recs')}"
+SQL["review_json_decisions"] = f"SELECT client_id, stem, entity, category, tokenize, token, rejected FROM {sql('decisions')}"
+SQL["config_json_roundtrip"] = f"{DETECTED}, {SRC}, {LINES}, {WORDS}, {LITERALS} SELECT client_id, entity, 'OTHER' AS category, false AS rejected FROM lits"
+SQL["upload_names"] = "SELECT * FROM (VALUES (1, 'a.pdf'), (2, 'b.PDF'), (3, NULL), (4, NULL), (5, NULL), (6, 'e.pdf')) AS t(id, stored)"
+SQL["review_snapshot"] = f"SELECT entity, CASE WHEN coalesce(rejected, false) THEN token ELSE coalesce(token, shown) END AS token, rejected FROM {sql('decided')}"

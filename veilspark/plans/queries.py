@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import patterns, text
 from veilspark.operators import crm, detect, files, match, pipelines, redact, review, spatial, tokens
 from veilspark.plans.cases import CASES, MATCH_DOCS, table
-from veilspark.sources import layout
+from veilspark.sources import layout, reviews
 from veilspark.sources.tables import stored
 from veilspark.streaming import ingest
 
@@ -423,6 +423,44 @@ def hit_test(spark, sf_dir):
     return spatial.hit(table(spark, "points"), table(spark, "boxes"))
 
 
+def identified(spark):
+    return table(spark, "recs").withColumn("id", F.concat_ws("-", "stem", "entity")).withColumn("consensus_passed", F.col("n_occ") > 1)
+
+
+@query
+def review_json_roundtrip(spark, sf_dir):
+    """Recommendations through the JSON of their reviews and back."""
+    shells = reviews.review_json(identified(spark), table(spark, "manual"), table(spark, "decisions"))
+    return reviews.recommendations(reviews.parsed(shells.select("review"), "review", reviews.REVIEW))
+
+
+@query
+def review_json_decisions(spark, sf_dir):
+    shells = reviews.review_json(identified(spark), table(spark, "manual"), table(spark, "decisions"))
+    broken = shells.select("review").unionByName(spark.sql("SELECT '{nope' AS review UNION ALL SELECT '[]' UNION ALL SELECT CAST(NULL AS STRING)"))
+    return reviews.decisions(reviews.parsed(broken, "review", reviews.REVIEW))
+
+
+@query
+def config_json_roundtrip(spark, sf_dir):
+    """The clients' literals in documents through their configurations and back."""
+    rows = client_literals(spark, sf_dir).select("client_id", "entity", F.lit("OTHER").alias("category"), F.lit(False).alias("tokenize"), F.lit(None).cast("string").alias("token"), F.lit(False).alias("rejected"), F.lit("a").alias("first_seen"))
+    configs = reviews.config_json(rows, "2024-01-01T00:00:00")
+    return reviews.literals(reviews.parsed(configs.select("config"), "config", reviews.CONFIG)).select("client_id", "entity", "category", "rejected")
+
+
+@query
+def upload_names(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM (VALUES (1, 'a.pdf'), (2, 'up/../b.PDF'), (3, 'c.txt'), (4, NULL), (5, 'd.pdf/'), (6, 'C:/x/e.pdf')) AS t(id, name)")
+    return rows.select("id", files.upload_name(F.col("name")).alias("stored"))
+
+
+@query
+def review_snapshot(spark, sf_dir):
+    rows = table(spark, "decided")
+    return review.snapshot(rows.drop("shown"), rows.select("entity", F.concat(F.lit("["), "shown", F.lit("]")).alias("token"))).select("entity", "token", "rejected")
+
+
 @query
 def hit_words(spark, sf_dir):
     words = table(spark, "line_words").select("page", F.lit(1).alias("box"), (F.col("line_id") * 10 + F.col("word_index")).alias("word"), "left", F.lit(0).alias("top"), "right", (F.col("line_id") * 16).alias("bottom"))

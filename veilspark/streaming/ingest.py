@@ -15,6 +15,25 @@ def stream_documents(spark: SparkSession, folder: str, schema: str, *, files_a_b
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
+def stream_files(spark: SparkSession, folder: str, *, suffix: str = ".pdf") -> DataFrame:
+    """client_id (the folder above the file), stem, path, length and bytes of files that appear below a folder's clients; each is read once."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
+    parts = F.split("path", "/")
+    return rows.select(F.element_at(parts, -2).alias("client_id"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("stem"), "path", "length", "content")
+
+
+def register_files(files: DataFrame, reviews: str, out: str, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
+    """Appends the files that have no review yet (a Parquet table of client_id, stem at `reviews`) to the table at `out`: all that
+    has arrived, or again and again `every` so often ("15 seconds")."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession.read.parquet(reviews).select("client_id", "stem").distinct()
+        batch.drop("content").join(known, ["client_id", "stem"], "left_anti").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def detect_stream(docs: DataFrame, out: str, checkpoint: str, recognizers: list[Recognizer] | None = None) -> StreamingQuery:
     """Writes the detected spans of all that has arrived, then ends. The scan has no state, so a batch is one pass without a shuffle."""
     found = detect.detect(docs, ALL if recognizers is None else recognizers)
