@@ -1,13 +1,32 @@
-"""Joins of boxes: nearest words, best spans, containment, cuts at rules, cells, hit tests. Equi-joins on the page first."""
+"""Joins of boxes: nearest words, best spans, containment, cuts at rules, cells, hit tests.
+
+Boxes meet in equi-joins on the page and on bands of BAND points of its height, so that a page with very many boxes is
+many tasks' work and a box is held only against those near it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import iou, overlap_area
 
 
+BAND = 48
+
+
+def _in_bands(rows: DataFrame, top: Column, bottom: Column, first: str) -> DataFrame:
+    """rows once for each band between top and bottom; `first` is the first of these."""
+    lo = F.floor(top / BAND)
+    return rows.withColumn(first, lo).withColumn("_band", F.explode(F.sequence(lo, F.greatest(lo, F.floor(bottom / BAND)))))
+
+
+def near(a: DataFrame, a_top: Column, a_bottom: Column, b: DataFrame, b_top: Column, b_bottom: Column) -> DataFrame:
+    """Pairs of rows of one page whose heights share a band, each pair once: in the first band that both have."""
+    pairs = _in_bands(a, a_top, a_bottom, "_first_a").join(_in_bands(b, b_top, b_bottom, "_first_b"), ["page", "_band"])
+    return pairs.where(F.col("_band") == F.greatest("_first_a", "_first_b")).drop("_band", "_first_a", "_first_b")
+
+
 def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
@@ -29,7 +48,7 @@ def best_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """Each line with the span that it shares the largest part of the union with; the first of equals; none without overlap."""
     s = spans.select("page", F.col("ord").alias("span"), *(F.col(c).alias(f"s_{c}") for c in ("left", "top", "right", "bottom")))
     box = [F.col(c) for c in ("left", "top", "right", "bottom")]
-    rows = lines.join(s, "page").withColumn("iou", iou(box, [F.col(f"s_{c}") for c in ("left", "top", "right", "bottom")])).where("iou > 0")
+    rows = near(lines, F.col("top"), F.col("bottom"), s, F.col("s_top"), F.col("s_bottom")).withColumn("iou", iou(box, [F.col(f"s_{c}") for c in ("left", "top", "right", "bottom")])).where("iou > 0")
     best = first_by(rows, ["line_id"], [F.col("iou").desc(), "span"]).select("line_id", "span", "iou")
     return lines.select("line_id").join(best, "line_id", "left")
 
@@ -39,7 +58,7 @@ def contained_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     w = words.select("page", F.col("id").alias("word_id"), *(F.col(c).alias(f"w_{c}") for c in ("left", "top", "right", "bottom")))
     tol = F.greatest(F.lit(2.0), F.col("font_size") * 0.1)
     inside = (F.col("w_left") >= F.col("left") - tol) & (F.col("w_right") <= F.col("right") + tol) & (F.col("w_top") >= F.col("top") - tol) & (F.col("w_bottom") <= F.col("bottom") + tol)
-    return lines.join(w, "page").where(inside).select("line_id", "word_id")
+    return near(lines, F.col("top") - tol, F.col("bottom") + tol, w, F.col("w_top"), F.col("w_bottom")).where(inside).select("line_id", "word_id")
 
 
 def _segments(cut: DataFrame) -> DataFrame:
@@ -62,13 +81,13 @@ def cut_at_rules(lines: DataFrame, rules: DataFrame, chars: DataFrame) -> DataFr
     """
     r = rules.where("abs(y1 - y0) > 5").select("page", F.col("x").cast("double").alias("x"), F.least("y0", "y1").alias("y0"), F.greatest("y0", "y1").alias("y1"))
     mid = (F.col("top") + F.col("bottom")) / 2
-    crossing = lines.join(r, "page").where((F.col("x") > F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y0") <= mid) & (F.col("y1") >= mid))
+    crossing = near(lines, mid, mid, r, F.col("y0"), F.col("y1")).where((F.col("x") > F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y0") <= mid) & (F.col("y1") >= mid))
     cuts = crossing.groupBy("page", "line_id", "left", "top", "right", "bottom").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     edges = cuts.withColumn("e", F.concat(F.array(F.col("left").cast("double")), "xs", F.array((F.col("right") + 1).cast("double"))))
     parts = edges.select("page", "line_id", "left", "top", "right", "bottom", F.posexplode(F.expr("transform(slice(e, 1, size(e) - 1), (a, i) -> struct(a as a, e[i + 1] as b))")).alias("part", "p"))
-    near = (F.col("char_top") >= F.col("top") - 3) & (F.col("char_top") <= F.col("bottom") + 3) & (F.col("char_left") >= F.col("left") - 2) & (F.col("char_left") <= F.col("right") + 2)
-    here = near & (F.col("char_left") >= F.col("p.a") - 1) & (F.col("char_left") < F.col("p.b"))
-    cut = _segments(parts.join(_chars(chars), "page").where(here).drop("left", "top", "right", "bottom"))
+    close = (F.col("char_top") >= F.col("top") - 3) & (F.col("char_top") <= F.col("bottom") + 3) & (F.col("char_left") >= F.col("left") - 2) & (F.col("char_left") <= F.col("right") + 2)
+    here = close & (F.col("char_left") >= F.col("p.a") - 1) & (F.col("char_left") < F.col("p.b"))
+    cut = _segments(near(parts, F.col("top") - 3, F.col("bottom") + 3, _chars(chars), F.col("char_top"), F.col("char_top")).where(here).drop("left", "top", "right", "bottom"))
     whole = lines.join(cut.select("page", "line_id").distinct(), ["page", "line_id"], "left_anti").select("page", "line_id", F.lit(0).alias("part"), "content", "left", "top", "right", "bottom")
     return whole.unionByName(cut)
 
@@ -80,10 +99,10 @@ def cut_at_cells(lines: DataFrame, cell_table: DataFrame, chars: DataFrame) -> D
     """
     c = cell_table.select("page", F.col("left").cast("double").alias("x"), F.col("top").alias("c_top"), F.col("bottom").alias("c_bottom"))
     mid = (F.col("top") + F.col("bottom")) / 2
-    crossing = lines.where("trim(content) != ''").join(c, "page").where((F.col("left") < F.col("x")) & (F.col("x") < F.col("right")) & (F.col("c_top") <= mid) & (mid <= F.col("c_bottom")))
+    crossing = near(lines.where("trim(content) != ''"), mid, mid, c, F.col("c_top"), F.col("c_bottom")).where((F.col("left") < F.col("x")) & (F.col("x") < F.col("right")) & (F.col("c_top") <= mid) & (mid <= F.col("c_bottom")))
     cuts = crossing.groupBy("page", "line_id", "left", "top", "right").agg(F.array_sort(F.collect_set("x")).alias("xs"))
-    near = (F.abs(F.col("char_top") - F.col("top")) < 4) & (F.col("char_left") >= F.col("left") - 2) & (F.col("char_left") <= F.col("right") + 2)
-    cut = cuts.join(_chars(chars), "page").where(near).drop("left", "top", "right").withColumn("part", F.size(F.filter("xs", lambda x: x <= F.col("char_left"))))
+    close = (F.abs(F.col("char_top") - F.col("top")) < 4) & (F.col("char_left") >= F.col("left") - 2) & (F.col("char_left") <= F.col("right") + 2)
+    cut = near(cuts, F.col("top") - 4, F.col("top") + 4, _chars(chars), F.col("char_top"), F.col("char_top")).where(close).drop("left", "top", "right").withColumn("part", F.size(F.filter("xs", lambda x: x <= F.col("char_left"))))
     cut = _segments(cut)
     cut = cut.withColumn("n", F.count("*").over(Window.partitionBy("page", "line_id"))).where("n > 1").drop("n")
     whole = lines.join(cut.select("page", "line_id").distinct(), ["page", "line_id"], "left_anti").select("page", "line_id", F.lit(0).alias("part"), "content", "left", "top", "right", "bottom")
@@ -97,10 +116,10 @@ def filled(lines: DataFrame, spans: DataFrame, words: DataFrame) -> DataFrame:
     s = spans.where("trim(text) != ''").select("page", "ord", F.col("left").alias("s_left"), F.col("top").alias("s_top"), (F.col("right") - F.col("left")).alias("s_width"), "text", F.lit("s").alias("kind"))
     w = words.where("trim(text) != ''").select("page", "ord", F.col("left").alias("s_left"), F.col("top").alias("s_top"), F.lit(None).cast("double").alias("s_width"), "text", F.lit("w").alias("kind"))
     bare = lines.where((F.trim("content") == "") & (F.col("right") - F.col("left") > 3)).select("page", "line_id", "left", "top", "right")
-    near = lambda d: (F.abs(F.col("top") - F.col("s_top")) < d) & (F.abs(F.col("left") - F.col("s_left")) < d)
+    within = lambda d: (F.abs(F.col("top") - F.col("s_top")) < d) & (F.abs(F.col("left") - F.col("s_left")) < d)
     span, width = F.col("kind") == "s", F.col("right") - F.col("left")
-    rank = F.when(span & near(5) & (F.abs(width - F.col("s_width")) < 10), 0).when(~span & near(5), 1).when(span & near(10), 2)
-    found = bare.join(s.unionByName(w), "page").withColumn("rank", rank).where("rank is not null")
+    rank = F.when(span & within(5) & (F.abs(width - F.col("s_width")) < 10), 0).when(~span & within(5), 1).when(span & within(10), 2)
+    found = near(bare, F.col("top") - 10, F.col("top") + 10, s.unionByName(w), F.col("s_top"), F.col("s_top")).withColumn("rank", rank).where("rank is not null")
     best = first_by(found, ["page", "line_id"], ["rank", "ord"]).select("page", "line_id", "text")
     return lines.join(best, ["page", "line_id"], "left").select("page", "line_id", F.coalesce("text", "content").alias("content"))
 
@@ -122,7 +141,7 @@ def merged_cells(lines: DataFrame, cell_table: DataFrame) -> DataFrame:
     c = cell_table.select("page", F.col("ord").alias("cell"), *(F.col(x).alias(f"c_{x}") for x in ("left", "top", "right", "bottom")))
     mid_y = (F.col("top") + F.col("bottom")) / 2
     inside = (F.col("c_left") <= F.col("left")) & (F.col("right") <= F.col("c_right") + 2) & (F.col("c_top") <= mid_y) & (mid_y <= F.col("c_bottom"))
-    rows = lines.where(~F.coalesce("is_ghost", F.lit(False)) & (F.trim("content") != "")).join(c, "page").where(inside).withColumn("mid_y", mid_y)
+    rows = near(lines.where(~F.coalesce("is_ghost", F.lit(False)) & (F.trim("content") != "")), mid_y, mid_y, c, F.col("c_top"), F.col("c_bottom")).where(inside).withColumn("mid_y", mid_y)
     groups = rows.groupBy("page", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mid_y", "left", "line_id", "content"))), lambda x: F.trim(x["content"])), " ").alias("cell_merged_value"), F.count("*").alias("n"), (F.max("mid_y") - F.min("mid_y")).alias("span")).where("n >= 2 and span >= 6")
     groups = groups.withColumn("cell_group", F.row_number().over(Window.partitionBy("page").orderBy("cell")) - 1)
     found = rows.join(groups.select("page", "cell", "cell_group", "cell_merged_value"), ["page", "cell"])
@@ -145,7 +164,8 @@ def missed_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
     l = lines.select("page", *(F.col(c).alias(f"l_{c}") for c in ("left", "top", "right", "bottom")))
     box = [F.col(c) for c in ("left", "top", "right", "bottom")]
     area = overlap_area(box, [F.col(f"l_{c}") for c in ("left", "top", "right", "bottom")])
-    rows = spans.join(l, "page", "left").groupBy("page", "ord", "left", "top", "right", "bottom", "text").agg(F.sum(F.coalesce(area, F.lit(0.0))).alias("covered"))
+    covered = near(spans, F.col("top"), F.col("bottom"), l, F.col("l_top"), F.col("l_bottom")).groupBy("page", "ord").agg(F.sum(area).alias("covered"))
+    rows = spans.join(covered, ["page", "ord"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
     return rows.where(F.col("covered") < 0.5 * w * h).select("page", "ord", "text", F.when((h > 1.5 * w) & (h > 6), 90).otherwise(0).alias("rotation"))
 
@@ -153,7 +173,7 @@ def missed_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
 def hit(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """For each point the smallest box that it lies in."""
     b = boxes.select("page", F.col("ord").alias("box"), "left", "top", "right", "bottom")
-    rows = points.join(b, "page").where("x >= left and x <= right and y >= top and y <= bottom")
+    rows = near(points, F.col("y"), F.col("y"), b, F.col("top"), F.col("bottom")).where("x >= left and x <= right and y >= top and y <= bottom")
     best = first_by(rows, ["point"], [(F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")), "box"]).select("point", "box")
     return points.select("point").join(best, "point", "left")
 
@@ -169,7 +189,7 @@ def hit_word(points: DataFrame, boxes: DataFrame, words: DataFrame) -> DataFrame
 
 def nearest_line(points: DataFrame, lines: DataFrame, tolerance: float = 12.0) -> DataFrame:
     """For each point the line whose corner is nearest, horizontal and vertical distance together at most the tolerance."""
-    rows = points.join(lines.select("page", "line_id", "left", "top"), "page").withColumn("d", F.abs(F.col("x") - F.col("left")) + F.abs(F.col("y") - F.col("top"))).where(F.col("d") <= tolerance)
+    rows = near(points, F.col("y") - tolerance, F.col("y") + tolerance, lines.select("page", "line_id", "left", "top"), F.col("top"), F.col("top")).withColumn("d", F.abs(F.col("x") - F.col("left")) + F.abs(F.col("y") - F.col("top"))).where(F.col("d") <= tolerance)
     best = first_by(rows, ["point"], ["d", "line_id"]).select("point", "line_id")
     return points.select("point").join(best, "point", "left")
 
