@@ -73,7 +73,8 @@ def test_directory_doubles_as_long_as_it_takes(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     narrow = lambda c: F.pmod(F.xxhash64(c), F.lit(16))
     index = x.build_index(docs, Scratch(spark, "t"), capacity=4, hash_of=narrow)
-    assert index.count() == 64 and index.groupBy("bucket").agg(F.count_distinct("hash").alias("n")).agg(F.max("n")).first()[0] == 1
+    buckets = index.groupBy("bucket").agg(F.count_distinct("hash").alias("hashes"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in buckets) == 64 and all(r.n <= 4 or r.hashes == 1 for r in buckets) and len(buckets) > 8
     assert index.groupBy("hash").agg(F.max("chain").alias("m"), F.count("*").alias("n")).where("m != n - 1").isEmpty()
 
 

@@ -285,7 +285,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = int(np.ceil(np.log2(max(1, size / BYTES_A_SHARD))))
         blocks = rows.select("text").mapInArrow(lambda it: _distinct(it, tokenizer_path, bits), "shard int, block binary, size bigint")
-        work.put(blocks.groupBy("shard").applyInArrow(lambda t: _write_shard(t, tokenizer_path, folder), "shard int, n bigint"), "shards", 4)
+        blocks.groupBy("shard").applyInArrow(lambda t: _write_shard(t, tokenizer_path, folder), "shard int, n bigint").agg(F.sum("n")).first()  # writes the arrays
         found = rows.mapInArrow(lambda it: _counted(it, tokenizer_path, folder, bits), f"id {kind}, n_bytes bigint, n_tokens bigint")
     else:
         found = _joined(rows, work, tokenizer_path, kind)

@@ -195,7 +195,7 @@ def trained(labelled: DataFrame, work: Scratch) -> tuple[Counts, Counts, float,
     size = rows.agg(F.sum(F.octet_length("url"))).first()[0] or 0
     bits = int(np.ceil(np.log2(max(1, size / BYTES_A_SHARD))))
     sums = rows.mapInArrow(lambda it: _counted(it, bits), "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(lambda t: _write_shard(t, folder), "shard int, rejected bigint, accepted bigint")
-    found = work.put(sums, "shards", 4).agg(F.sum("rejected"), F.sum("accepted")).first()
+    found = sums.agg(F.sum("rejected"), F.sum("accepted")).first()  # writes the arrays
     if not found[0] or not found[1]:
         return None
     at = {kind: k for k, kind in enumerate(KINDS)}
