@@ -10,8 +10,8 @@ decreasing length, also into the gaps of the configurations. The dual of the pro
 of sequences; plain best fit is kept as a bound from above.
 
 A plan is a list of configurations with how often each is used, so its size depends on the number of lengths, not of
-documents. Pieces get their place by their rank among pieces of their length; ranks are counted in salted groups, so a
-length that a third of all pieces has is spread over many tasks.
+documents. Pieces get their place by their rank among pieces of their length; a length with many pieces is ranked in
+salted groups of about ROWS_A_GROUP, so one that a third of all pieces has is spread over many tasks.
 
 Defined cases: a null text counts as empty and is the single end id; rows that repeat an id are packed each; a null id
 is packed under null; very long texts are cut into as many pieces as they need; pieces of equal length are placed in
@@ -47,7 +47,7 @@ TRIES = 3
 CACHED_BYTES = 96 << 20  # of distinct words and their ids that a worker remembers, and half as much of parts; emptied when full
 ENTRY = 180  # bytes of an entry besides its characters and ids
 LONG_WORD = 256
-ROWS_A_GROUP = 100_000
+ROWS_A_GROUP = 2000  # pieces of one length that are ranked together
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -335,8 +335,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     cut = work.put(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
-    salts = max(1, sum(histogram.values()) // ROWS_A_GROUP)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts = spark.createDataFrame([(x, -(-n // ROWS_A_GROUP)) for x, n in histogram.items()], "length bigint, salts bigint")  # at most `capacity` rows
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = salted.withColumn("row", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")))
