@@ -6,6 +6,10 @@ many tasks' work and a box is held only against those near it.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +96,62 @@ def cut_at_rules(lines: DataFrame, rules: DataFrame, chars: DataFrame) -> DataFr
     return whole.unionByName(cut)
 
 
+def cut_pages(pages: DataFrame) -> DataFrame:
+    """cut_at_rules for pages that come as one row each: page, lines (line_id, content, box), rules (x, y0, y1) and strips
+    (text, box), arrays; a strip is a row of characters of even widths, counted from 0. Nothing is shuffled, and a character is no row."""
+    rows = pages.select("page", "lines", "rules", "strips")
+    return rows.mapInArrow(_cut_pages, f"page {rows.schema['page'].dataType.simpleString()}, line_id int, part int, content string, left double, top double, right double, bottom double")
+
+
+def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 4]
+    names = ["line_id", "part", "content", "left", "top", "right", "bottom"]
+    for batch in batches:
+        columns = {c: batch.column(c) for c in ("lines", "rules", "strips")}
+        bounds = {c: x.offsets.to_pylist() for c, x in columns.items()}
+        flat = {c: pa.RecordBatch.from_struct_array(x.values) for c, x in columns.items()}
+        at = size = 0
+        found: list[tuple] = []
+        row: list[int] = []
+        for i in range(batch.num_rows):
+            part = {c: flat[c].slice(bounds[c][i], bounds[c][i + 1] - bounds[c][i]) for c in flat}
+            value = lambda c, *fields: list(zip(*(part[c].column(f).to_pylist() for f in fields)))  # noqa: B023, E731
+            new = list(_cut_page(value("lines", *names[:1], *names[2:]), value("rules", "x", "y0", "y1"), value("strips", "text", *names[3:])))
+            found += new
+            row += [i] * len(new)
+            size += sum(len(x[2]) for x in new)
+            if found and (size > 1 << 20 or i + 1 == batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(row)), *(pa.array(x, k) for x, k in zip(zip(*found), kinds))], ["page", *names])
+                found, row, size = [], [], 0
+
+
+def _cut_page(lines: list[tuple], rules: list[tuple], strips: list[tuple]) -> Iterator[tuple]:
+    """line_id, part, content, box of a page's lines, as cut_at_rules has them."""
+    high = [(float(x), min(y0, y1), max(y0, y1)) for x, y0, y1 in rules if abs(y1 - y0) > 5]
+    strips = sorted((s for s in strips if s[0]), key=lambda s: s[2])
+    tops = [s[2] for s in strips]
+    for line_id, content, left, top, right, bottom in lines:
+        mid = (top + bottom) / 2
+        xs = sorted(x for x, y0, y1 in high if left < x < right and y0 <= mid <= y1)
+        edges = [left, *xs, right + 1]
+        cut = []
+        for part in range(len(xs) + 1 if xs else 0):
+            chars = []
+            for text, s_left, s_top, s_right, s_bottom in strips[bisect_left(tops, top - 3) : bisect_right(tops, bottom + 3)]:
+                # one place more on either side, as the width may be rounded
+                width = (s_right - s_left) / len(text)
+                lo, hi = max(left - 2, edges[part] - 1), min(right + 2, edges[part + 1])
+                a, b = (int(min(max((x - s_left) / width, -2), len(text))) if width > 0 else y for x, y in ((lo, 0), (hi, len(text))))
+                for k in range(max(a - 1, 0), min(b + 2, len(text))):
+                    x = s_left + width * k
+                    if lo <= x <= right + 2 and x < edges[part + 1]:
+                        chars.append((x, k, text[k], s_top, x + width, s_bottom))
+            text = "".join(x[2] for x in sorted(chars)).strip(" ")
+            if text:
+                cut.append((line_id, part, text, min(x[0] for x in chars), min(x[3] for x in chars), max(x[4] for x in chars), max(x[5] for x in chars)))
+        yield from cut or [(line_id, 0, content, left, top, right, bottom)]
+
+
 def cut_at_cells(lines: DataFrame, cell_table: DataFrame, chars: DataFrame) -> DataFrame:
     """page, line_id, part, content, box: lines cut at the left edges of cells that they cross at mid-height, where characters stand on both sides.
 

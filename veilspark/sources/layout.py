@@ -54,6 +54,14 @@ def words(line_table: DataFrame) -> DataFrame:
     return rows.select(*KEY, "line_id", "word_index", F.concat_ws(".", "line_id", "word_index").alias("id"), "text", (MARGIN + CHAR_WIDTH * F.col("start")).alias("left"), (MARGIN + CHAR_WIDTH * F.col("end")).alias("right"), "top", "bottom")
 
 
+def page_rows(docs: DataFrame) -> DataFrame:
+    """client_id, doc_id, page and its lines as an array (line_id, content, box), as in `lines`. A document's lines stay in its row: nothing is shuffled."""
+    rows = docs.select(F.col("source").alias("client_id"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"))
+    rows = rows.select("client_id", "doc_id", "l", F.explode(F.expr(f"sequence(0, int((size(l) - 1) div {LINES_A_PAGE}))")).alias("p"))
+    line = "named_struct('line_id', i, 'content', c, 'left', {0}, 'top', {0} + {1} * i, 'right', {0} + {2} * char_length(c), 'bottom', {0} + {1} * (i + 1))".format(MARGIN, LINE_HEIGHT, CHAR_WIDTH)
+    return rows.select("client_id", "doc_id", (F.col("p") + 1).alias("page"), F.expr(f"transform(slice(l, p * {LINES_A_PAGE} + 1, {LINES_A_PAGE}), (c, i) -> {line})").alias("lines"))
+
+
 def chars(word_table: DataFrame) -> DataFrame:
     """One row per character of a word: even widths inside the word's box."""
     rows = word_table.select(*KEY, "line_id", "word_index", "left", "top", "bottom", F.posexplode(F.split("text", "")).alias("char_index", "char")).where("char != ''")
