@@ -22,7 +22,7 @@ def plain(rows):
     return sorted(map(str, rows.collect()))
 
 
-@pytest.mark.parametrize("name", ["document_rule_cuts"])
+@pytest.mark.parametrize("name", ["document_rule_cuts", "layout_json_roundtrip"])
 def test_documents_are_not_shuffled(spark, name):
     assert "Exchange" not in QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
 
@@ -41,3 +41,15 @@ def test_cut_pages_is_cut_at_rules(spark):
 def test_page_rows_are_the_lines(spark):
     found = layout.page_rows(docs(spark)).select("client_id", "doc_id", "page", F.inline("lines"))
     assert plain(found) == plain(layout.lines(docs(spark)).select(*found.columns))
+
+
+def test_documents_layout_is_layout_json(spark, monkeypatch):
+    lines = layout.lines(docs(spark))
+    read = lambda rows: plain(rows.select("doc_id", F.from_json("layout", layout.LAYOUT).alias("v")))
+    assert read(layout.documents_layout(docs(spark))) == read(layout.layout_json(lines, layout.words(lines)))
+
+
+def test_texts_are_cut_a_few_at_once(monkeypatch):
+    monkeypatch.setattr(layout, "MOST_BYTES", 5)
+    texts = ["abc", "de", "f", "", "too long a text", "g"]
+    assert [texts[a:b] for a, b in layout.few_at_once(texts)] == [["abc", "de"], ["f", ""], ["too long a text"], ["g"]]

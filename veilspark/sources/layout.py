@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,84 @@ def page_rows(docs: DataFrame) -> DataFrame:
     return rows.select("client_id", "doc_id", (F.col("p") + 1).alias("page"), F.expr(f"transform(slice(l, p * {LINES_A_PAGE} + 1, {LINES_A_PAGE}), (c, i) -> {line})").alias("lines"))
 
 
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\x0b\x0c\r")] = True
+MOST_BYTES = 1 << 20  # of texts that are cut at once, if it is more than one
+
+
+class Cut:
+    """Lines and words of some texts, as arrays. Lines: line_doc, line_no (in its text), content, line_chars. Words: word_line, word_index, text, start and end (in characters of the line)."""
+
+    def __init__(self, texts: list[str]):
+        raw = [x.encode() for x in texts]
+        # a line feed after each text: it ends the text's last line, as those inside end the others
+        data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        ends = np.flatnonzero(data == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        doc_end = np.cumsum([len(x) + 1 for x in raw]) - 1
+        self.line_doc = np.searchsorted(doc_end, ends)
+        first = np.searchsorted(self.line_doc, np.arange(len(raw)))
+        self.line_no = np.arange(len(ends)) - first[self.line_doc]
+        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before a byte
+        self.line_chars = before[ends] - before[starts]
+        self.content = self._strings(data[data != 10], ends - starts)
+        space = SPACE[data]
+        begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        stops = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+        self.word_line = np.searchsorted(ends, begins)
+        self.words_before = np.searchsorted(self.word_line, np.arange(len(ends) + 1))
+        self.word_index = np.arange(len(begins)) - self.words_before[self.word_line]
+        self.start, self.end = (before[x] - before[starts[self.word_line]] for x in (begins, stops))
+        self.text = self._strings(data[~space], stops - begins)
+
+    @staticmethod
+    def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.StringArray:
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def few_at_once(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with MOST_BYTES characters in all, or of one text."""
+    at = size = 0
+    for i, x in enumerate(texts):
+        if i > at and size + len(x) > MOST_BYTES:
+            yield at, i
+            at, size = i, 0
+        size += len(x)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _lists(values: pa.Array, offsets: np.ndarray, empty_is_null: bool = False) -> pa.ListArray:
+    mask = pa.array(offsets[1:] == offsets[:-1]) if empty_is_null else None
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=mask)
+
+
+def _struct(**columns: np.ndarray | pa.Array) -> pa.StructArray:
+    return pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(np.int32)) for x in columns.values()], list(columns))
+
+
+NESTED = "doc_id {}, pages array<struct<page:int,xml_texts:array<struct<id:int,content:string,left:int,top:int,right:int,bottom:int,words:array<struct<id:string,text:string,left:int,right:int,top:int,bottom:int>>>>>>"
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and its pages of lines of words, from (doc_id, text)."""
+    for batch in batches:
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        for a, b in few_at_once(texts):
+            cut = Cut(texts[a:b])
+            line_id = cut.line_no % LINES_A_PAGE
+            top, in_line = MARGIN + LINE_HEIGHT * line_id, cut.word_line
+            name = pc.binary_join_element_wise(pa.array(line_id[in_line]).cast(pa.string()), pa.array(cut.word_index).cast(pa.string()), ".")
+            words_ = _struct(id=name, text=cut.text, left=MARGIN + CHAR_WIDTH * cut.start, right=MARGIN + CHAR_WIDTH * cut.end, top=top[in_line], bottom=top[in_line] + LINE_HEIGHT)
+            left = np.full(len(line_id), MARGIN)
+            lines_ = _struct(id=line_id, content=cut.content, left=left, top=top, right=left + CHAR_WIDTH * cut.line_chars, bottom=top + LINE_HEIGHT, words=_lists(words_, cut.words_before, True))
+            page_at = np.flatnonzero(line_id == 0)
+            pages_ = _struct(page=cut.line_no[page_at] // LINES_A_PAGE + 1, xml_texts=_lists(lines_, np.append(page_at, len(line_id))))
+            doc_at = np.searchsorted(cut.line_doc[page_at], np.arange(b - a + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(pages_, doc_at)], ["doc_id", "pages"])
+
+
 def chars(word_table: DataFrame) -> DataFrame:
     """One row per character of a word: even widths inside the word's box."""
     rows = word_table.select(*KEY, "line_id", "word_index", "left", "top", "bottom", F.posexplode(F.split("text", "")).alias("char_index", "char")).where("char != ''")
@@ -123,8 +202,19 @@ def layout_json(line_table: DataFrame, word_table: DataFrame) -> DataFrame:
     rows = line_table.join(grouped, ["doc_id", "page", "line_id"], "left")
     text = F.struct(F.col("line_id").alias("id"), "content", "left", "top", "right", "bottom", F.when(F.col("is_ghost"), True).alias("is_ghost"), F.nullif("rotation", F.lit(0)).alias("rotation"), F.transform("words", lambda w: w.dropFields("word_index")).alias("words"))
     by_page = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(text), lambda a, b: a["id"] - b["id"]).alias("xml_texts"))
-    by_doc = by_page.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page").cast("string").alias("key"), F.struct("xml_texts").alias("value"))))).alias("pages"))
-    return by_doc.select("doc_id", F.to_json(F.struct(F.lit("v4.10").alias("schema_version"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_filename"), "pages")).alias("layout"))
+    by_doc = by_page.groupBy("doc_id").agg(F.collect_list(F.struct("page", "xml_texts")).alias("pages"))
+    return _as_json(by_doc)
+
+
+def documents_layout(docs: DataFrame) -> DataFrame:
+    """layout_json of whole documents (doc_id, text): cut into lines and words and nested in the document's own row, so that no line or word is shuffled."""
+    rows = docs.select("doc_id", "text")
+    return _as_json(rows.mapInArrow(_nested, NESTED.format(rows.schema["doc_id"].dataType.simpleString())))
+
+
+def _as_json(by_doc: DataFrame) -> DataFrame:
+    pages_ = F.map_from_entries(F.array_sort(F.transform("pages", lambda p: F.struct(p["page"].cast("string").alias("key"), F.struct(p["xml_texts"].alias("xml_texts")).alias("value")))))
+    return by_doc.select("doc_id", F.to_json(F.struct(F.lit("v4.10").alias("schema_version"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_filename"), pages_.alias("pages"))).alias("layout"))
 
 
 def slim_layout(line_table: DataFrame) -> DataFrame:
