@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import WORD_STRIP, normalized, target_words
+from veilspark.functions.text import normalized, target_words
+from veilspark.operators.places import VIEWER_STRIP, Marks, folded, lines_of, longest, word_places
 from veilspark.sources.layout import KEY
 from veilspark.sources.tables import stored
 
 HIT = [*KEY, "entity"]
 MOST_LISTED = 500  # literals of a client that its lines are held against one by one
 MOST_SPAN = 100  # points between the first and last word of a sequence with gaps
-VIEWER_STRIP = WORD_STRIP + "\u2019"  # fixed value
 OUT = [*HIT, "strategy", "line_id", "left", "top", "right", "bottom", "partial", "full_text"]
 
 
@@ -107,15 +107,21 @@ def gapped(words: DataFrame, line_table: DataFrame, literals: DataFrame, found:
     return _by_line(runs.select(*HIT, "run", F.explode("seq").alias("pos")), words, line_table, "1b")
 
 
-def respaced(words: DataFrame, line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
+def _line_starts(words: DataFrame) -> DataFrame:
+    """Words with letters, their number k in the line, and the first four letters from there on (head)."""
+    line = Window.partitionBy(*KEY, "line_id").orderBy("pos")
+    kept = with_chars(words).where("norm != ''").withColumn("k", F.row_number().over(line))
+    return kept.withColumn("head", F.substring(F.concat("norm", *(F.coalesce(F.lead("norm", i).over(line), F.lit("")) for i in (1, 2, 3))), 1, 4))
+
+
+def respaced(words: DataFrame, line_table: DataFrame, literals: DataFrame, found: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Way 1c: words of one line that join to the literal's letters, or one word that begins with them; in lines not hit yet.
 
     A start is found by an equi-join on the first four letters of what follows it in the line.
     """
-    line = Window.partitionBy(*KEY, "line_id").orderBy("pos")
-    kept = with_chars(words).where("norm != ''").withColumn("k", F.row_number().over(line))
-    kept = kept.withColumn("head", F.substring(F.concat("norm", *(F.coalesce(F.lead("norm", i).over(line), F.lit("")) for i in (1, 2, 3))), 1, 4))
-    wanted = literals.where("char_length(joined) >= 4").withColumn("head", F.substring("joined", 1, 4)).select("client_id", "entity", "joined", "n", "head")
+    head = F.substring("joined", 1, 4) if kept is None else F.translate(F.substring("joined", 1, 4), "ς", "σ")  # as places.folded has it
+    kept = _line_starts(words) if kept is None else kept
+    wanted = literals.where("char_length(joined) >= 4").withColumn("head", head).select("client_id", "entity", "joined", "n", "head")
     rows = kept.join(wanted, ["client_id", "head"]).join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
     # a word has a letter at least, so as many words as the literal has letters are enough; they are looked up by place
     places = rows.select(*KEY, "line_id", "entity", F.col("k").alias("start"), F.explode(F.sequence("k", F.col("k") + F.char_length("joined"))).alias("k"))
@@ -166,19 +172,24 @@ def held(texts: DataFrame, key: list[str], literals: DataFrame) -> DataFrame:
     return rows
 
 
-def inside_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
+def inside_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Way 3: the literal anywhere in a line's content, letters around it or not; in lines not hit yet. The box is the line's."""
     line = line_table.select(*KEY, "line_id", "content", "left", "top", "right", "bottom", F.lower("content").alias("low"))
-    rows = held(line, [*KEY, "line_id"], literals).join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
+    rows = held(line, [*KEY, "line_id"], literals) if pairs is None else line.join(pairs, [*KEY, "line_id"]).where(F.contains("low", "needle"))
+    rows = rows.join(found.select(*HIT, "line_id").distinct(), [*HIT, "line_id"], "left_anti")
     return rows.select(*HIT, F.lit("3").alias("strategy"), "line_id", *(F.col(c).cast("double").alias(c) for c in ("left", "top", "right", "bottom")), F.lit(True).alias("partial"), F.col("content").alias("full_text"), F.lit(0).alias("at"))
 
 
-def across_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame) -> DataFrame:
+def across_lines(line_table: DataFrame, literals: DataFrame, found: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Way 4: in a page's trimmed lines joined by spaces; every line that a place touches. Only where nothing else was found."""
     rows = line_table.where("trim(content) != ''").select(*KEY, "line_id", "left", "top", "right", "bottom", "content")
     one = F.array_sort(F.collect_list(F.struct(F.bround("top").alias("row"), F.bround("left").alias("column"), "line_id", F.trim("content").alias("c"), *(F.col(x).cast("double").alias(x) for x in ("left", "top", "right", "bottom")), "content")))
     page = rows.groupBy(*KEY).agg(one.alias("l")).withColumn("low", F.lower(F.array_join(F.transform("l", lambda x: x["c"]), " ")))
-    pairs = held(page, KEY, literals.where("instr(entity, ' ') > 0")).withColumnRenamed("low", "text").join(found.select(*HIT).distinct(), HIT, "left_anti")
+    if pairs is None:
+        pairs = held(page, KEY, literals.where("instr(entity, ' ') > 0"))
+    else:
+        pairs = page.join(pairs, KEY).where(F.contains("low", "needle"))
+    pairs = pairs.withColumnRenamed("low", "text").join(found.select(*HIT).distinct(), HIT, "left_anti")
     starts = F.expr("aggregate(slice(split(text, concat('\\\\Q', needle, '\\\\E'), -1), 1, size(split(text, concat('\\\\Q', needle, '\\\\E'), -1)) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + char_length(x) + char_length(needle), 'out', concat(s.out, array(s.at + char_length(x)))), s -> s.out)")
     spans = F.expr("aggregate(l, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,line_id:int,left:double,top:double,right:double,bottom:double,content:string>>)), (s, x) -> named_struct('at', s.at + char_length(x.c) + 1, 'out', concat(s.out, array(named_struct('s', s.at, 'e', s.at + char_length(x.c), 'line_id', x.line_id, 'left', x.left, 'top', x.top, 'right', x.right, 'bottom', x.bottom, 'content', x.content)))), s -> s.out)")
     hits = pairs.select(*HIT, "needle", spans.alias("spans"), F.explode(starts).alias("at"))
@@ -197,6 +208,10 @@ def find_occurrences(line_table: DataFrame, word_table: DataFrame, literal_table
         lambda found: inside_lines(line_table, literals, found),
         lambda found: across_lines(line_table, literals, found),
     )
+    return _together(ways)
+
+
+def _together(ways: tuple) -> DataFrame:
     found = None
     for way in ways:  # each way's own rows are stored once
         new = stored(way(found))
@@ -205,6 +220,29 @@ def find_occurrences(line_table: DataFrame, word_table: DataFrame, literal_table
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*OUT)
 
 
+def find_in_documents(docs: DataFrame, literal_table: DataFrame) -> DataFrame:
+    """find_occurrences in the layout of whole documents (doc_id, text, source): only words and lines that may match leave their document's row."""
+    literals = stored(prepared(literal_table))
+    places = stored(word_places(docs, Marks(literals.select("entity", F.col("targets").alias("words"), "joined"))))
+    words = places.where("kind = 'w'").drop("kind").withColumn("norm", normalized(F.col("text")))
+    line_table, kept = lines_of(places), with_chars(words).where("norm != ''")
+    gram = F.udf(lambda x: longest(folded(x)), "string")
+    wanted = literals.select("client_id", "entity", F.lower("entity").alias("needle"), gram("entity").alias("head"))
+    held_ = places.where("kind = 'g'").select(*KEY, "line_id", "head").join(wanted, ["client_id", "head"])
+
+    def left_over(key: list[str], found: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.select(*key, "entity", "needle").distinct().join(found.select(*key, "entity").distinct(), [*key, "entity"], "left_anti")
+
+    return _together((
+        lambda found: exact(words, literals, line_table),
+        lambda found: gapped(words, line_table, literals, found),
+        lambda found: respaced(words, line_table, literals, found, kept),
+        lambda found: inside_words(words, literals),
+        lambda found: inside_lines(line_table, literals, found, left_over([*KEY, "line_id"], found, held_)),
+        lambda found: across_lines(line_table, literals, found, left_over(KEY, found, held_.where("instr(entity, ' ') > 0"))),
+    ))
+
+
 def viewer_words(words: DataFrame) -> DataFrame:
     """Words as the viewer's matcher knows them: without signs and typographic apostrophes at their ends; words of signs alone are left out."""
     kept = words.withColumn("norm", F.lower(F.btrim("text", F.lit(VIEWER_STRIP)))).where("norm != ''")
@@ -218,15 +256,32 @@ def viewer_exact(word_table: DataFrame, line_table: DataFrame, literal_table: Da
     tried again with its hyphens as word ends."""
     edges = word_table.groupBy(*KEY, "line_id").agg(F.min("word_index").alias("lo"), F.max("word_index").alias("hi"))
     words = stored(viewer_words(flat_words(word_table)).join(edges, [*KEY, "line_id"]))
+    return _viewer(words, line_table, *_viewer_targets(literal_table))
+
+
+def viewer_in_documents(docs: DataFrame, literal_table: DataFrame) -> DataFrame:
+    """viewer_exact in the layout of whole documents (doc_id, text, source): only words that may match leave their document's row."""
+    plain, again = (stored(x) for x in _viewer_targets(stored(literal_table.select("client_id", "entity"))))
+    marks = Marks(plain.unionByName(again).select("entity", F.col("targets").alias("words"), F.lit(None).cast("string").alias("joined")), viewer=True)
+    places = stored(word_places(docs, marks))
+    words = places.where("kind = 'w'").withColumn("norm", F.lower(F.btrim("text", F.lit(VIEWER_STRIP)))).where("norm != ''")
+    words = words.withColumns({"lo": F.lit(0), "hi": F.col("line_words") - 1}).drop("kind", "k", "head")
+    return _viewer(words, lines_of(places), plain, again)
+
+
+def _viewer_targets(literal_table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """client_id, entity, targets of literals, and of those with hyphens with these as word ends."""
     targets = F.filter(F.transform(F.split(F.trim("entity"), r"\s+"), lambda w: F.lower(F.btrim(w, F.lit(VIEWER_STRIP)))), lambda w: w != "")
     plain = literal_table.select("client_id", F.trim("entity").alias("entity")).distinct().withColumn("targets", targets).where("size(targets) > 0")
     apart = F.flatten(F.transform("targets", lambda w: F.when(F.contains(w, F.lit("-")) & ~w.rlike("^-|--|-$"), F.split(w, "-")).otherwise(F.array(w))))
-    found = _viewer_runs(words, line_table, plain)
-    docs = word_table.select("client_id", "doc_id").distinct()
     again = plain.withColumn("apart", apart).where("size(apart) > size(targets)").select("client_id", "entity", F.col("apart").alias("targets"))
-    missed = again.join(docs, "client_id").join(found.select("client_id", "doc_id", "entity").distinct(), ["client_id", "doc_id", "entity"], "left_anti")
-    second = _viewer_runs(words, line_table, again).join(missed.select("client_id", "doc_id", "entity"), ["client_id", "doc_id", "entity"], "left_semi")
-    return found.unionByName(second)
+    return plain, again
+
+
+def _viewer(words: DataFrame, line_table: DataFrame, plain: DataFrame, again: DataFrame) -> DataFrame:
+    found = stored(_viewer_runs(words, line_table, plain))
+    key = ["client_id", "doc_id", "entity"]
+    return found.unionByName(_viewer_runs(words, line_table, again).join(found.select(*key).distinct(), key, "left_anti"))
 
 
 def _viewer_runs(words: DataFrame, line_table: DataFrame, literals: DataFrame) -> DataFrame:

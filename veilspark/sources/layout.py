@@ -111,6 +111,26 @@ def few_at_once(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        for a, b in few_at_once(texts):
+            cut = Cut(texts[a:b])
+            clients, words_ = batch.column(0).slice(a, b - a).dictionary_encode("encode"), cut.text.dictionary_encode()
+            fits = np.array([re.fullmatch(pattern, x) is not None for x in words_.dictionary.to_pylist()], bool)
+            word = words_.indices.to_numpy()
+            at = np.flatnonzero(fits[word]) if len(word) else word
+            client = clients.indices.to_numpy()[cut.line_doc[cut.word_line[at]]]
+            pairs, n = np.unique(client.astype(np.int64) * max(len(fits), 1) + word[at], return_counts=True)
+            yield pa.RecordBatch.from_arrays([clients.dictionary.take(pa.array(pairs // max(len(fits), 1))), words_.dictionary.take(pa.array(pairs % max(len(fits), 1))), pa.array(n.astype(np.int64))], ["client_id", "text", "n"])
+
+
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """client_id, text, n: how often a client's documents have each word that the pattern fits as a whole; counted before anything is shuffled."""
+    rows = docs.select(F.col("source").alias("client_id"), F.col("text"))
+    return rows.mapInArrow(lambda batches: _word_counts(batches, pattern), "client_id string, text string, n long").groupBy("client_id", "text").agg(F.sum("n").alias("n"))
+
+
 def _lists(values: pa.Array, offsets: np.ndarray, empty_is_null: bool = False) -> pa.ListArray:
     mask = pa.array(offsets[1:] == offsets[:-1]) if empty_is_null else None
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=mask)
